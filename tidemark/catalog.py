@@ -1,0 +1,6 @@
+"""The registered queries of the engine and their SQL equivalents."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
