@@ -38,36 +38,42 @@ TOKEN = re.compile(r"\S+")
 LAST = 1 << 62
 
 
-def sentences(text: str) -> tuple[list[tuple[int, int]], list[str], list[int]]:
-    """Character spans (with the white space that follows), normalised texts and word counts."""
-    spans, bodies, counts = [], [], []
-    begin, words, before = 0, [], 0
-    low = text.lower()
-    if len(low) != len(text):  # a few letters change length in lower case
-        low = "".join(c.lower()[:1] for c in text)
-    for m in TOKEN.finditer(low):
-        a, b = m.span()
-        if words and "\n" in low[before:a]:
-            spans.append((begin, a))
-            bodies.append(" ".join(words))
-            counts.append(len(words))
-            begin, words = a, []
-        word = m[0]
-        words.append(word)
-        before = b
-        if word[-1] in ".!?" or len(words) >= MOST_WORDS or zlib.crc32(word.encode("utf-8", "surrogatepass")) % BREAK == 0:
-            end = b
-            while end < len(text) and text[end].isspace():
-                end += 1
-            spans.append((begin, end))
-            bodies.append(" ".join(words))
-            counts.append(len(words))
-            begin, words = end, []
-    if words:
-        spans.append((begin, len(text)))
-        bodies.append(" ".join(words))
-        counts.append(len(words))
-    return spans, bodies, counts
+class _Breaks(dict):
+    """Whether a sentence ends with a word, remembered for the words seen lately."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out = word[-1] in ".!?" or zlib.crc32(word.encode("utf-8", "surrogatepass")) % BREAK == 0
+        return out
+
+
+_ends = _Breaks().__getitem__
+
+
+def sentences(text: str) -> tuple[list[str], list[int]]:
+    """The sentences in normal form, and their numbers of words."""
+    bodies, counts = [], []
+    for line in text.lower().split("\n"):
+        words = line.split()
+        begin = 0
+        for end, ends in enumerate(map(_ends, words), 1):
+            if ends or end - begin == MOST_WORDS:
+                bodies.append(" ".join(words[begin:end]))
+                counts.append(end - begin)
+                begin = end
+        if begin < len(words):
+            bodies.append(" ".join(words[begin:]))
+            counts.append(len(words) - begin)
+    return bodies, counts
+
+
+def places(text: str, counts: list[int]) -> list[tuple[int, int]]:
+    """Character spans of the sentences, each with the white space that follows it."""
+    begins = [m.start() for m in TOKEN.finditer(text)]
+    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    starts = [0, *(begins[i] for i in first[1:])]
+    return list(zip(starts, [*starts[1:], len(text)], strict=True))
 
 
 def runs(counts: list[int], least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> list[int]:
@@ -99,7 +105,7 @@ def _spans(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame
                 for d, c, t in zip(strings(part, "doc_id"), strings(part, "copy"), strings(part, "text"), strict=True):
                     if not t:
                         continue
-                    _, bodies, counts = sentences(t)
+                    bodies, counts = sentences(t)
                     first: dict[bytes, int] = {}
                     for i, h in enumerate(_hashes(bodies, runs(counts, least_sentences, least_words))):
                         if h:
@@ -140,17 +146,19 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leas
 def _cut(text, at, least_sentences, least_words):
     if not text:
         return 0, 0, text
-    spans, bodies, counts = sentences(text)
+    bodies, counts = sentences(text)
     ends = runs(counts, least_sentences, least_words)
-    gone = np.zeros(len(spans), bool)
-    for i in at or ():
-        gone[i : ends[i]] = True
+    gone = [(i, ends[i]) for i in at or ()]
     seen: set[bytes] = set()
     for i, h in enumerate(_hashes(bodies, ends)):
-        if h and h in seen:
-            gone[i : ends[i]] = True
-        seen.add(h)
-    if not gone.any():
-        return len(spans), 0, text
-    kept = "".join(text[a:b] for (a, b), g in zip(spans, gone, strict=True) if not g)
-    return len(spans), int(gone.sum()), kept.strip()
+        if h:
+            if h in seen:
+                gone.append((i, ends[i]))
+            seen.add(h)
+    if not gone:
+        return len(bodies), 0, text
+    cut = np.zeros(len(bodies), bool)
+    for a, b in gone:
+        cut[a:b] = True
+    kept = "".join(text[a:b] for (a, b), c in zip(places(text, counts), cut, strict=True) if not c)
+    return len(bodies), int(cut.sum()), kept.strip()
