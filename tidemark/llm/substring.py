@@ -1,9 +1,10 @@
 """Repeated passages: sliding spans of consecutive sentences, joined over the whole corpus.
 
 A text is cut into sentences; from each sentence on, the shortest run of at least
-`LEAST_SENTENCES` sentences and `LEAST_WORDS` words is a span and is hashed (128 bits, lower
-case, white space as one space). A span that occurred before, in the same document or in one
-with a smaller id, is repeated; every sentence that a repeated span covers is removed.
+`LEAST_SENTENCES` sentences and `LEAST_WORDS` words (or of `LONG_WORDS` words, however few
+sentences) is a span and is hashed (128 bits, lower case, white space as one space). A span that
+occurred before, in the same document or in one with a smaller id, is repeated; every sentence
+that a repeated span covers is removed.
 
 A sentence ends at . ! ? before white space, or at a line's end. Run-on sentences also end at
 words picked by their own hash (about one in `BREAK`): such cuts depend on nearby words alone,
@@ -33,6 +34,8 @@ from pyspark.sql import types as T
 from tidemark.llm._shared import halved, map_arrow, staged, strings
 
 LEAST_SENTENCES, LEAST_WORDS = 3, 20
+#: Words from which fewer sentences make a span.
+LONG_WORDS = 40
 BREAK, MOST_WORDS = 10, 48
 TOKEN = re.compile(r"\S+")
 LAST = 1 << 62
@@ -80,10 +83,10 @@ def runs(counts: list[int], least_sentences: int = LEAST_SENTENCES, least_words:
     """The end (exclusive) of the span from each sentence, 0 where the text ends before."""
     out, end, words = [], 0, 0
     for i in range(len(counts)):
-        while end < len(counts) and (end - i < least_sentences or words < least_words):
+        while end < len(counts) and (words < least_words or end - i < least_sentences and words < LONG_WORDS):
             words += counts[end]
             end += 1
-        out.append(end if end - i >= least_sentences and words >= least_words else 0)
+        out.append(end if words >= least_words and (end - i >= least_sentences or words >= LONG_WORDS) else 0)
         words -= counts[i]
     return out
 
