@@ -101,3 +101,14 @@ def strings(batch: pa.RecordBatch, name: str) -> list:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def put_aside(docs: DataFrame, *needed: str) -> DataFrame:
+    """`needed` columns and all others in one, `__row`, where their names can't clash."""
+    others = [F.col(c) for c in docs.columns if c not in needed]
+    return docs.select(F.struct(*others or [F.lit(0).alias("none")]).alias("__row"), *needed)
+
+
+def restored(df: DataFrame, columns: list[str], needed: tuple[str, ...]) -> DataFrame:
+    """The columns as they were before `put_aside`."""
+    return df.select(*[F.col(c) if c in needed else F.col("__row")[c].alias(c) for c in columns])

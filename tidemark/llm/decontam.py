@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import map_arrow, staged, strings
+from tidemark.llm._shared import map_arrow, put_aside, restored, staged, strings
 
 WORD_ANY_CASE = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -253,7 +253,6 @@ def _result(text, n_words: int, spans, items: set, least_span: int):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, least_span: int = 1, most_coverage: float = 0.5, **names) -> DataFrame:
     """The filter: documents whose hit words exceed `most_coverage` of all go; from the others
     every hit span of `least_span` words or more is cut. Columns stay as they were."""
-    columns = docs.columns
-    found = find(docs, benchmark, text, window=window, least_span=least_span, **names)
+    found = find(put_aside(docs, text), benchmark, text, window=window, least_span=least_span, **names)
     found = found.where((F.col("n_hit") == 0) | (F.col("n_hit") <= most_coverage * F.col("n_words")))
-    return found.withColumn(text, F.col("clean_text")).select(*columns)
+    return restored(found.withColumn(text, F.col("clean_text")), docs.columns, (text,))

@@ -11,7 +11,7 @@ Symbols: letters in lower case, the `SYMBOLS` most frequent each for itself and
 as one; any other character is a space.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or nothing was learned.
-Labels that are null, or whose text has no letter, teach nothing. Texts are read whole; only
+Labels that are null, or whose text has no letter, teach nothing; repeated rows teach once. Texts are read whole; only
 training leaves aside texts longer than `MOST_CHARS`. Ties go to the language first in order.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import map_arrow, strings
+from tidemark.llm._shared import map_arrow, put_aside, restored, strings
 
 #: Bounds of the training sample: rows for each language, languages (the most frequent ones), characters of a text.
 ROWS_EACH, MOST_LANGUAGES, MOST_CHARS = 300, 200, 20_000
@@ -93,7 +93,9 @@ class Model:
         root = vectors[:, good] / np.sqrt(values[good])
         phi = kernel @ root
         target = np.array([[float(x == l) for l in self.languages] for x in languages])
-        solved = np.linalg.solve(phi.T @ phi + ridge * len(texts) / 100 * np.eye(phi.shape[1]), phi.T @ target)
+        # Every language weighs the same, however many rows it has.
+        weight = 1 / (target @ target.sum(axis=0))[:, None]
+        solved = np.linalg.solve(phi.T @ (weight * phi) + ridge * len(self.languages) / 100 * np.eye(phi.shape[1]), phi.T @ (weight * target))
         place = np.full(self.size, -1, np.int32)
         place[vocab] = np.arange(len(vocab))
         self.place, self.weights = place, (marks.T @ (root @ solved)).astype(np.float32)
@@ -140,14 +142,14 @@ def train(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str
     rows = labelled.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") <= MOST_CHARS) & F.col("text").rlike(r"\p{L}"))
     # The share of each language that its quota asks for, and half as many again; then the quota, by hash.
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    draw = F.xxhash64("id", "text", F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min(draw).alias("least")).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return Model(_table([]))
-    draw = F.xxhash64("id", F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1))
     quota = F.lit(0).cast("long")
     for r in counts:
-        quota = F.when(F.col("lang") == r.lang, F.lit(int(min(1.0, (1.5 * rows_each + 20) / r["count"]) * (1 << 40)))).otherwise(quota)
-    drawn = rows.withColumn("draw", draw).where(F.col("draw") < quota).orderBy("draw", "text").limit(len(counts) * (3 * rows_each + 100)).collect()
+        quota = F.when(F.col("lang") == r.lang, F.lit(max(int(min(1.0, (1.5 * rows_each + 20) / r["count"]) * (1 << 40)), r.least + 1))).otherwise(quota)
+    drawn = rows.withColumn("draw", draw).where(F.col("draw") < quota).dropDuplicates(["lang", "draw", "text"]).orderBy("draw", "text").limit(len(counts) * (3 * rows_each + 100)).collect()
     by: dict[str, list] = {}
     for r in sorted(drawn, key=lambda r: (r.draw, r.text)):
         own = by.setdefault(r.lang, [])
@@ -176,5 +178,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least_score: float = 0.3) -> DataFrame:
     """The filter: rows of unknown language, or of a score below `least_score`, go."""
-    found = predict(docs.drop("lang_pred", "score"), model, text)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*docs.columns)
+    found = predict(put_aside(docs, text), model, text)
+    return restored(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)), docs.columns, (text,))

@@ -102,8 +102,28 @@ def pieces(docs: DataFrame, id: str, text: str, tokenizer: str = TOKENIZER, leng
     return docs.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, block int, nth long")
 
 
-def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[dict[int, int], int]]:
-    """Patterns ({length: times}, copies) that pack `counts` pieces of each length."""
+#: Gaps up to which a bin is left as greedy filling made it; of the plans for each, the shortest counts.
+LEFT_GAPS = (0, 2, 8, 32, 128, 512, LENGTH)
+
+
+def plan(counts: dict[int, int], length: int = LENGTH, left_gaps: tuple[int, ...] = LEFT_GAPS) -> list[tuple[dict[int, int], int]]:
+    """Patterns ({length: times}, copies) that pack `counts` pieces of each length.
+
+    Replacing for a small gain uses up the small pieces that later bins need, so the plan is made
+    for several least gains and the one with the fewest bins is taken.
+    """
+    best, fewest, least = [], None, -(-sum(n * c for n, c in counts.items()) // length)
+    for left in left_gaps:
+        found = _plan(counts, length, left)
+        bins = sum(copies for _, copies in found)
+        if fewest is None or bins < fewest:
+            best, fewest = found, bins
+        if bins == least:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], length: int, left_gap: int) -> list[tuple[dict[int, int], int]]:
     left = np.zeros(length + 1, np.int64)
     for n, c in counts.items():
         left[n] = c
@@ -120,7 +140,7 @@ def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[dict[int, i
             times = min(gap // fit, int(left[fit]) - used.get(fit, 0))
             used[fit] = used.get(fit, 0) + times
             gap -= times * fit
-        if gap and len(used):
+        if gap > left_gap:
             least = min(used)
             rest = left.copy()
             for n, t in used.items():

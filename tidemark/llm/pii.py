@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 BASE = ("email", "ip", "card", "phone")
 MORE = ("iban", "ssn", "tel")
 LEAST_SCORE = 0.5
-#: Code points before a span in which context words count.
+#: Code points before a span in which context words count (and after the kind's span before it).
 NEAR = 40
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -103,6 +103,33 @@ def _may(kind: str, text: Column) -> Column:
     return text.rlike(GUARD[kind])
 
 
+#: Matches of a block, so that appending within one and over blocks stays cheap.
+BLOCK = 128
+
+
+def _running(pairs: Column) -> Column:
+    """(start, match) for (gap, match) pairs: running sums of their lengths, block by block."""
+    size = lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["match"]), F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def within(block, begin):
+        start = F.struct(begin.alias("at"), F.array().cast("array<struct<start:int,match:string,before:string>>").alias("found"))
+
+        def step(acc, p):
+            one = F.array(F.struct((acc["at"] + F.length(p["gap"])).alias("start"), p["match"].alias("match"), F.right(p["gap"], F.lit(NEAR)).alias("before")))
+            return F.struct((acc["at"] + size(p)).alias("at"), F.concat(acc["found"], one).alias("found"))
+
+        return F.aggregate(block, start, step)["found"]
+
+    # All blocks in one pass: where the block begins, and what was found so far as an array of arrays.
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,match:string,before:string>>>").alias("found"))
+
+    def over(acc, block):
+        return F.struct((acc["at"] + F.aggregate(block, F.lit(0), lambda n, p: n + size(p))).alias("at"), F.concat(acc["found"], F.array(within(block, acc["at"]))).alias("found"))
+
+    return F.flatten(F.aggregate(blocks, first, over)["found"])
+
+
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 
 
@@ -110,20 +137,12 @@ def _places(kind: str, rank: int, text: Column) -> Column:
     """Confirmed spans of a kind in order, with scores."""
     matches = F.regexp_extract_all(text, F.lit(f"({PATTERN[kind]})"), F.lit(1))
     pairs = F.arrays_zip(F.split(text, PATTERN[kind], -1).alias("gap"), matches.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,match:string>>").alias("found"))
-
-    def step(acc, pair):
-        begin = acc["at"] + F.length(pair["gap"])
-        one = F.array(F.struct(begin.alias("start"), pair["match"].alias("match")))
-        return F.struct((begin + F.coalesce(F.length(pair["match"]), F.lit(0))).alias("at"), F.when(pair["match"].isNull(), acc["found"]).otherwise(F.coalesce(F.concat(acc["found"], one), one)).alias("found"))
-
-    found = F.coalesce(F.aggregate(pairs, start, step)["found"], F.lit(None).cast("array<struct<start:int,match:string>>"), F.array().cast("array<struct<start:int,match:string>>"))
+    found = F.filter(_running(pairs), lambda x: x["match"].isNotNull())
     base, more = SCORE[kind]
     words = "|".join(CONTEXT[kind].split())
 
     def span(x):
-        before = F.substring(text, F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.least(x["start"], F.lit(NEAR)))
-        near = F.lower(before).rlike(rf"(?<!\p{{L}})(?:{words})(?!\p{{L}})")
+        near = F.lower(x["before"]).rlike(rf"(?<!\p{{L}})(?:{words})(?!\p{{L}})")
         score = F.when(near, F.lit(base + more)).otherwise(F.lit(base))
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), (x["start"] + F.length(x["match"])).alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
@@ -168,12 +187,13 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     for kind in ("email", "phone", "iban", "card", "ip", "ssn", "tel"):
         body = F.col(text)
         matches = F.regexp_extract_all(body, F.lit(f"({PATTERN[kind]})"), F.lit(1))
-        mask = lambda m, k=kind: F.when(_valid(k, m), F.lit(f"<{k.upper()}>")).otherwise(m)
+        # The last gap has no match behind it.
+        mask = lambda m, k=kind: F.when(m.isNull(), "").when(_valid(k, m), F.lit(f"<{k.upper()}>")).otherwise(m)
         if kind in MORE and SCORE[kind][0] < LEAST_SCORE:
             words = "|".join(CONTEXT[kind].split())
             near = rf"(?i)(?<!\p{{L}})(?:{words})(?!\p{{L}})[^\n]{{0,{NEAR}}}$"
-            joined = F.zip_with(F.split(body, PATTERN[kind], -1), matches, lambda gap, m: F.concat(gap, F.coalesce(F.when(F.right(gap, F.lit(NEAR)).rlike(near), mask(m)).otherwise(m), F.lit(""))))
+            joined = F.zip_with(F.split(body, PATTERN[kind], -1), matches, lambda gap, m: F.concat(gap, F.when(F.right(gap, F.lit(NEAR)).rlike(near), mask(m)).otherwise(F.coalesce(m, F.lit("")))))
         else:
-            joined = F.zip_with(F.split(body, PATTERN[kind], -1), matches, lambda gap, m: F.concat(gap, F.coalesce(mask(m), F.lit(""))))
+            joined = F.zip_with(F.split(body, PATTERN[kind], -1), matches, lambda gap, m: F.concat(gap, mask(m)))
         docs = docs.withColumn(text, F.when(_may(kind, body), F.array_join(joined, "")).otherwise(body))
     return docs.select(*columns)

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm._shared import staged, text_or_empty
 
@@ -55,8 +56,9 @@ def assign_shards(docs: DataFrame, n_shards: int = SHARDS, id: str = "doc_id", t
     """(id, size, text_crc32, shard, slot) of every row; slots run from 0 in each shard."""
     body = text_or_empty(text)
     digest = F.lpad(F.hex(F.xxhash64(body)), 16, "0")
-    # Signed ids in order as hexadecimal digits; the row's number makes equal rows differ.
-    ordered = F.coalesce(F.lpad(F.hex(F.col(id).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit(""))
+    # Signed ids in order as hexadecimal digits (others by a digest); the row's number makes equal rows differ.
+    number = F.col(id).cast("long") if isinstance(docs.schema[id].dataType, T.IntegralType) else F.when(F.col(id).isNotNull(), F.xxhash64(id))
+    ordered = F.coalesce(F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit(""))
     keyed = docs.select(F.col(id).alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "utf-8")).alias("text_crc32"), F.concat(digest, ordered).alias("key"), F.monotonically_increasing_id().alias("row"))
     keyed = staged(keyed.select("id", "size", "text_crc32", F.concat(F.rpad("key", 32, "-"), F.lpad(F.hex("row"), 16, "0")).alias("key")), "keys")
     total = keyed.agg(F.sum("size")).first()[0] or 0

@@ -300,6 +300,6 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
     """The filter: of each component only one row of its smallest id stays."""
     columns = docs.columns
     groups = near_duplicates(docs, id, text, shingle, radius)
-    stay = groups.where(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("__id")).distinct()
-    kept = docs.join(stay, F.col(id).eqNullSafe(F.col("__id")), "left_semi")
+    stay = groups.where(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("__simhash_id")).distinct()
+    kept = docs.join(stay, F.col(id).eqNullSafe(F.col("__simhash_id")), "left_semi")
     return kept.dropDuplicates([id]).select(*columns)

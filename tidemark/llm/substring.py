@@ -16,7 +16,8 @@ part, are staged and joined with the spans, a join that Spark splits at hot hash
 once, with the numbers of the sentences to remove.
 
 Defined results: a null text stays null with no sentences. Rows of equal id and text are one
-document and get the same result. Null ids count as the largest id.
+document and get the same result. Null ids count as the largest id,
+ids that are no whole numbers are ordered by a hash.
 """
 
 from __future__ import annotations
@@ -126,7 +127,8 @@ def _spans(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """`docs` with n_sentences, n_removed and clean_text (white space at the ends trimmed if cut)."""
     # `copy` tells apart rows of one id with different texts.
-    key = docs.withColumn("__id", F.coalesce(F.col(id).cast("long"), F.lit(LAST))).withColumn("__copy", F.hash(text))
+    number = F.col(id).cast("long") if isinstance(docs.schema[id].dataType, T.IntegralType) else F.when(F.col(id).isNotNull(), F.shiftrightunsigned(F.xxhash64(id), 2))
+    key = docs.withColumn("__id", F.coalesce(number, F.lit(LAST))).withColumn("__copy", F.hash(text))
     skinny = key.select(F.col("__id").alias("doc_id"), F.col("__copy").alias("copy"), F.col(text).alias("text"))
     spans = _spans(skinny, least_sentences, least_words)
     seen = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))

@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,10 +144,21 @@ def _chain(first: bytes, rest):
     yield from rest
 
 
+def _metadata(df: DataFrame) -> list[str]:
+    try:
+        return df.select("_metadata").schema["_metadata"].dataType.fieldNames()
+    except AnalysisException:
+        return []
+
+
 def decide(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """`pages` (page_id, url, html) with sha1, refers_to and revisit."""
     body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    pages = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row"), F.sha1(body).alias("sha1"), F.octet_length(body).alias("bytes"))
+    pages = pages.select("page_id", "url", "html")
+    # Rows of files have places that are the same in every pass; other rows get some.
+    if "row_index" not in _metadata(pages):
+        pages = staged(pages, "pages")
+    pages = pages.select("page_id", "url", "html", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row"), F.sha1(body).alias("sha1"), F.octet_length(body).alias("bytes"))
     groups = pages.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("top"))
     # Staged, so that the join below reads two plain tables and can be split at a hot payload.
     groups = staged(groups.where("n > 1").select("sha1", "top"), "payloads")
