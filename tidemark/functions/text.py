@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEPARATORS = r"[ \n\t,.:;/\\]"
 
@@ -72,7 +73,7 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed_tokens(tokens: pd.Series) -> pd.Series:
     """Folded and stemmed forms of token arrays."""
     memo: dict[str, str] = {}

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def doubles(vector: Column) -> Column:
@@ -37,12 +38,12 @@ def normalize_cosine(score: Column) -> Column:
     return (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)) + 1) / 2
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def from_blob(blobs: pd.Series) -> pd.Series:
     """Little-endian float64 vectors; blobs whose length is no multiple of 8 give null."""
     return blobs.map(lambda b: None if b is None or len(b) % 8 else np.frombuffer(b, "<f8"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f8").tobytes())

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType()), "array<double>": T.ArrayType(T.DoubleType())}
+
+
+def _schema(fields: str) -> T.StructType:
+    """A schema from `name type, ...`, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in map(str.split, fields.split(","))])
 
 
 EVENTS = _schema("event_id string, ts long, channel string, content_types array<string>, content string, direction string, thread_id string, reply_to string, source_adapter string, source_id string, metadata_json string")

@@ -11,6 +11,7 @@ from email.header import decode_header, make_header
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.base import contact_id, ledger_id
 
@@ -24,7 +25,7 @@ def header(name: str) -> Column:
     return F.get(found, F.lit(0))["value"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded_header(values: pd.Series) -> pd.Series:
     """MIME encoded words as text."""
     return values.map(lambda v: None if v is None else _decode(v))
@@ -49,7 +50,7 @@ def addresses_of(text: str | None) -> list[dict]:
     return [{"name": n, "email": a} for n, a in good]
 
 
-@F.pandas_udf("array<struct<name:string,email:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("email", T.StringType())])))
 def addresses(values: pd.Series) -> pd.Series:
     return values.map(addresses_of)
 
