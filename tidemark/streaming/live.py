@@ -67,9 +67,10 @@ def session_windows(stream: DataFrame, gap_seconds: int, key: str = "thread_id",
 EPISODE_STATE = "first_ts long, first_id string, last_ts long, n long"
 
 
-def live_episodes(stream: DataFrame, gap_seconds: int, key: str = "thread_id", idle: str = "1 hour") -> DataFrame:
+def live_episodes(stream: DataFrame, gap_seconds: int, key: str = "thread_id", delay: str = "1 hour") -> DataFrame:
     """Closed episodes with the ids of their first events: (key, first_event_id, start_time, end_time,
-    event_count). State is one row a thread; a thread that stays idle is closed by timeout."""
+    event_count). State is one row a thread; an episode also closes once the watermark has
+    passed its end by the gap."""
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first_ts, first_id, last_ts, n = state.get if state.exists else (None, None, None, 0)
@@ -87,12 +88,12 @@ def live_episodes(stream: DataFrame, gap_seconds: int, key: str = "thread_id", i
                     first_ts, first_id, n = int(ts), str(eid), 0
                 last_ts, n = max(int(ts), last_ts) if last_ts is not None else int(ts), n + 1
             state.update((first_ts, first_id, last_ts, n))
-            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+            state.setTimeoutTimestamp(max((last_ts + gap_seconds + 1) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(closed, columns=[key, "first_event_id", "start_time", "end_time", "event_count"])
 
     out = f"{key} string, first_event_id string, start_time long, end_time long, event_count long"
-    source = stream.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key), "ts", F.col("event_id").cast("string").alias("event_id"))
-    return source.groupBy(key).applyInPandasWithState(step, out, EPISODE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    source = stream.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key), "ts", F.col("event_id").cast("string").alias("event_id"), F.timestamp_seconds("ts").alias("event_time")).withWatermark("event_time", delay)
+    return source.groupBy(key).applyInPandasWithState(step, out, EPISODE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(stream: DataFrame, duration: str = "1 day", delay: str = "1 day") -> DataFrame:
