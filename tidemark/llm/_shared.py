@@ -61,12 +61,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch between Spark and Python. The default of 10,000 means tens of MB of text
+#: at once on either side; work goes by row here, so small batches cost nothing.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches, unless it has a limit of its own."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def map_arrow(df: DataFrame, make, added: list[tuple[str, T.DataType]], keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of `df` (all, without those that `added` replaces) and computed ones.
 
     `make()` runs once in each task and gives a function from a RecordBatch to the lists
     or arrays of the added columns, in order.
     """
+    bound_batches(df.sparkSession)
     names = {n for n, _ in added}
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     fields = [df.schema[c] for c in keep] + [T.StructField(n, t) for n, t in added]

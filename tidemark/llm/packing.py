@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import halved, staged, strings
+from tidemark.llm._shared import bound_batches, halved, staged, strings
 
 LENGTH = 1024
 END_ID = 2
@@ -81,6 +81,7 @@ def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, id: str, text: str, tokenizer: str = TOKENIZER, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, block, nth): nth numbers the pieces of the
     same length within a block, the rows of one task."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
 
