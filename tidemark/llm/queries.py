@@ -52,7 +52,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", F.col("clean_text").alias("text"))
+    return substring.remove_repeats(docs).select("doc_id", "n_removed", F.col("clean_text").alias("text"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

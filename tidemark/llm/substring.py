@@ -10,12 +10,11 @@ A sentence ends at . ! ? before white space, or at a line's end. Run-on sentence
 words picked by their own hash (about one in `BREAK`): such cuts depend on nearby words alone,
 so a passage that was put into the middle of another sentence falls into step after a few words.
 
-How it scales: repeats within a document are found where it is read. Of the others one row a
-span (hash and id) is aggregated map-side to its smallest id; the repeated hashes, a small
+How it scales: repeats within a document are found where it is read. One row a span (hash and id) is aggregated map-side to its smallest id; the repeated hashes, a small
 part, are staged and joined with the spans, a join that Spark splits at hot hashes. Texts move
 once, with the numbers of the sentences to remove.
 
-Defined results: a null text stays null with no sentences. Rows of equal id and text are one
+Defined results: a null text stays null. Rows of equal id and text are one
 document and get the same result. Null ids count as the largest id,
 ids that are no whole numbers are ordered by a hash.
 """
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import halved, map_arrow, staged, strings
+from tidemark.llm._shared import bound_batches, halved, map_arrow, staged, strings
 
 LEAST_SENTENCES, LEAST_WORDS = 3, 20
 #: Words from which fewer sentences make a span.
@@ -100,7 +99,7 @@ def _hashes(bodies: list[str], ends: list[int]) -> list[bytes]:
 
 
 def _spans(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
-    """(h1, h2, doc_id, copy, at): the distinct spans of each document, at their first place."""
+    """(h1, h2, doc_id, copy, at) of each document's spans; -1 - at for one seen in it before."""
 
     def run(batches):
         for batch in batches:
@@ -111,13 +110,13 @@ def _spans(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame
                         continue
                     bodies, counts = sentences(t)
                     first: dict[bytes, int] = {}
+                    before = len(places)
                     for i, h in enumerate(_hashes(bodies, runs(counts, least_sentences, least_words))):
                         if h:
-                            first.setdefault(h, i)
-                    digests += first
-                    places += first.values()
-                    ids += [d] * len(first)
-                    copies += [c] * len(first)
+                            digests.append(h)
+                            places.append(i if first.setdefault(h, i) == i else -1 - i)
+                    ids += [d] * (len(places) - before)
+                    copies += [c] * (len(places) - before)
                 both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, pa.int64()), pa.array(copies, pa.int32()), pa.array(places, pa.int32())], names=["h1", "h2", "doc_id", "copy", "at"])
 
@@ -125,45 +124,35 @@ def _spans(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """`docs` with n_sentences, n_removed and clean_text (white space at the ends trimmed if cut)."""
+    """`docs` with n_removed, the sentences cut, and clean_text (trimmed at its ends if any were)."""
+    bound_batches(docs.sparkSession)
     # `copy` tells apart rows of one id with different texts.
     number = F.col(id).cast("long") if isinstance(docs.schema[id].dataType, T.IntegralType) else F.when(F.col(id).isNotNull(), F.shiftrightunsigned(F.xxhash64(id), 2))
     key = docs.withColumn("__id", F.coalesce(number, F.lit(LAST))).withColumn("__copy", F.hash(text))
     skinny = key.select(F.col("__id").alias("doc_id"), F.col("__copy").alias("copy"), F.col(text).alias("text"))
     spans = _spans(skinny, least_sentences, least_words)
-    seen = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    seen = spans.where("at >= 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     repeated = staged(seen.where("last > first").select("h1", "h2", "first"), "repeated")
-    later = spans.join(repeated, ["h1", "h2"]).where("doc_id > first").select("doc_id", "copy", "at")
+    later = spans.join(repeated, ["h1", "h2"], "left").where("at < 0 OR doc_id > first").select("doc_id", "copy", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"))
     # Bounded by the sentences of a document.
     marks = staged(later.groupBy("doc_id", "copy").agg(F.collect_set("at").alias("__at")), "marks")
     marked = key.join(marks.withColumnsRenamed({"doc_id": "__id", "copy": "__copy"}), ["__id", "__copy"], "left").select(*docs.columns, "__at")
 
     def make():
         def compute(batch):
-            out = [_cut(t, at, least_sentences, least_words) for t, at in zip(strings(batch, text), strings(batch, "__at"), strict=True)]
+            out = [_cut(t, at, least_sentences, least_words) if at else (0, t) for t, at in zip(strings(batch, text), strings(batch, "__at"), strict=True)]
             return list(zip(*out, strict=True))
 
         return compute
 
-    return map_arrow(marked, make, [("n_sentences", T.LongType()), ("n_removed", T.LongType()), ("clean_text", T.StringType())], docs.columns)
+    return map_arrow(marked, make, [("n_removed", T.LongType()), ("clean_text", T.StringType())], docs.columns)
 
 
-def _cut(text, at, least_sentences, least_words):
-    if not text:
-        return 0, 0, text
-    bodies, counts = sentences(text)
+def _cut(text: str, at: list[int], least_sentences: int, least_words: int) -> tuple[int, str]:
+    _, counts = sentences(text)
     ends = runs(counts, least_sentences, least_words)
-    gone = [(i, ends[i]) for i in at or ()]
-    seen: set[bytes] = set()
-    for i, h in enumerate(_hashes(bodies, ends)):
-        if h:
-            if h in seen:
-                gone.append((i, ends[i]))
-            seen.add(h)
-    if not gone:
-        return len(bodies), 0, text
-    cut = np.zeros(len(bodies), bool)
-    for a, b in gone:
-        cut[a:b] = True
-    kept = "".join(text[a:b] for (a, b), c in zip(places(text, counts), cut, strict=True) if not c)
-    return len(bodies), int(cut.sum()), kept.strip()
+    gone = np.zeros(len(counts), bool)
+    for i in at:
+        gone[i : ends[i]] = True
+    kept = "".join(text[a:b] for (a, b), g in zip(places(text, counts), gone, strict=True) if not g)
+    return int(gone.sum()), kept.strip()
