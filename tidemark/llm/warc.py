@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import staged, staging_path
+from tidemark.llm._shared import bound_batches, staged, staging_path
 
 #: Bytes after which a writer begins another archive; bytes of one read.
 ARCHIVE_BYTES, CHUNK = 64 << 20, 1 << 18
@@ -170,6 +170,7 @@ def decide(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFram
 def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = LEAST_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Archives of all rows of `pages`; returns the staged list (archive, n_records)."""
     spark = pages.sparkSession
+    bound_batches(spark)
     folder = folder or staging_path(spark, "warc")
 
     def run(batches):
