@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import identity as fid
-from tidemark.plans.components import components
+from tidemark.plans.components import components, written
 from tidemark.plans.state import merge_df
 
 MOST_IN_GROUP = 50
@@ -150,8 +150,9 @@ def resolve_merges(candidates: DataFrame, facts: DataFrame) -> tuple[DataFrame,
     two members still conflict is left for review as a whole. Sequential merging would keep some
     of its pairs, depending on their order.
     """
+    candidates = written(candidates.select("p1", "p2"))
     bad = conflicts(facts, candidates)
-    good = candidates.select("p1", "p2").join(bad, ["p1", "p2"], "left_anti")
+    good = candidates.join(bad, ["p1", "p2"], "left_anti")
     found = components(good, "p1", "p2").withColumnsRenamed({"node": "person_id", "component": "canonical_id"})
     unique = facts.where(F.col("fact_type").isin(UNIQUE_FACTS)).join(found, "person_id")
     sets = unique.groupBy("canonical_id", "fact_type", "person_id").agg(F.collect_set("fact_value").alias("v")).groupBy("canonical_id", "fact_type").agg(F.count("*").alias("members"), F.flatten(F.collect_list("v")).alias("all"))
