@@ -16,6 +16,7 @@ rows are packed like any other rows. An empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 
 import numpy as np
@@ -48,17 +49,21 @@ class Encoder:
     def __init__(self, name: str = TOKENIZER):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         own, ranks = _paths(name)
-        self.full = Tokenizer.from_file(own)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.own, self.full = own, None  # the tokenizer itself is seldom needed, and large
+        with open(own, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
+            if self.full is None:
+                from tokenizers import Tokenizer
+
+                self.full = Tokenizer.from_file(self.own)
             return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text).astype(np.uint32)
 
