@@ -256,3 +256,17 @@ def test_runs(spark):
     log = spark.createDataFrame([("t", "1", "running", 1), ("t", "1", "completed", 2), ("t", "2", "failed", 1), ("t", "3", "blocked", 1)], "analysis_type string, episode_id string, status string, ts long")
     eps = spark.createDataFrame([(str(i),) for i in range(1, 5)], "episode_id string")
     assert rows(runs.work_list(eps, "t", log), "episode_id") == [("2",), ("4",)]
+
+
+def test_entities_of_large_groups_collide_all(spark):
+    n = 60
+    ents = spark.createDataFrame([(f"e{i:02}", None) for i in range(n)], "entity_id string, merged_into string")
+    names = [(f"e{i:02}", "name", "ann", False) for i in range(n)]
+    mails = [(f"e{i:02}", "email", "office@x.org", False) for i in range(n)]
+    al = spark.createDataFrame(names + mails, "entity_id string, alias_type string, normalized string, is_shared boolean")
+    rel = spark.createDataFrame([(f"e{i:02}", None, "Acme", "WORKS_AT", None) for i in range(n)], "source_entity_id string, target_entity_id string, target_literal string, relation_type string, invalid_at string")
+    got = graph.entity_collisions(ents, al, rel).collect()
+    assert {(r.entity_a_id, r.entity_b_id) for r in got} == {(f"e{i:02}", f"e{j:02}") for i in range(n) for j in range(i + 1, n)}
+    assert len(got) == n * (n - 1) // 2 and {r.reason for r in got} == {"hard_identifier"}
+    compound = graph.entity_collisions(ents, al.where("alias_type = 'name'"), rel).collect()
+    assert len(compound) == n * (n - 1) // 2 and {r.compound_type for r in compound} == {"name_employer"}

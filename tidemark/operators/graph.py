@@ -33,7 +33,6 @@ ASSISTANTS = ["claude", "gpt", "chatgpt", "gpt-4", "gpt-3", "gpt-3.5", "gemini",
 ALIAS_NAME, ALIAS_CONTACT, ALIAS_EXACT, SHARED_FACTOR = 0.85, 0.95, 1.0, 0.7
 EMBEDDING_LEAST, HIGH_CONFIDENCE, CLEAR_GAP, LEAST_MATCH = 0.85, 0.9, 0.15, 0.35
 ONE_HARD, MANY_HARD, NAME_BIRTHDATE, NAME_EMPLOYER = 0.95, 0.99, 0.90, 0.85
-MOST_IN_GROUP = 50
 
 
 @dataclass(frozen=True)
@@ -301,17 +300,10 @@ def invalidate(relationships: DataFrame, found: DataFrame) -> DataFrame:
 # --- collisions and merging of entities ---
 
 
-def _pairs(groups: DataFrame, *keep: str) -> DataFrame:
-    small = groups.where((F.size("ids") > 1) & (F.size("ids") <= MOST_IN_GROUP))
-    first = small.select(*keep, "ids", F.posexplode("ids").alias("i", "entity_a_id"))
-    return first.select(*keep, "entity_a_id", F.explode(F.slice("ids", F.col("i") + 2, F.greatest(F.size("ids") - F.col("i") - 1, F.lit(0)))).alias("entity_b_id"))
-
-
-def _groups(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, ids) of the groups of 2 to MOST_IN_GROUP entities; sizes are known before lists are gathered."""
+def _pairs(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, entity_a_id, entity_b_id) of all entities that share keys; a join, which Spark splits at hot keys."""
     each = rows.select(*keys, "entity_id").distinct()
-    small = each.groupBy(*keys).count().where((F.col("count") > 1) & (F.col("count") <= MOST_IN_GROUP)).drop("count")
-    return each.join(small, list(keys), "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list("entity_id")).alias("ids"))
+    return each.withColumnRenamed("entity_id", "entity_a_id").join(each.withColumnRenamed("entity_id", "entity_b_id"), list(keys)).where("entity_a_id < entity_b_id")
 
 
 def _named_with(aliases: DataFrame, relationships: DataFrame, relation: str) -> DataFrame:
@@ -329,13 +321,13 @@ def entity_collisions(entities: DataFrame, aliases: DataFrame, relationships: Da
     """
     alive = _alive(entities).select("entity_id")
     own = aliases.join(alive, "entity_id", "left_semi")
-    hard = _pairs(_groups(own.where(F.col("alias_type").isin(HARD_ALIASES) & ~F.coalesce("is_shared", F.lit(False)) & F.col("normalized").isNotNull()), "alias_type", "normalized"), "alias_type", "normalized")
+    hard = _pairs(own.where(F.col("alias_type").isin(HARD_ALIASES) & ~F.coalesce("is_shared", F.lit(False)) & F.col("normalized").isNotNull()), "alias_type", "normalized")
     fact = lambda kind, value: F.concat_ws(":", kind, value)
     one = hard.groupBy("entity_a_id", "entity_b_id").agg(F.count("*").alias("hard_matches"), F.sort_array(F.collect_set(fact(F.col("alias_type"), F.col("normalized")))).alias("matching_facts"))
     found = one.select("entity_a_id", "entity_b_id", F.when(F.col("hard_matches") > 1, MANY_HARD).otherwise(ONE_HARD).alias("confidence"), F.when(F.col("hard_matches") > 1, "multiple_hard_identifiers").otherwise("hard_identifier").alias("reason"), F.lit(None).cast("string").alias("compound_type"), "matching_facts", "hard_matches")
     for relation, kind, confidence in (("BORN_ON", "name_birthdate", NAME_BIRTHDATE), ("WORKS_AT", "name_employer", NAME_EMPLOYER)):
         both = _named_with(own, relationships, relation)
-        match = _pairs(_groups(both, "name", "value"), "name", "value").groupBy("entity_a_id", "entity_b_id").agg(F.sort_array(F.collect_set(fact(F.lit(kind), F.concat_ws("/", "name", "value")))).alias("matching_facts"))
+        match = _pairs(both, "name", "value").groupBy("entity_a_id", "entity_b_id").agg(F.sort_array(F.collect_set(fact(F.lit(kind), F.concat_ws("/", "name", "value")))).alias("matching_facts"))
         found = found.unionByName(match.select("entity_a_id", "entity_b_id", F.lit(confidence).alias("confidence"), F.lit("compound").alias("reason"), F.lit(kind).alias("compound_type"), "matching_facts", F.lit(0).cast("long").alias("hard_matches")))
     best = found.groupBy("entity_a_id", "entity_b_id").agg(F.max_by(F.struct("confidence", "reason", "compound_type", "matching_facts", "hard_matches"), "confidence").alias("b"))
     return best.select("entity_a_id", "entity_b_id", "b.*")
