@@ -86,3 +86,10 @@ def test_tree_finds_what_a_scan_finds():
     for q in points[::50]:
         tree = simhash.VantageTree(points)
         assert sorted(tree.take(q, 3)) == np.flatnonzero(np.bitwise_count(points ^ q) <= 3).tolist()
+
+
+def test_rows_without_or_with_the_same_id_stay_if_their_texts_differ(spark):
+    a, b, c = (" ".join(f"{w}{i * i % 97}" for i in range(40)) for w in ("red", "green", "blue"))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, a + " " + b), (2, c)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, a), (None, b), (1, c), (1, a + " " + b)], key=str)

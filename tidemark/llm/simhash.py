@@ -263,13 +263,14 @@ def _linked(cols, fps, radius):
 def components(links: DataFrame, label: DataFrame) -> DataFrame:
     """Smallest label reachable from each node. links: (a, b); label: (fp, low) of all nodes.
 
-    Returns (fp, low) of the nodes in links. Each round every node takes the least label of its
+    Returns (fp, low, root) of the nodes in links; root, a fingerprint, is each component's own,
+    also where two bear the same label. Each round every node takes the least label of its
     neighbours, then that of the node which bears its label: components of any shape shrink by
     a factor in each round. Nothing but one count a round comes to the driver.
     """
     both = staged(links.union(links.select("b", "a")).where("a != b").distinct(), "links")
     if both.isEmpty():
-        return label.limit(0)
+        return label.withColumn("root", F.col("fp")).limit(0)
     # Labels are fingerprints while rounds run, ordered by (least id, fingerprint).
     node = both.select(F.col("a").alias("fp")).distinct().join(label, "fp").select("fp", F.struct(F.col("low").isNull().alias("none"), "low", "fp").alias("best"))
     node = staged(node, "nodes")
@@ -283,23 +284,35 @@ def components(links: DataFrame, label: DataFrame) -> DataFrame:
         changed = not after.where(F.col("best") != F.col("old")).isEmpty()
         node = after.select("fp", "best")
         if not changed:
-            return node.select("fp", F.col("best.low").alias("low"))
+            return node.select("fp", F.col("best.low").alias("low"), F.col("best.fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, most_in_ball: int = MOST_IN_BALL) -> DataFrame:
-    """(id, fingerprint, component_id) of every row of `docs`."""
-    fps = staged(fingerprints(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), "text", shingle).select("doc_id", "fp"), "fingerprints")
+def _grouped(docs: DataFrame, shingle: int, radius: int, most_in_ball: int = MOST_IN_BALL) -> DataFrame:
+    """The rows of `docs` (doc_id, text, others) without texts, with fp, component_id and root."""
+    fps = staged(fingerprints(docs, "text", shingle).drop("text"), "fingerprints")
     label = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "unique")
     low = components(near_links(label.select("fp"), radius, most_in_ball), label)
-    lowest = label.join(low.withColumnRenamed("low", "lower"), "fp", "left").select("fp", F.coalesce("lower", "low").alias("component_id"))
-    lowest = staged(lowest, "components")
-    return fps.join(lowest, "fp", "left").select(F.col("doc_id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    lowest = label.join(low.withColumnRenamed("low", "lower"), "fp", "left").select("fp", F.coalesce("lower", "low").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return fps.join(staged(lowest, "components"), "fp", "left")
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, most_in_ball: int = MOST_IN_BALL) -> DataFrame:
+    """(id, fingerprint, component_id) of every row of `docs`."""
+    found = _grouped(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), shingle, radius, most_in_ball)
+    return found.select(F.col("doc_id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The filter: of each component only one row of its smallest id stays."""
+    """The filter: of each component only one row stays, one of its smallest id.
+
+    Rows are told apart by id and text, so rows that share an id, or have none, and belong to
+    different components all stay.
+    """
     columns = docs.columns
-    groups = near_duplicates(docs, id, text, shingle, radius)
-    stay = groups.where(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("__simhash_id")).distinct()
-    kept = docs.join(stay, F.col(id).eqNullSafe(F.col("__simhash_id")), "left_semi")
-    return kept.dropDuplicates([id]).select(*columns)
+    copy = F.xxhash64(text)
+    found = _grouped(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), copy.alias("copy")), shingle, radius)
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("m"))
+    stay = least.select(F.col("m.doc_id").alias("__simhash_id"), F.col("m.copy").alias("__simhash_stay"))
+    keyed = docs.withColumn("__simhash_copy", copy)
+    kept = keyed.join(stay, F.col(id).eqNullSafe(F.col("__simhash_id")) & (F.col("__simhash_copy") == F.col("__simhash_stay")), "left_semi")
+    return kept.dropDuplicates([id, "__simhash_copy"]).select(*columns)
