@@ -91,3 +91,19 @@ def test_redaction_leaves_no_base_span(spark, sf_dir):
         assert r.text == before[r.doc_id] or brute(before[r.doc_id])[0] != [0, 0, 0, 0] or "<" in r.text
     small = spark.createDataFrame([(1, "mail me@x.org or +1 (909) 555-6237, card 4111 1111 1111 1111 at 10.0.0.1!")], "doc_id long, text string")
     assert pii.redact(small).first().text == "mail <EMAIL> or <PHONE>, card <CARD> at <IP>!"
+
+
+def test_redaction_takes_what_is_found(spark):
+    texts = {
+        "Phone\nHome: 555-123-4567": "Phone\nHome: <TEL>",
+        "Social Security\nNo. 123-45-6789 end": "Social Security\nNo. <SSN> end",
+        "TÉLÉPHONE 030 1234 5678": "TÉLÉPHONE <TEL>",
+        "phone@x.org 030 1234 5678": "<EMAIL> <TEL>",
+        "+49 30 4111 1111 1111 1111 and score 030 1234 5678": None,
+        "part 123-45-6789": "part 123-45-6789",
+        "": "",
+    }
+    docs = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert all(want is None or out[i] == want for i, want in enumerate(texts.values())) and out[9] is None
+    assert all(r.spans == "" for r in pii.summary(pii.redact(docs)).where("doc_id != 4").collect())

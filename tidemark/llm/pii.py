@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._shared import put_aside, restored
+
 BASE = ("email", "ip", "card", "phone")
 MORE = ("iban", "ssn", "tel")
 LEAST_SCORE = 0.5
@@ -103,6 +105,12 @@ def _may(kind: str, text: Column) -> Column:
     return text.rlike(GUARD[kind])
 
 
+def _near(kind: str, before: Column) -> Column:
+    """Whether one of the kind's context words is among the code points before a span."""
+    words = "|".join(CONTEXT[kind].split())
+    return F.lower(before).rlike(rf"(?<!\p{{L}})(?:{words})(?!\p{{L}})")
+
+
 #: Matches of a block, so that appending within one and over blocks stays cheap.
 BLOCK = 128
 
@@ -139,11 +147,9 @@ def _places(kind: str, rank: int, text: Column) -> Column:
     pairs = F.arrays_zip(F.split(text, PATTERN[kind], -1).alias("gap"), matches.alias("match"))
     found = F.filter(_running(pairs), lambda x: x["match"].isNotNull())
     base, more = SCORE[kind]
-    words = "|".join(CONTEXT[kind].split())
 
     def span(x):
-        near = F.lower(x["before"]).rlike(rf"(?<!\p{{L}})(?:{words})(?!\p{{L}})")
-        score = F.when(near, F.lit(base + more)).otherwise(F.lit(base))
+        score = F.when(_near(kind, x["before"]), F.lit(base + more)).otherwise(F.lit(base))
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), (x["start"] + F.length(x["match"])).alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
     spans = F.transform(F.filter(found, lambda x: _valid(kind, x["match"])), span)
@@ -177,22 +183,48 @@ def summary(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     return found.select(F.col("__key").alias(id), *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
 
 
+#: Kinds by the width of their patterns: a telephone number's takes in any card or address that
+#: starts inside of it, an e-mail address's any number.
+WIDEST = ("email", "phone", "iban", "card", "ip", "ssn", "tel")
+
+
+def _masked(body: Column, spans: Column) -> Column:
+    """`body` with its sorted spans replaced; overlapping ones become one, named for the widest kind."""
+    none = F.array().cast("array<struct<since:int,start:int,end:int,width:int>>")
+    width = lambda s: F.array_position(F.array(*map(F.lit, WIDEST)), s["kind"]).cast("int")
+
+    def step(acc, s):
+        last = F.get(acc, F.size(acc) - 1)
+        end = F.coalesce(last["end"], F.lit(0))
+        joined = F.struct(last["since"].alias("since"), last["start"].alias("start"), F.greatest(end, s["end"]).alias("end"), F.least(last["width"], width(s)).alias("width"))
+        fresh = F.struct(end.alias("since"), s["start"].alias("start"), s["end"].alias("end"), width(s).alias("width"))
+        return F.when(s["start"] < end, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(fresh)))
+
+    def text(acc):
+        marks = F.array(*[F.lit(f"<{k.upper()}>") for k in WIDEST])
+        parts = F.transform(acc, lambda m: F.concat(F.substring(body, m["since"] + 1, m["start"] - m["since"]), F.get(marks, m["width"] - 1)))
+        rest = F.substring(body, F.get(acc, F.size(acc) - 1)["end"] + 1, F.length(body))
+        return F.array_join(F.concat(parts, F.array(rest)), "")
+
+    return F.when(F.size(spans) > 0, F.aggregate(spans, none, step, text)).otherwise(body)
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with every confirmed span replaced by <KIND>; the rest of the text stays as it is.
 
-    Kind by kind, widest patterns first: a telephone number's pattern takes in any card or
-    address that starts inside of it, an e-mail address's any number.
+    The spans are those of `find`. What a mask between them makes a new match is then replaced
+    kind by kind, widest patterns first, under the same context test.
     """
     columns = docs.columns
-    for kind in ("email", "phone", "iban", "card", "ip", "ssn", "tel"):
+    found = find(put_aside(docs, text), text)
+    docs = restored(found.withColumn(text, F.when(F.col(text).isNotNull(), _masked(F.col(text), F.col("pii")))), columns, (text,))
+    for kind in WIDEST:
         body = F.col(text)
         matches = F.regexp_extract_all(body, F.lit(f"({PATTERN[kind]})"), F.lit(1))
         # The last gap has no match behind it.
         mask = lambda m, k=kind: F.when(m.isNull(), "").when(_valid(k, m), F.lit(f"<{k.upper()}>")).otherwise(m)
         if kind in MORE and SCORE[kind][0] < LEAST_SCORE:
-            words = "|".join(CONTEXT[kind].split())
-            near = rf"(?i)(?<!\p{{L}})(?:{words})(?!\p{{L}})[^\n]{{0,{NEAR}}}$"
-            joined = F.zip_with(F.split(body, PATTERN[kind], -1), matches, lambda gap, m: F.concat(gap, F.when(F.right(gap, F.lit(NEAR)).rlike(near), mask(m)).otherwise(F.coalesce(m, F.lit("")))))
+            joined = F.zip_with(F.split(body, PATTERN[kind], -1), matches, lambda gap, m: F.concat(gap, F.when(_near(kind, F.right(gap, F.lit(NEAR))), mask(m)).otherwise(F.coalesce(m, F.lit("")))))
         else:
             joined = F.zip_with(F.split(body, PATTERN[kind], -1), matches, lambda gap, m: F.concat(gap, mask(m)))
         docs = docs.withColumn(text, F.when(_may(kind, body), F.array_join(joined, "")).otherwise(body))
