@@ -103,7 +103,7 @@ _FORM = "regexp_replace(trim(regexp_replace(regexp_replace(trim(lower({c})), ' j
 def _named(spark, sf_dir):
     from tidemark.catalog.base import table
 
-    return table(spark, sf_dir, "customer").where("c_custkey < 600").selectExpr("'c' || c_custkey AS person_id", "CASE WHEN c_custkey % 4 = 0 THEN 'Anna  Bell' ELSE 'anna bell' END || (c_custkey % 211) || CASE WHEN c_custkey % 5 = 0 THEN ' Jr' ELSE '' END AS canonical_name", "CASE WHEN c_custkey % 3 = 0 THEN 'Bell' || (c_custkey % 211) END AS display_name")
+    return table(spark, sf_dir, "customer").selectExpr("'c' || c_custkey AS person_id", "CASE WHEN c_custkey % 4 = 0 THEN 'Anna  Bell' ELSE 'anna bell' END || (c_custkey % 211) || CASE WHEN c_custkey % 5 = 0 THEN ' Jr' ELSE '' END AS canonical_name", "CASE WHEN c_custkey % 3 = 0 THEN 'Bell' || (c_custkey % 211) END AS display_name")
 
 
 @query(f"WITH {_NAMES}, n AS (SELECT DISTINCT person_id, {_FORM.format(c='canonical_name')} AS name FROM persons UNION SELECT person_id, {_FORM.format(c='display_name')} FROM persons WHERE display_name IS NOT NULL), m AS (SELECT a.person_id AS p1, b.person_id AS p2, CASE WHEN a.name = b.name THEN 0.8 ELSE 0.6 END AS confidence, CASE WHEN a.name = b.name THEN 'exact' ELSE 'substring' END AS match FROM n a JOIN n b ON a.person_id < b.person_id WHERE length(a.name) >= 3 AND length(b.name) >= 3 AND (a.name = b.name OR ((contains(a.name, b.name) OR contains(b.name, a.name)) AND least(length(a.name), length(b.name)) >= 4 AND CAST(least(length(a.name), length(b.name)) AS DOUBLE) / greatest(length(a.name), length(b.name)) > 0.5))) SELECT p1, p2, MIN(match) AS match, CAST(MAX(confidence) AS DOUBLE) AS confidence FROM m GROUP BY p1, p2")
