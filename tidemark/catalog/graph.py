@@ -14,7 +14,7 @@ AS_OF, NOW = "1998-06-30", "2000-01-01"
 
 
 def _start(spark, sf_dir):
-    return entities(spark, sf_dir).where("k % 25 = 0").select(F.col("entity_id").alias("start_id"))
+    return entities(spark, sf_dir).select(F.col("entity_id").alias("start_id"))
 
 
 _OUT = "SELECT s.start_id, 'outgoing' AS direction, a.entity_id, r.relationship_id, r.created_at FROM relationships r JOIN start s ON r.source_entity_id = s.start_id JOIN alive a ON a.entity_id = r.target_entity_id WHERE {w}"
@@ -127,7 +127,7 @@ _MENTIONS = "mentions AS (SELECT entity_id AS mention_id, CASE WHEN k % 2 = 0 TH
 
 
 def _mentions(spark, sf_dir):
-    return entities(spark, sf_dir).where("k % 7 = 0").selectExpr("entity_id AS mention_id", "CASE WHEN k % 2 = 0 THEN 'm' || (k % 700) || '@X.example' WHEN k % 3 = 0 THEN canonical_name ELSE 'nobody ' || k END AS name")
+    return entities(spark, sf_dir).selectExpr("entity_id AS mention_id", "CASE WHEN k % 2 = 0 THEN 'm' || (k % 700) || '@X.example' WHEN k % 3 = 0 THEN canonical_name ELSE 'nobody ' || k END AS name")
 
 
 _CANDIDATES = f"WITH {ENTITIES}, {ALIASES}, {_MENTIONS}, cand AS (SELECT m.mention_id, a.entity_id, MAX(CASE WHEN a.normalized = lower(trim(m.name)) THEN 1.0 WHEN a.alias_type IN ('email', 'phone') THEN 0.95 ELSE 0.85 END) AS alias_score FROM mentions m JOIN aliases a ON a.normalized = lower(trim(m.name)) OR a.alias = m.name JOIN entities e ON e.entity_id = a.entity_id WHERE e.merged_into IS NULL GROUP BY m.mention_id, a.entity_id)"
