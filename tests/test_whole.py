@@ -1,7 +1,8 @@
 """Registered queries take every row of their tables."""
 
 from tidemark import catalog
-from tidemark.catalog.base import entities, relationships, table
+from tidemark.catalog.base import entities, facts, relationships, table
+from tidemark.operators import identity as ident
 
 
 def test_all_names_are_compared(spark, tmp_path):
@@ -31,3 +32,11 @@ def test_graph_queries_start_from_all_entities(spark, sf_dir):
     assert out.exceptAll(got.withColumnRenamed("start_id", "source_entity_id")).isEmpty() and got.count() > 1
     for name in ("graph_in", "graph_asof", "entity_relationships"):
         assert not catalog.QUERIES[name](spark, sf_dir).where("cast(substr(start_id, 2) AS long) % 25 != 0").isEmpty()
+
+
+def test_persons_of_a_domain_are_paired_however_many(spark, sf_dir):
+    emails = spark.createDataFrame([(f"p{i:02}", f"n{i}@Firm.example") for i in range(60)] + [("q1", "a@gmail.com"), ("q2", "b@gmail.com")], "person_id string, email string")
+    got = ident.shared_domain(emails)
+    assert got.count() == 60 * 59 // 2 and {r.domain for r in got.select("domain").distinct().collect()} == {"firm.example"}
+    real = facts(spark, sf_dir).where("fact_type = 'email_personal'").selectExpr("split_part(lower(fact_value), '@', 2) AS domain").distinct()
+    assert catalog.QUERIES["shared_domain"](spark, sf_dir).join(real, "domain", "left_anti").isEmpty()

@@ -113,7 +113,7 @@ def name_similarity(spark, sf_dir):
 
 @query(f"WITH {FACTS}, d AS (SELECT DISTINCT person_id, split_part(lower(fact_value), '@', 2) || CAST(length(fact_value) AS VARCHAR) || split_part(person_id, '9', 1) AS domain FROM facts WHERE fact_type = 'email_personal'), s AS (SELECT domain FROM d GROUP BY domain HAVING COUNT(*) <= 50) SELECT a.person_id AS p1, b.person_id AS p2, MIN(a.domain) AS domain, CAST(0.5 AS DOUBLE) AS confidence FROM d a JOIN d b ON a.domain = b.domain AND a.person_id < b.person_id WHERE a.domain IN (SELECT domain FROM s) GROUP BY a.person_id, b.person_id")
 def shared_domain(spark, sf_dir):
-    emails = facts(spark, sf_dir).where("fact_type = 'email_personal'").selectExpr("person_id", "fact_value || length(fact_value) || split_part(person_id, '9', 1) AS email")
+    emails = facts(spark, sf_dir).where("fact_type = 'email_personal'").selectExpr("person_id", "fact_value AS email")
     return ident.shared_domain(emails)
 
 

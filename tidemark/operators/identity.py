@@ -294,14 +294,12 @@ def name_similarity(persons: DataFrame) -> DataFrame:
     return every.groupBy("p1", "p2").agg(F.min("match").alias("match"), F.max("confidence").alias("confidence"))
 
 
-def shared_domain(emails: DataFrame, most: int | None = MOST_IN_GROUP) -> DataFrame:
+def shared_domain(emails: DataFrame) -> DataFrame:
     """(p1, p2, domain, confidence) of persons with addresses (person_id, email) at one private domain.
 
-    Domains of more than `most` persons say nothing of two of them (None: no limit)."""
+    As in the reference, however many persons a domain has."""
     parts = F.split(F.lower("email"), "@")
     own = emails.where(F.size(parts) == 2).select("person_id", parts[1].alias("domain")).where(~F.col("domain").isin(fid.PUBLIC_DOMAINS)).distinct()
-    if most is not None:
-        own = own.join(own.groupBy("domain").count().where(F.col("count") <= most).select("domain"), "domain", "left_semi")
     a, b = own.withColumnRenamed("person_id", "p1"), own.withColumnRenamed("person_id", "p2")
     return a.join(b, "domain").where("p1 < p2").groupBy("p1", "p2").agg(F.min("domain").alias("domain")).withColumn("confidence", F.lit(0.5))
 
