@@ -70,3 +70,30 @@ def test_repeats_within_a_document(spark):
     text = block + "Something else comes between these two passages. " + block
     row = substring.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.n_removed > 0 and row.clean_text.startswith(block.strip()) and len(row.clean_text) < len(text) - 60
+
+
+PASSAGE = " ".join(f"This is the {w} sentence of it, said {w} times in all." for w in "one two three four five six seven eight nine ten eleven twelve".split())
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    own = [f"Here speaks the {w} text of them all. It has {w} words of its own, or so. " for w in ("red", "green", "blue", "grey")]
+    rows = [(None, own[0] + PASSAGE), (None, own[1] + PASSAGE), (7, own[2] + PASSAGE), (7, own[3] + PASSAGE), (7, own[3] + PASSAGE)]
+    out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(out) == 5 and all(r.clean_text.startswith(r.text[:60]) for r in out)
+    whole = [r for r in out if r.clean_text == r.text]
+    # One text under the smallest id keeps the passage, be it in one row or in two of them.
+    assert {r.doc_id for r in whole} == {7} and len({r.text for r in whole}) == 1
+    assert all(r.n_removed == (0 if r in whole else 12) for r in out)
+
+
+def test_many_texts_without_an_id(spark):
+    rows = [(None, f"Text number {i}. " + PASSAGE) for i in range(300)] + [(None, "")]
+    out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(out) == 301 and sum(r.n_removed == 0 for r in out if r.text) == 1
+
+
+def test_sentences_end_where_they_end():
+    short = "One sentence is here, of many words that could all be picked as breaks. Another follows! And a third?\nA line of its own"
+    assert substring.sentences(short)[0] == [s.lower() for s in short.replace("\n", " ").replace("breaks. ", "breaks.|").replace("follows! ", "follows!|").replace("third? ", "third?|").split("|")]
+    bodies, counts = substring.sentences(" ".join(f"w{i}" for i in range(500)))
+    assert sum(counts) == 500 and max(counts) <= substring.MOST_WORDS and len(bodies) > 20

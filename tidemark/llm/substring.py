@@ -3,20 +3,23 @@
 A text is cut into sentences; from each sentence on, the shortest run of at least
 `LEAST_SENTENCES` sentences and `LEAST_WORDS` words (or of `LONG_WORDS` words, however few
 sentences) is a span and is hashed (128 bits, lower case, white space as one space). A span that
-occurred before, in the same document or in one with a smaller id, is repeated; every sentence
-that a repeated span covers is removed.
+occurred before, in the same document or in an earlier one, is repeated; every sentence that a
+repeated span covers is removed.
 
-A sentence ends at . ! ? before white space, or at a line's end. Run-on sentences also end at
-words picked by their own hash (about one in `BREAK`): such cuts depend on nearby words alone,
-so a passage that was put into the middle of another sentence falls into step after a few words.
+A sentence ends at . ! ? before white space, or at a line's end. Only run-on sentences, of more
+than `RUN_ON` words, are cut further: after words picked by their own hash (about one in
+`BREAK`) and after `MOST_WORDS` words. Such cuts depend on nearby words alone, so a passage that
+was put into the middle of another sentence falls into step after a few words.
 
-How it scales: repeats within a document are found where it is read. One row a span (hash and id) is aggregated map-side to its smallest id; the repeated hashes, a small
+How it scales: spans are made once and staged, repeats within a document are found on the way.
+One row a span is aggregated map-side to its least and greatest ids; the repeated hashes, a small
 part, are staged and joined with the spans, a join that Spark splits at hot hashes. Texts move
 once, with the numbers of the sentences to remove.
 
-Defined results: a null text stays null. Rows of equal id and text are one
-document and get the same result. Null ids count as the largest id,
-ids that are no whole numbers are ordered by a hash.
+Defined results: a null text stays null. Documents are ordered by id, then by a hash of the text;
+those without an id come last, by another hash of the text. Rows of equal id and text are one
+document and get the same result; rows that share an id, or have none, and differ in text are
+documents of their own. Ids that are no whole numbers are ordered by a hash.
 """
 
 from __future__ import annotations
@@ -35,36 +38,39 @@ from tidemark.llm._shared import bound_batches, halved, map_arrow, staged, strin
 
 LEAST_SENTENCES, LEAST_WORDS = 3, 20
 #: Words from which fewer sentences make a span.
-LONG_WORDS = 40
-BREAK, MOST_WORDS = 10, 48
+LONG_WORDS = 32
+RUN_ON, BREAK, MOST_WORDS = 20, 8, 40
 TOKEN = re.compile(r"\S+")
-LAST = 1 << 62
+END = re.compile(r"(?<=[.!?])\s+|\n")
+#: Order of documents without an id: from here on, by a hash.
+NO_ID = 1 << 62
 
 
 class _Breaks(dict):
-    """Whether a sentence ends with a word, remembered for the words seen lately."""
+    """Whether a run-on sentence is cut after a word, remembered for the words seen lately."""
 
     def __missing__(self, word: str) -> bool:
         if len(self) > 500_000:
             self.clear()
-        self[word] = out = word[-1] in ".!?" or zlib.crc32(word.encode("utf-8", "surrogatepass")) % BREAK == 0
+        self[word] = out = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BREAK == 0
         return out
 
 
-_ends = _Breaks().__getitem__
+_breaks = _Breaks().__getitem__
 
 
 def sentences(text: str) -> tuple[list[str], list[int]]:
     """The sentences in normal form, and their numbers of words."""
     bodies, counts = [], []
-    for line in text.lower().split("\n"):
-        words = line.split()
+    for sentence in END.split(text.lower()):
+        words = sentence.split()
         begin = 0
-        for end, ends in enumerate(map(_ends, words), 1):
-            if ends or end - begin == MOST_WORDS:
-                bodies.append(" ".join(words[begin:end]))
-                counts.append(end - begin)
-                begin = end
+        if len(words) > RUN_ON:
+            for end, cut in enumerate(map(_breaks, words), 1):
+                if cut or end - begin == MOST_WORDS:
+                    bodies.append(" ".join(words[begin:end]))
+                    counts.append(end - begin)
+                    begin = end
         if begin < len(words):
             bodies.append(" ".join(words[begin:]))
             counts.append(len(words) - begin)
@@ -98,45 +104,57 @@ def _hashes(bodies: list[str], ends: list[int]) -> list[bytes]:
     return [xxhash.xxh3_128_digest(joined[at[i] : at[e]]) if e else b"" for i, e in enumerate(ends)]
 
 
+_SPAN = "h1 long, h2 long, id long, copy long, at int"
+
+
 def _spans(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
-    """(h1, h2, doc_id, copy, at) of each document's spans; -1 - at for one seen in it before."""
+    """(h1, h2, id, copy, at) of each document's spans; -1 - at for one seen in it before."""
 
     def run(batches):
         for batch in batches:
             for part in halved(batch):
-                digests, ids, copies, places = [], [], [], []
-                for d, c, t in zip(strings(part, "doc_id"), strings(part, "copy"), strings(part, "text"), strict=True):
+                digests, ids, copies, at = [], [], [], []
+                for d, c, t in zip(strings(part, "id"), strings(part, "copy"), strings(part, "text"), strict=True):
                     if not t:
                         continue
                     bodies, counts = sentences(t)
                     first: dict[bytes, int] = {}
-                    before = len(places)
+                    before = len(at)
                     for i, h in enumerate(_hashes(bodies, runs(counts, least_sentences, least_words))):
                         if h:
                             digests.append(h)
-                            places.append(i if first.setdefault(h, i) == i else -1 - i)
-                    ids += [d] * (len(places) - before)
-                    copies += [c] * (len(places) - before)
+                            at.append(i if first.setdefault(h, i) == i else -1 - i)
+                    ids += [d] * (len(at) - before)
+                    copies += [c] * (len(at) - before)
                 both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, pa.int64()), pa.array(copies, pa.int32()), pa.array(places, pa.int32())], names=["h1", "h2", "doc_id", "copy", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, pa.int64()), pa.array(copies, pa.int64()), pa.array(at, pa.int32())], names=["h1", "h2", "id", "copy", "at"])
+
+    return docs.mapInArrow(run, _SPAN)
+
 
-    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, copy int, at int")
+def _later(spans: DataFrame) -> DataFrame:
+    """(id, copy, at) of the spans that occurred before."""
+    places = ["h1", "h2"]
+    seen = spans.where("at >= 0").groupBy(*places).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("copy").alias("low"), F.max("copy").alias("high"))
+    repeated = staged(seen.where("first < last OR low < high").select(*places, "first"), "repeated")
+    found = staged(spans.where("at >= 0").join(repeated, places), "found")
+    # Rows that share their id: of documents with the smallest one, the least copy comes first.
+    least = found.where("id = first").groupBy(*places).agg(F.min("copy").alias("least"), F.max("copy").alias("most")).where("least < most")
+    after = found.join(staged(least.drop("most"), "least"), places, "left").where("id > first OR copy > least")
+    within = spans.where("at < 0").withColumn("at", -1 - F.col("at"))
+    return after.select("id", "copy", "at").union(within.select("id", "copy", "at"))
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """`docs` with n_removed, the sentences cut, and clean_text (trimmed at its ends if any were)."""
     bound_batches(docs.sparkSession)
-    # `copy` tells apart rows of one id with different texts.
     number = F.col(id).cast("long") if isinstance(docs.schema[id].dataType, T.IntegralType) else F.when(F.col(id).isNotNull(), F.shiftrightunsigned(F.xxhash64(id), 2))
-    key = docs.withColumn("__id", F.coalesce(number, F.lit(LAST))).withColumn("__copy", F.hash(text))
-    skinny = key.select(F.col("__id").alias("doc_id"), F.col("__copy").alias("copy"), F.col(text).alias("text"))
-    spans = _spans(skinny, least_sentences, least_words)
-    seen = spans.where("at >= 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    repeated = staged(seen.where("last > first").select("h1", "h2", "first"), "repeated")
-    later = spans.join(repeated, ["h1", "h2"], "left").where("at < 0 OR doc_id > first").select("doc_id", "copy", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"))
+    other = F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col(text)), 2) + F.lit(NO_ID)
+    key = docs.withColumn("__id", F.coalesce(number, other)).withColumn("__copy", F.xxhash64(text))
+    spans = staged(_spans(key.select(F.col("__id").alias("id"), F.col("__copy").alias("copy"), F.col(text).alias("text")), least_sentences, least_words), "spans")
     # Bounded by the sentences of a document.
-    marks = staged(later.groupBy("doc_id", "copy").agg(F.collect_set("at").alias("__at")), "marks")
-    marked = key.join(marks.withColumnsRenamed({"doc_id": "__id", "copy": "__copy"}), ["__id", "__copy"], "left").select(*docs.columns, "__at")
+    marks = staged(_later(spans).groupBy("id", "copy").agg(F.collect_set("at").alias("__at")), "marks")
+    marked = key.join(marks.withColumnsRenamed({"id": "__id", "copy": "__copy"}), ["__id", "__copy"], "left").select(*docs.columns, "__at")
 
     def make():
         def compute(batch):
