@@ -93,3 +93,41 @@ def test_rows_without_or_with_the_same_id_stay_if_their_texts_differ(spark):
     rows = [(None, a), (None, b), (None, b), (1, c), (1, a + " " + b), (2, c)]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(None, a), (None, b), (1, c), (1, a + " " + b)], key=str)
+
+
+def test_balls_are_divided_until_none_is_overfull(spark):
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    # A hot ball: all agree in 40 bits; and strangers.
+    fps = sorted({centre ^ rng.getrandbits(24) for _ in range(3000)} | {rng.getrandbits(64) for _ in range(500)})
+    unique = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    sizes = simhash.balls(unique, most_in_ball=100).groupBy("mask", "value").count()
+    masks = simhash.Masks(3)
+    assert len(masks.children([0])) == 4 and masks.divisible(1)
+    assert sizes.agg({"count": "max"}).first()[0] <= 2048
+    asked = {(r.mask, r.value, r.fp) for r in simhash.balls(unique, most_in_ball=100).collect()}
+    by = {}
+    for mask, value, fp in asked:
+        by.setdefault(fp, set()).add((mask, value))
+    a = np.array(fps, np.uint64)
+    for i in range(0, len(a), 7):
+        for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 3):
+            assert by[int(a[i].astype(np.int64))] & by[int(a[j].astype(np.int64))]
+
+
+def test_every_link_comes_from_a_tree(spark, sf_dir, monkeypatch):
+    rng = np.random.default_rng(5)
+    fps = np.unique(np.concatenate([rng.integers(0, 1 << 6, 40, dtype=np.uint64) | np.uint64(k << 50) for k in range(30)]))
+    value = (fps >> np.uint64(50)).astype(np.int64)
+    order = np.argsort(value, kind="stable")
+    a, b = simhash.ball_links([value[order]], fps[order])
+    assert len(a) > 100
+    monkeypatch.setattr(simhash.VantageTree, "take", lambda *_: simhash._NONE)
+    assert not len(simhash.ball_links([value[order]], fps[order])[0])
+
+
+def test_a_row_that_shares_its_id_with_a_copy_stays(spark):
+    a, b = (" ".join(f"{w}{i * i % 97}" for i in range(40)) for w in ("red", "green"))
+    rows = [(1, a), (5, a), (5, b)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted(map(tuple, kept)) == [(1, a), (5, b)]

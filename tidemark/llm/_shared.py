@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where a session has none (local tests), a temporary one is set.
+    Only where a session has none and runs in one process (local tests), a temporary one is set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -73,6 +77,20 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_ROWS)
 
 
+#: Columns that name a row's place: its file and its number there.
+PLACE = ("__file", "__row")
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """`df` with `PLACE`, the same in every pass; rows that don't come from Parquet files are staged."""
+    try:
+        known = "row_index" in df.select("_metadata").schema["_metadata"].dataType.fieldNames()
+    except AnalysisException:
+        known = False
+    df = df if known else staged(df, "rows")
+    return df.select("*", F.xxhash64("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+
+
 def map_arrow(df: DataFrame, make, added: list[tuple[str, T.DataType]], keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of `df` (all, without those that `added` replaces) and computed ones.
 

@@ -9,7 +9,8 @@ send most fingerprints to both sides. Distances under a mask of 16 bits are a me
 and two fingerprints within 3 bits agree on at least one of four such masks; so the shards are
 the radius-0 balls of the four masked metrics and a fingerprint is asked in each of the four
 balls that it lies in. Balls of more than `most_in_ball` fingerprints are divided again by masks
-of their remaining bits. Inside a ball a vantage-point tree over whole fingerprints finds the
+of their remaining bits, again and again until none is left: the bits run out before that, so no
+task ever holds more. In every ball a vantage-point tree over whole fingerprints finds the
 exact neighbours, pruned by the triangle inequality, and a fingerprint that has joined a
 component leaves the tree, so a ball of near copies takes about as many distances as members
 and yields a spanning forest, never its pairs. Links and components stay distributed:
@@ -29,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import map_arrow, staged, strings
+from tidemark.llm._shared import PLACE, map_arrow, placed, staged, strings
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-#: Fingerprints of a ball from which it is divided again.
-MOST_IN_BALL = 4096
+#: Fingerprints of a ball from which it is divided again; balls that agree in all bits but these aren't.
+MOST_IN_BALL, FREE_BITS = 4096, 11
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -81,14 +82,14 @@ def distances(one: np.uint64, many: np.ndarray) -> np.ndarray:
 class VantageTree:
     """Over distinct fingerprints; `take` returns and removes those within a radius."""
 
-    LEAF = 32
+    LEAF = 64
 
     def __init__(self, points: np.ndarray):
         self.points, self.alive = points, np.ones(len(points), bool)
-        self.nodes: list[tuple] = []  # (vantage, radius, inner, outer) or (members,)
+        self.nodes: list[list] = []  # [vantage, radius, inner, outer] or [members]
         self.left: list[int] = []  # members alive below each node
         self.up: list[int] = []
-        self.leaf_of = np.empty(len(points), np.int64)
+        self.leaf_of = np.zeros(len(points), np.int64)
         self._build()
 
     def _build(self) -> None:
@@ -100,15 +101,17 @@ class VantageTree:
             self.left.append(len(ids))
             if parent >= 0:
                 self.nodes[parent][2 + side] = me
-            far = distances(self.points[ids[0]], self.points[ids])
-            cut = int(np.median(far))
-            inner = far <= cut
-            if len(ids) <= self.LEAF or inner.all():
-                self.nodes.append((ids,))
-                self.leaf_of[ids] = me
-                continue
-            self.nodes.append([self.points[ids[0]], cut, -1, -1])
-            work += [(ids[inner], me, 0), (ids[~inner], me, 1)]
+            if len(ids) > self.LEAF:
+                vantage = self.points[ids[0]]
+                far = distances(vantage, self.points[ids])
+                cut = int(np.median(far))
+                inner = far <= cut
+                if not inner.all():
+                    self.nodes.append([vantage, cut, -1, -1])
+                    work += [(ids[inner], me, 0), (ids[~inner], me, 1)]
+                    continue
+            self.nodes.append([ids])
+            self.leaf_of[ids] = me
 
     def remove(self, ids) -> None:
         for i in ids:
@@ -129,8 +132,10 @@ class VantageTree:
             if len(node) == 1:
                 ids = node[0]
                 if self.left[at] < len(ids):
-                    ids = ids[self.alive[ids]]
-                found.append(ids[distances(point, self.points[ids]) <= radius])
+                    ids = node[0] = ids[self.alive[ids]]
+                near = ids[distances(point, self.points[ids]) <= radius]
+                if len(near):
+                    found.append(near)
                 continue
             vantage, cut, inner, outer = node
             far = int(point ^ vantage).bit_count()
@@ -138,11 +143,16 @@ class VantageTree:
                 work.append(inner)
             if far + radius > cut:
                 work.append(outer)
-        got = np.concatenate(found) if found else np.empty(0, np.int64)
+        if not found:
+            return _NONE
+        got = np.concatenate(found)
         self.remove(got)
         return got
 
 
+_NONE = np.empty(0, np.int64)
+
+
 def forest(points: np.ndarray, radius: int) -> np.ndarray:
     """For each of the distinct points the smallest position in its component."""
     root = np.arange(len(points))
@@ -159,103 +169,102 @@ def forest(points: np.ndarray, radius: int) -> np.ndarray:
 
 
 def ball_links(keys: list[np.ndarray], fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components in each run of equal keys (rows sorted by keys).
-
-    Small balls are compared at shifts 1, 2, ... of the sorted rows at once; those over 32
-    members each with a tree.
-    """
+    """Links that span the components in each ball, a run of equal keys (rows sorted by keys)."""
     n = len(fps)
     new = np.ones(n, bool)
     new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     start = np.flatnonzero(new)
     sizes = np.diff(np.append(start, n))
-    left, right = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-    small = np.repeat(sizes <= VantageTree.LEAF, sizes)
-    after = np.repeat(start + sizes, sizes) - np.arange(n)  # rows to the end of the ball
-    at = np.flatnonzero(small)
-    for shift in range(1, VantageTree.LEAF):
-        at = at[after[at] > shift]
-        if not len(at):
-            break
-        near = at[np.bitwise_count(fps[at] ^ fps[at + shift]) <= radius]
-        left.append(fps[near])
-        right.append(fps[near + shift])
-    for a, size in zip(start[sizes > VantageTree.LEAF].tolist(), sizes[sizes > VantageTree.LEAF].tolist(), strict=True):
-        own = np.unique(fps[a : a + size])
+    left, right = [], []
+    for a, size in zip(start[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        own = fps[a : a + size]
         root = forest(own, radius)
-        linked = np.flatnonzero(root != np.arange(len(own)))
-        left.append(own[root[linked]])
-        right.append(own[linked])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _masks(bits: list[int], parts: int) -> list[list[int]]:
-    return [bits[len(bits) * i // parts : len(bits) * (i + 1) // parts] for i in range(parts)]
-
-
-def _block(fp, bits: list[int]):
-    """The value of consecutive `bits` of `fp`, JVM-side."""
-    return F.shiftrightunsigned(fp, bits[0]).bitwiseAND(F.lit((1 << len(bits)) - 1))
+        linked = np.flatnonzero(root != np.arange(size))
+        if len(linked):
+            left.append(own[root[linked]])
+            right.append(own[linked])
+    return np.concatenate(left or [np.empty(0, np.uint64)]), np.concatenate(right or [np.empty(0, np.uint64)])
+
+
+class Masks:
+    """The masks that divide fingerprints into balls, as a tree: each node's mask holds its parent's
+    bits and one of `radius` + 1 parts of the others, so two fingerprints within the radius that
+    agree under a mask agree under one of its children's as well."""
+
+    def __init__(self, radius: int):
+        self.parts = radius + 1
+        self.free = [list(range(64))]  # by number: bits that a mask leaves free
+        self.mask = [0]
+
+    def children(self, level: list[int]) -> list[tuple[int, int, int]]:
+        """(parent, child, the child's mask as a signed long) for each of the nodes in `level`."""
+        out = []
+        for parent in level:
+            bits = self.free[parent]
+            for i in range(self.parts):
+                own = bits[len(bits) * i // self.parts : len(bits) * (i + 1) // self.parts]
+                self.free.append([b for b in bits if b not in own])
+                self.mask.append(self.mask[parent] | sum(1 << b for b in own))
+                out.append((parent, len(self.free) - 1, int(np.uint64(self.mask[-1]).astype(np.int64))))
+        return out
+
+    def divisible(self, node: int) -> bool:
+        return len(self.free[node]) > FREE_BITS
+
+
+def balls(unique: DataFrame, radius: int = RADIUS, most_in_ball: int = MOST_IN_BALL) -> DataFrame:
+    """(fp, mask, value): the balls that each distinct fingerprint lies in."""
+    spark, masks = unique.sparkSession, Masks(radius)
+
+    def divided(rows: DataFrame, level: list[int]) -> DataFrame:
+        # One row a mask of the level: 4, 16, 64, 256, ... of them.
+        table = spark.createDataFrame(masks.children(level), "mask int, child int, bits long")
+        return rows.join(F.broadcast(table), "mask").select("fp", F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("bits")).alias("value"))
+
+    asked, level = divided(unique.select("fp", F.lit(0).alias("mask")), [0]), None
+    done = []
+    while True:
+        # A ball's number of members is known before anyone gathers it; overfull ones go to finer balls.
+        full = staged(asked.groupBy("mask", "value").count().where(F.col("count") > most_in_ball).select("mask", "value"), "balls")
+        level = sorted(m for m in (r.mask for r in full.select("mask").distinct().collect()) if masks.divisible(m))
+        if not level:
+            break
+        full = full.where(F.col("mask").isin(level))
+        done.append(asked.join(full, ["mask", "value"], "left_anti"))
+        asked = staged(divided(asked.join(full, ["mask", "value"], "left_semi"), level), "divided")
+    for part in done:
+        asked = asked.unionByName(part)
+    return asked
 
 
 def near_links(unique: DataFrame, radius: int = RADIUS, most_in_ball: int = MOST_IN_BALL) -> DataFrame:
     """Links (a, b) between distinct fingerprints that keep the components of `radius`."""
-    parts = radius + 1
-    fp = F.col("fp")
-    blocks = _masks(list(range(64)), parts)
-    key = lambda table: F.array(*[F.struct(F.lit(i).alias("mask"), _block(fp, b).alias("value")) for i, b in enumerate(table)])
-    asked = unique.select("fp", F.explode(key(blocks)).alias("k")).select("fp", F.col("k.mask").alias("mask"), F.col("k.value").alias("value"))
-    # A ball's number of members is known before anyone gathers it; overfull ones go to finer balls.
-    full = staged(asked.groupBy("mask", "value").count().where(F.col("count") > most_in_ball).select("mask", "value", F.lit(True).alias("full")), "balls")
-    if full.isEmpty():
-        divided = asked.select("fp", "mask", "value", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("sub"))
-    else:
-        # Members of an overfull ball agree on its mask; of the other bits, four parts again, one of which must agree.
-        asked = asked.join(full, ["mask", "value"], "left")
-        finer = F.lit(None).cast("array<struct<part:int,sub:bigint>>")
-        for i, own in enumerate(blocks):
-            rest = [b for j, other in enumerate(blocks) if j != i for b in other]
-            subs = []
-            for j, bits in enumerate(_masks(rest, parts)):
-                value, width = F.lit(0).cast("long"), 0
-                for run in _runs(bits):
-                    value = F.shiftleft(value, len(run)).bitwiseOR(_block(fp, run))
-                    width += len(run)
-                subs.append(F.struct(F.lit(j).alias("part"), value.alias("sub")))
-            finer = F.when(F.col("mask") == i, F.array(*subs)).otherwise(finer)
-        whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("sub")))
-        divided = asked.withColumn("d", F.explode(F.when(F.col("full"), finer).otherwise(whole))).select("fp", "mask", "value", F.col("d.part").alias("part"), F.col("d.sub").alias("sub"))
-    names = ["mask", "value", "part", "sub"]
-    dealt = divided.repartition(*names).sortWithinPartitions(*names)
+    names = ["mask", "value"]
+    dealt = balls(unique, radius, most_in_ball).repartition(*names).sortWithinPartitions(*names)
 
     def run(batches):
-        held = None
+        held: list[pa.RecordBatch] = []  # rows of the ball that is still open, and of the last batch
         for batch in batches:
-            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-            cols = [held[c].to_numpy() for c in names]
-            differs = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols]))
-            done = int(differs[-1]) + 1 if len(differs) else 0
+            if not batch.num_rows:
+                continue
+            ends = [np.flatnonzero(c[1:] != c[:-1]) for c in (batch[n].to_numpy() for n in names)]
+            done = max(int(e[-1]) + 1 if len(e) else 0 for e in ends)
+            if not done and held and any(batch[n][0] != held[-1][n][0] for n in names):
+                yield from _linked(held, names, radius)
+                held = []
             if done:
-                yield from _linked([c[:done] for c in cols], held["fp"].to_numpy()[:done], radius)
-                held = held.slice(done).combine_chunks()
-        if held is not None and held.num_rows:
-            yield from _linked([held[c].to_numpy() for c in names], held["fp"].to_numpy(), radius)
+                yield from _linked([*held, batch.slice(0, done)], names, radius)
+                held = []
+            held.append(batch.slice(done))
+        if held:
+            yield from _linked(held, names, radius)
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _runs(bits: list[int]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for b in bits:
-        if out and b == out[-1][-1] + 1:
-            out[-1].append(b)
-        else:
-            out.append([b])
-    return out
-
-
-def _linked(cols, fps, radius):
-    a, b = ball_links(cols, fps.view(np.uint64), radius)
+def _linked(batches, names, radius):
+    rows = pa.Table.from_batches(batches)
+    a, b = ball_links([rows[n].to_numpy() for n in names], rows["fp"].to_numpy().view(np.uint64), radius)
     if len(a):
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
@@ -305,14 +314,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The filter: of each component only one row stays, one of its smallest id.
 
-    Rows are told apart by id and text, so rows that share an id, or have none, and belong to
-    different components all stay.
+    Rows are told apart by their places, so rows that share an id, or have none, and belong to
+    different components all stay. Of several rows of the smallest id that with the least hash
+    of its text stays. Texts move once, to meet the places of the rows that stay.
     """
     columns = docs.columns
-    copy = F.xxhash64(text)
-    found = _grouped(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), copy.alias("copy")), shingle, radius)
-    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("m"))
-    stay = least.select(F.col("m.doc_id").alias("__simhash_id"), F.col("m.copy").alias("__simhash_stay"))
-    keyed = docs.withColumn("__simhash_copy", copy)
-    kept = keyed.join(stay, F.col(id).eqNullSafe(F.col("__simhash_id")) & (F.col("__simhash_copy") == F.col("__simhash_stay")), "left_semi")
-    return kept.dropDuplicates([id, "__simhash_copy"]).select(*columns)
+    keyed = placed(docs)
+    found = _grouped(keyed.select(*PLACE, F.col(id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("copy")), shingle, radius)
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy", *PLACE)).alias("m"))
+    return keyed.join(least.select(*[F.col("m")[c].alias(c) for c in PLACE]), list(PLACE), "left_semi").select(*columns)

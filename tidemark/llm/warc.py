@@ -25,11 +25,10 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import bound_batches, staged, staging_path
+from tidemark.llm._shared import PLACE, bound_batches, placed, staged, staging_path
 
 #: Bytes after which a writer begins another archive; bytes of one read.
 ARCHIVE_BYTES, CHUNK = 64 << 20, 1 << 18
@@ -144,21 +143,11 @@ def _chain(first: bytes, rest):
     yield from rest
 
 
-def _metadata(df: DataFrame) -> list[str]:
-    try:
-        return df.select("_metadata").schema["_metadata"].dataType.fieldNames()
-    except AnalysisException:
-        return []
-
-
 def decide(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """`pages` (page_id, url, html) with sha1, refers_to and revisit."""
     body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    pages = pages.select("page_id", "url", "html")
-    # Rows of files have places that are the same in every pass; other rows get some.
-    if "row_index" not in _metadata(pages):
-        pages = staged(pages, "pages")
-    pages = pages.select("page_id", "url", "html", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row"), F.sha1(body).alias("sha1"), F.octet_length(body).alias("bytes"))
+    pages = placed(pages.select("page_id", "url", "html"))
+    pages = pages.select("page_id", "url", "html", F.struct(*PLACE).alias("row"), F.sha1(body).alias("sha1"), F.octet_length(body).alias("bytes"))
     groups = pages.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("top"))
     # Staged, so that the join below reads two plain tables and can be split at a hot payload.
     groups = staged(groups.where("n > 1").select("sha1", "top"), "payloads")
@@ -230,7 +219,9 @@ def read_archives(archives: DataFrame, id_type: str = "bigint", keep_payload: bo
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    out = archives.select("archive").repartition("archive").mapInArrow(run, "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary, problem string")
+    # A task for each archive: ranges of distinct names hold one each, and Spark joins none of them again.
+    many = max(1, archives.count())
+    out = archives.select("archive").repartitionByRange(many, "archive").mapInArrow(run, "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary, problem string")
     return out.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
