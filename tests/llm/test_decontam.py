@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pytest
 
@@ -72,3 +73,19 @@ def test_filter_cuts_spans_and_keeps_columns(spark):
     assert set(out) == {1, 3, 4}
     assert out[1].text == "Some words first. ! And then some more words." and out[1].n_words == "x"
     assert out[3].text == "clean" and out[4].text is None
+
+
+def test_blocks_and_automaton_have_bounds(spark):
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(30_000))
+    items = spark.createDataFrame([(1, long), (2, "a b c"), (3, long[:5000])], "item_id long, text string")
+    blocks = list(decontam.blocks_of(items, "item_id", "text", 10, 4000))
+    assert max(sum(len(w) for _, w in b) for b in blocks) <= 4000
+    w = words(long)
+    assert {tuple(w[i : i + 10]) for i in range(len(w) - 9)} == {tuple(x.decode() for x in p[i : i + 10]) for b in blocks for name, p in b if name == "1" for i in range(len(p) - 9)}
+    tracemalloc.start()
+    made = decontam.automaton([("1", [x.encode() for x in w])], 10)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size <= 160 * len(w) and made.scan([x.encode() for x in w[500:520]])[0] == [(0, 20)]

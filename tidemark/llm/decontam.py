@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
+from array import array
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +26,8 @@ from tidemark.llm._shared import map_arrow, put_aside, restored, staged, strings
 
 WORD_ANY_CASE = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WINDOW = 10
-#: Words of one automaton; a larger benchmark takes several passes, each with a block of it.
-BLOCK_WORDS = 2_000_000
+#: Words of one automaton (about 150 bytes each, vocabulary included); a larger benchmark takes several passes, each with a block of it.
+BLOCK_WORDS = 500_000
 
 #: Lower-cases A-Z and makes every other ASCII byte that isn't a letter or digit a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -37,77 +38,104 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Generalised over several word sequences; `scan` finds where windows of them occur."""
+    """Generalised over several word sequences; `scan` finds where windows of them occur.
+
+    States are numbers into flat arrays. A state's first transition is there as well, as most
+    states have no other; only those that branch have a dictionary of the further ones.
+    """
 
     def __init__(self, window: int = WINDOW):
         self.window = window
         self.vocab: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.sequences: list[tuple[object, list[int]]] = []
+        self.word, self.target = array("i", [-1]), array("i", [0])
+        self.further: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.names: list = []
+        self.sequences: list[array] = []
 
     def add(self, item, words: list[bytes]) -> None:
-        ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words]
+        ids = array("i", [self.vocab.setdefault(w, len(self.vocab)) for w in words])
         if ids:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
-            self.sequences.append((item, ids))
+            self.names.append(item)
+            self.sequences.append(ids)
+
+    def _next(self, state: int, c: int) -> int:
+        """The state that word `c` leads to, or -1."""
+        if self.word[state] == c:
+            return self.target[state]
+        more = self.further.get(state)
+        return -1 if more is None else more.get(c, -1)
+
+    def _point(self, state: int, c: int, target: int) -> None:
+        if self.word[state] in (-1, c):
+            self.word[state], self.target[state] = c, target
+        else:
+            self.further.setdefault(state, {})[c] = target
+
+    def _state(self, length: int, link: int) -> int:
+        self.word.append(-1)
+        self.target.append(0)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.link) - 1
 
     def _extend(self, last: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if c in nxt[last]:
-            q = nxt[last][c]
+        link, length = self.link, self.length
+        q = self._next(last, c)
+        if q >= 0:
             return q if length[q] == length[last] + 1 else self._clone(last, q, c)
-        cur = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
+        cur = self._state(length[last] + 1, 0)
         p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = cur
+        while p >= 0 and (q := self._next(p, c)) < 0:
+            self._point(p, c, cur)
             p = link[p]
         if p >= 0:
-            q = nxt[p][c]
             link[cur] = q if length[q] == length[p] + 1 else self._clone(p, q, c)
         return cur
 
     def _clone(self, p: int, q: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        new = len(nxt)
-        nxt.append(dict(nxt[q]))
-        link.append(link[q])
-        length.append(length[p] + 1)
-        link[q] = new
-        while p >= 0 and nxt[p].get(c) == q:
-            nxt[p][c] = new
-            p = link[p]
+        new = self._state(self.length[p] + 1, self.link[q])
+        self.word[new], self.target[new] = self.word[q], self.target[q]
+        if q in self.further:
+            self.further[new] = dict(self.further[q])
+        self.link[q] = new
+        while p >= 0 and self._next(p, c) == q:
+            self._point(p, c, new)
+            p = self.link[p]
         return new
 
     def finish(self) -> SuffixAutomaton:
         """Note at each state the items whose window it stands for."""
-        n, w = len(self.next), self.window
-        order = sorted(range(1, n), key=self.length.__getitem__)
-        whole = [-1] * n  # the suffix state that holds the last `window` words
-        self.items: dict[int, set] = {}
-        for s in order:
-            up = self.link[s]
-            whole[s] = whole[up] if self.length[up] >= w else s if self.length[s] >= w else -1
-        short: dict[int, list] = {}
-        for item, ids in self.sequences:
+        n, w, link, length = len(self.link), self.window, self.link, self.length
+        order = np.argsort(np.frombuffer(length, np.int32), kind="stable")[1:]
+        self.whole = whole = array("i", bytes(4 * n))  # the suffix state that holds the last `window` words
+        whole[0] = -1
+        for s in map(int, order):
+            up = link[s]
+            whole[s] = whole[up] if length[up] >= w else s if length[s] >= w else -1
+        self.item = array("i", b"\xff" * (4 * n))  # the first item of a state, and those that follow
+        self.items: dict[int, set[int]] = {}
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for number, ids in enumerate(self.sequences):
             s = 0
             for i, c in enumerate(ids):
-                s = self.next[s][c]
+                s = self._next(s, c)
                 if i + 1 >= w:
-                    self.items.setdefault(whole[s], set()).add(item)
+                    at = whole[s]
+                    if self.item[at] < 0:
+                        self.item[at] = number
+                    elif self.item[at] != number:
+                        self.items.setdefault(at, set()).add(number)
             if len(ids) < w:
-                short.setdefault(s, []).append((len(ids), item))
-        self.short = short
-        nearest = [-1] * n
-        for s in order:
-            nearest[s] = s if s in short else nearest[self.link[s]]
-        self.whole, self.nearest = whole, nearest
-        self.least = min((min(len(ids), w) for _, ids in self.sequences), default=0)
+                self.short.setdefault(s, []).append((len(ids), number))
+        self.nearest = nearest = array("i", bytes(4 * n))
+        nearest[0] = -1
+        for s in map(int, order):
+            nearest[s] = s if s in self.short else nearest[link[s]]
+        self.least = min((min(len(ids), w) for ids in self.sequences), default=0)
         self.sequences = []
         return self
 
@@ -115,23 +143,25 @@ class SuffixAutomaton:
         """Merged word intervals (end exclusive) inside windows, and the items they are of."""
         if not self.least or len(words) < self.least:
             return [], set()
-        nxt, link, length, nearest, w = self.next, self.link, self.length, self.nearest, self.window
+        word, target, further = self.word, self.target, self.further
+        link, length, nearest, w = self.link, self.length, self.nearest, self.window
         found: list[tuple[int, int]] = []
-        items: set = set()
+        items: set[int] = set()
         seen: set[int] = set()
         s = n = 0
         for i, c in enumerate(map(self.vocab.get, words), 1):
             if c is None:
                 s = n = 0
                 continue
-            step = nxt[s]
-            while s and c not in step:
+            while word[s] != c and (s not in further or c not in further[s]):
                 s = link[s]
+                if s < 0:
+                    break
                 n = length[s]
-                step = nxt[s]
-            if c not in step:
+            if s < 0:
+                s = n = 0
                 continue
-            s = step[c]
+            s = target[s] if word[s] == c else further[s][c]
             n += 1
             if n >= w:
                 found.append((i - w, i))
@@ -144,8 +174,9 @@ class SuffixAutomaton:
                         items.add(item)
                 a = nearest[link[a]]
         for state in seen:
-            items |= self.items[state]
-        return merged(found), items
+            items.add(self.item[state])
+            items |= self.items.get(state, set())
+        return merged(found), {self.names[i] for i in items}
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -159,32 +190,31 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_words: int):
-    """The benchmark's items in blocks of bounded size, never all of it at once."""
+def blocks_of(benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int):
+    """The benchmark's items in blocks of bounded size, never all of it at once.
+
+    A longer item is cut into parts that share window - 1 words, so that no window is lost.
+    """
+    most = max(block_words, window)
     block, size = [], 0
     for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).toLocalIterator():
         words = words_of(row.t)
-        if words:
-            if block and size + len(words) > block_words:
-                yield block
-                block, size = [], 0
-            block.append((None if row.i is None else str(row.i), words))
-            size += len(words)
+        for at in range(0, max(1, len(words) - window + 1), most - window + 1):
+            part = words[at : at + most]
+            if part:
+                if block and size + len(part) > block_words:
+                    yield block
+                    block, size = [], 0
+                block.append((None if row.i is None else str(row.i), part))
+                size += len(part)
     yield block
 
 
-_built: dict[str, SuffixAutomaton] = {}
-
-
-def _automaton(key: str, shared, window: int) -> SuffixAutomaton:
-    """Built once in each worker process."""
-    if key not in _built:
-        _built.clear()
-        made = SuffixAutomaton(window)
-        for item, words in shared.value:
-            made.add(item, words)
-        _built[key] = made.finish()
-    return _built[key]
+def automaton(block: list[tuple], window: int) -> SuffixAutomaton:
+    made = SuffixAutomaton(window)
+    for item, words in block:
+        made.add(item, words)
+    return made.finish()
 
 
 _STATE = [("_hits", T.ArrayType(T.IntegerType())), ("_items", T.ArrayType(T.StringType()))]
@@ -200,15 +230,17 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     """
     sc = docs.sparkSession.sparkContext
     docs = docs.drop(*[n for n, _ in _FOUND], *[n for n, _ in _STATE])
-    blocks = blocks_of(benchmark, item_id, item_text, block_words)
+    blocks = blocks_of(benchmark, item_id, item_text, window, block_words)
     block = next(blocks)
     first = True
     while block is not None:
-        following = next(blocks, None)
-        shared, key, last, began = sc.broadcast(block), uuid.uuid4().hex, following is None, first
+        # Built here once; a broadcast leaves the workers when they go on to other work.
+        shared = sc.broadcast(automaton(block, window))
+        block = next(blocks, None)
+        last, began = block is None, first
 
-        def make(shared=shared, key=key, last=last, began=began):
-            automaton = _automaton(key, shared, window)
+        def make(shared=shared, last=last, began=began):
+            scan = shared.value.scan
 
             def compute(batch):
                 rows = []
@@ -216,7 +248,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                 before = [(None, None)] * len(texts) if began else list(zip(strings(batch, "_hits"), strings(batch, "_items"), strict=True))
                 for t, (hits, items) in zip(texts, before, strict=True):
                     words = words_of(t)
-                    spans, got = automaton.scan(words)
+                    spans, got = scan(words)
                     if hits:
                         spans = merged(spans + list(zip(hits[::2], hits[1::2], strict=True)))
                     got = got | set(items or ())
@@ -228,7 +260,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         docs = map_arrow(docs, make, _FOUND if last else _STATE, [c for c in docs.columns if not (last and c in ("_hits", "_items"))])
         if not last:
             docs = staged(docs, "decontam")
-        block, first = following, False
+        first = False
     return docs
 
 
@@ -247,9 +279,6 @@ def _result(text, n_words: int, spans, items: set, least_span: int):
     return n_words, sum(b - a for a, b in spans), len(named), digest, bool(spans), clean
 
 
-
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, least_span: int = 1, most_coverage: float = 0.5, **names) -> DataFrame:
     """The filter: documents whose hit words exceed `most_coverage` of all go; from the others
     every hit span of `least_span` words or more is cut. Columns stay as they were."""
