@@ -77,3 +77,18 @@ def test_plan_packs_everything_tightly(seed):
 
 def test_two_fit_replaces_the_smallest():
     assert packing.plan({600: 1, 300: 1, 250: 1, 170: 1}) == [({600: 1, 250: 1, 170: 1}, 1), ({300: 1}, 1)]
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\t", " \n", "a", "1", "!", "\u3000", "漢"])
+def test_long_runs_get_the_tokenizer_s_ids(unit):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "before" + unit * 1_000_000 + "after it."
+    full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encoder("byte_bpe_50k")(text).tolist() == full.encode(text, add_special_tokens=False).ids
+
+
+def test_a_document_of_a_million_spaces(spark):
+    rows = [(1, " " * 1_000_000), (2, "x" + "\n" * 1_200_000), (3, "short")]
+    check(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect())

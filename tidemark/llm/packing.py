@@ -42,8 +42,9 @@ def _paths(name: str) -> tuple[str, str]:
 class Encoder:
     """Token ids of the tokenizer file `<name>.json`.
 
-    Where a rank file of the same vocabulary stands beside it, that is used for speed; texts
-    with the string of a special token go to the tokenizer itself, which gives its id.
+    Where a rank file of the same vocabulary stands beside it, that is used for speed. Texts with
+    the string of a special token go to the tokenizer itself, which gives its id, and so do those
+    whose runs of white space are too long for the fast matcher.
     """
 
     def __init__(self, name: str = TOKENIZER):
@@ -59,13 +60,16 @@ class Encoder:
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            if self.full is None:
-                from tokenizers import Tokenizer
+        if not any(s in text for s in self.special):
+            try:
+                return self.fast.encode_to_numpy(text).astype(np.uint32)
+            except ValueError:  # the matcher's stack ran over
+                pass
+        if self.full is None:
+            from tokenizers import Tokenizer
 
-                self.full = Tokenizer.from_file(self.own)
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text).astype(np.uint32)
+            self.full = Tokenizer.from_file(self.own)
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -203,7 +207,8 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str
     counts = {r.length: r.n for r in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # up to `length` rows
     table = layout(plan(counts, length))
     shared = rows.sparkSession.sparkContext.broadcast((table["length"].to_numpy() * (1 << 44) + table["base"].to_numpy(), table))
-    numbered = rows.join(blocks.select("block", "length", "before"), ["block", "length"])
+    # The blocks' table grows with the documents: both sides are dealt out by block, none is broadcast.
+    numbered = rows.join(blocks.select("block", "length", "before").hint("shuffle_merge"), ["block", "length"])
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
