@@ -1,6 +1,9 @@
 import html
 import random
 import re
+import time
+
+import pytest
 
 from tidemark.llm import html_extract as h
 from tidemark.llm.queries import op3_html_extraction
@@ -59,3 +62,72 @@ def test_best_run_against_brute_force():
         s = [rng.randint(-5, 5) for _ in range(rng.randint(0, 12))]
         a, b = h.best_run(s)
         assert sum(s[a:b]) == max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i, len(s) + 1))])
+
+
+WRAPPERS = ['<div class="layout has-sidebar">', '<div class="content no-comments">', '<div class="article-header-wrap">', '<div class="two-column side-by-side">', "<form action=/search>", '<div class="page-comments-menu">']
+
+
+@pytest.mark.parametrize("open_tag", WRAPPERS)
+@pytest.mark.parametrize("marks", [("<article>", "</article>"), ("<div>", "</div>")])
+def test_wrappers_are_no_boxes(open_tag, marks):
+    close = "</form>" if "form" in open_tag else "</div>"
+    body = "".join(f"<p>This is paragraph {i} of the text, with enough words to be found as such.</p>" for i in range(6))
+    page = f"<html><body>{open_tag}<nav><a href=/>Home</a><a href=/a>About</a></nav><div class=ad><p>Buy it now, it is cheap and good!</p></div>{marks[0]}<h1>A title</h1>{body}{marks[1]}<section class=comments><p>A comment by a reader of the page, who says so.</p></section><footer>All rights reserved.</footer>{close}</body></html>"
+    lines = h.extract(page, WEIGHTS).split("\n")
+    assert lines == ["A title", *(f"This is paragraph {i} of the text, with enough words to be found as such." for i in range(6))]
+
+
+def test_names_are_learned(spark):
+    beside = '<div class="zq-strip"><p>' + "Words that stand beside the text of a page and aren't any part of it. " * 3 + "</p></div>"
+    page = lambda i: f'<body><div class="frame-header"><article><h1>Title {i}</h1><p>{"The text of the page, in so many words. " * 9}</p></article></div>{beside}</body>'
+    pages = spark.createDataFrame([(i, page(i)) for i in range(40)], "page_id long, html string")
+    weights = h.fit(pages)
+    assert weights["name", "zq-strip"] < 0 < weights["name", "frame-header"]
+    new = f'<body><div class="frame-header"><p>{"Another text of the page, in so many words. " * 9}</p>{beside}<p>{"It goes on after the strip, in so many words. " * 9}</p></div></body>'
+    got = h.extract(new, weights)
+    assert "beside" not in got and "Another text" in got and "goes on" in got
+
+
+def test_pages_without_content_stay_empty():
+    assert h.extract("<body><nav><a href=/>Home page of them all</a></nav><footer>" + "Words in a footer. " * 30 + "</footer></body>", WEIGHTS) == ""
+    assert h.extract("<body><article></article><div class=cookie-notice><p>We use cookies here.</p></div></body>", WEIGHTS) == ""
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a '", '<a "', "<script ", "<!--", "<", "</b>", "<b><div>", "<a b='x>' ", '<a b="y>" c= ', "<p><i></b>", "<li><b>", "<div class=ad>", "<![CDATA[", "<title", "&", "<svg><g>", "</div>"])
+def test_broken_pages_of_a_megabyte_take_seconds(unit):
+    for page in (unit * (1_000_000 // len(unit)), "<b><div>" + unit * (1_000_000 // len(unit)) + "<p>The end.</p>"):
+        begun = time.process_time()
+        h.extract(page, WEIGHTS)
+        assert time.process_time() - begun < 12
+
+
+def brute(page, weights):
+    """Every run tried; the longest first one of the greatest sum."""
+    made = h.Page(page)
+    inner = made.shunned(made.wrapped(*made.boxes(weights)))
+    score = lambda e: (0 if inner[e[1]] and made.content[e[1]] else weights.get(("tag", e[0]), weights["tag", None])) if e[0] else 0 if inner[e[1]] else len(e[2].split()) * weights.get(("word", made.names[e[1]]), weights["word", None])
+    s = [score(e) for e in made.events]
+    best, span = 0, (0, 0)
+    for i in range(len(s)):
+        total = 0
+        for j in range(i, len(s)):
+            total += s[j]
+            if total > best + 1e-9:
+                best, span = total, (i, j + 1)
+    text, lines = "", []
+    for name, at, own in made.events[slice(*span)]:
+        if inner[at]:
+            continue
+        if name and name.strip("/") != "br" and name.strip("/") not in h._UNBROKEN:
+            lines.append(text)
+            text = ""
+        text += own if not name else " " if name.strip("/") == "br" else ""
+    return [" ".join(html.unescape(x).split()) for x in [*lines, text]]
+
+
+def test_extract_against_brute_force():
+    rng = random.Random(6)
+    units = ["<p>", "</p>", "<div>", "</div>", "<nav>", "</nav>", "<div class=ad>", "<article>", "</article>", "<b>", "</b>", "<br>", "some words of text ", "one ", "&amp; ", "<li>", "<script>x</script>", "<!-- c -->", "<header>", "</header>"]
+    for _ in range(400):
+        page = "".join(rng.choice(units) for _ in range(rng.randint(0, 30)))
+        assert h.extract(page, WEIGHTS) == "\n".join(x for x in brute(page, WEIGHTS) if x)
