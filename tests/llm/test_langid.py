@@ -61,3 +61,38 @@ def test_one_hot_id_and_ties(spark):
     rows = [(1, "the cat sat there", "en")] * 2000 + [(2, "der hund schläft dort", "de")] * 5
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_each=50)
     assert model.predict(["the cat", "der hund"])[0] == ["en", "de"]
+
+
+def test_letters_of_any_script(spark):
+    rng = np.random.default_rng(4)
+    say = lambda first, n: "".join(chr(first + int(k)) if k % 7 else " " for k in rng.integers(0, n, 60))
+    scripts = {"got": (0x10330, 26), "dsrt": (0x10400, 79), "zh": (0x4E00, 3000), "hang": (0xAC00, 3000), "am": (0x1200, 300), "ka": (0x10D0, 40)}
+    rows = [(i, say(*scripts[lang]), lang) for i in range(60) for lang in scripts]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    names, marks = model.predict([say(*scripts[lang]) for lang in scripts])
+    assert names == list(scripts) and min(marks) > 0
+    assert model.predict(["²³ 12 ٣", "Ⅷ"]) == (["und", "und"], [0.0, 0.0])
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    rows = [(i, f"{'abcdefgh'[i % 8]}word number {i} " * 20, f"l{i % 8}") for i in range(4000)]
+    seen = []
+    fit = langid.Model.fit
+    monkeypatch.setattr(langid.Model, "fit", lambda self, texts, names, *a: (seen.append((texts, names)), fit(self, texts, names, *a))[1])
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_chars=64_000)
+    texts, names = seen[0]
+    assert set(names) == {f"l{i}" for i in range(8)} and sum(map(len, texts)) <= 64_000 + 8 * 400
+
+
+def test_kernel_matrix_against_brute_force():
+    texts = [t for _, t in LEARNED] + ["una casa en la montaña", "ein haus", "the house"]
+    names = [n for n, _ in LEARNED] + ["es", "de", "en"]
+    model = langid.Model().fit(texts, names, landmarks=len(texts))
+    every = [{f" {t} "[i : i + n] for n in (1, 2, 3) for i in range(len(t) + 3 - n)} for t in texts]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in every] for a in every])
+    target = np.array([[float(n == l) for l in model.languages] for n in names])
+    weight = np.diag(1 / (target @ target.sum(axis=0)))
+    values, vectors = np.linalg.eigh(kernel)
+    phi = kernel @ (vectors / np.sqrt(values))
+    solved = np.linalg.solve(phi.T @ weight @ phi + langid.RIDGE * len(model.languages) / 100 * np.eye(len(texts)), phi.T @ weight @ target)
+    assert np.allclose(model.scores(texts), phi @ solved, atol=1e-4)

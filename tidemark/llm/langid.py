@@ -5,89 +5,129 @@ is the number of n-grams they share over the geometric mean of their own. A boun
 sample of labelled texts is the training set, part of it the Nyström landmarks; kernel ridge
 regression, one language against the rest, is solved in the landmarks' feature space. As the
 kernel is linear in presence, landmarks and solution fold into one matrix from n-grams to
-languages, and texts are scored by products of presence matrices with it.
+languages, and texts are scored by products of (sparse) presence matrices with it.
 
-Symbols: letters in lower case, the `SYMBOLS` most frequent each for itself and all others
-as one; any other character is a space.
+Symbols: every letter in lower case stands for itself, whatever its script; any other character
+is a space.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or nothing was learned.
-Labels that are null, or whose text has no letter, teach nothing; repeated rows teach once. Texts are read whole; only
-training leaves aside texts longer than `MOST_CHARS`. Ties go to the language first in order.
+Labels that are null, or whose text has no letter, teach nothing; repeated rows teach once. Texts
+are read whole; only training leaves aside texts longer than `MOST_CHARS`. Ties go to the
+language first in order.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm._shared import map_arrow, put_aside, restored, strings
 
-#: Bounds of the training sample: rows for each language, languages (the most frequent ones), characters of a text.
-ROWS_EACH, MOST_LANGUAGES, MOST_CHARS = 300, 200, 20_000
-LANDMARKS = 320
+#: Bounds of the training sample: rows for each language, characters of all of it (shared equally
+#: by the languages) and of a text, languages (the most frequent ones).
+ROWS_EACH, SAMPLE_CHARS, MOST_CHARS, MOST_LANGUAGES = 300, 16_000_000, 20_000, 5000
+#: Bounds of the landmarks: texts (one a language at least) and characters.
+LANDMARKS, LANDMARK_CHARS = 320, 1_000_000
 RIDGE = 1e-2
-SYMBOLS = 62
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
-
-
-def _table(texts: list[str]) -> np.ndarray:
-    """Symbol of each code point below 65536: 0 is no letter, 1 a rare letter."""
-    counts = Counter()
-    for t in texts:
-        counts.update(t.lower())
-    letters = sorted((c for c in counts if c.isalpha() and ord(c) < 65536), key=lambda c: (-counts[c], c))[:SYMBOLS]
-    table = np.zeros(65536, np.int32)
-    for block in range(65536):
-        if not 0xD800 <= block < 0xE000 and chr(block).isalpha():
-            table[block] = 1
-    for i, c in enumerate(letters):
-        table[ord(c)] = i + 2
-    return table
+SPACE, BITS = 32, 21
+
+
+class _Letters:
+    """For each code point whether it is a letter, found out when it is first met."""
+
+    def __init__(self):
+        self.known = np.full(0x110000, -1, np.int8)
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        out = self.known[points]
+        new = points[out < 0]
+        if len(new):
+            self.known[new] = [chr(c).isalpha() for c in new.tolist()]
+            out = self.known[points]
+        return out > 0
+
+
+_letters = _Letters()
+_number = np.zeros(0x110000, np.int32)  # scratch: the number of a code point within a text
+
+
+def grams(text: str) -> np.ndarray:
+    """The distinct n-grams of a text as 64-bit numbers in order; none if it has no letter.
+
+    Code points are numbered within the text first, so that its n-grams are small numbers.
+    """
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    own = np.unique(points)
+    own = own[_letters(own)]
+    if not len(own):
+        return np.empty(0, np.int64)
+    _number[own] = np.arange(1, len(own) + 1)
+    one = _number[points]
+    _number[own] = 0
+    keep = np.ones(len(one), bool)
+    keep[1:] = (one[1:] > 0) | (one[:-1] > 0)  # runs of spaces are one space
+    one = np.concatenate([[0] if one[0] else [], one[keep], [0] if one[-1] else []]).astype(np.int64)
+    b = len(own) + 1
+    full = np.concatenate([[SPACE], own]).astype(np.int64)
+    out = []
+    code = one
+    for n in (1, 2, 3):
+        if n > 1:
+            code = code[:-1] * b + one[n - 1 :]
+        if b**n <= max(1 << 16, 4 * len(code)):
+            seen = np.zeros(b**n, bool)
+            seen[code] = True
+            distinct = np.flatnonzero(seen)
+        else:
+            distinct = np.unique(code)
+        wide = np.zeros(len(distinct), np.int64)
+        for k in range(n - 1, -1, -1):
+            wide = (wide << BITS) | full[distinct // b**k % b]
+        out.append(wide)
+    return np.concatenate(out)
+
+
+class _Places:
+    """Row of each n-gram in the weights, -1 for those that no landmark has."""
+
+    def __init__(self, vocab: np.ndarray):
+        self.vocab = vocab
+
+    def __getitem__(self, codes):
+        at = np.searchsorted(self.vocab, codes)
+        at = np.minimum(at, len(self.vocab) - 1)
+        return np.where(self.vocab[at] == codes, at, -1)
 
 
 class Model:
     """`weights` has a row for each n-gram of the landmarks, a column for each language."""
 
-    BASE = SYMBOLS + 2
-
-    def __init__(self, table: np.ndarray):
-        self.table, self.languages = table, []
-        b = self.BASE
-        self.offsets, self.size = (0, b, b + b * b), b + b * b + b**3
-
-    def grams(self, text: str) -> np.ndarray:
-        """The n-grams that occur, as numbers in order."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        one = self.table[np.minimum(points, 65535)]
-        keep = np.ones(len(one), bool)
-        keep[1:] = (one[1:] > 0) | (one[:-1] > 0)  # runs of spaces are one space
-        one = np.concatenate([[0], one[keep], [0]]).astype(np.int32)
-        two = one[:-1] * self.BASE + one[1:]
-        three = two[:-1] * self.BASE + one[2:]
-        if len(one) < 3000:
-            return np.unique(np.concatenate([one, two + self.offsets[1], three + self.offsets[2]]))
-        seen = np.zeros(self.size, bool)
-        for codes, at in zip((one, two, three), self.offsets, strict=True):
-            seen[codes + at] = True
-        return np.flatnonzero(seen)
+    def __init__(self):
+        self.languages: list[str] = []
+
+    grams = staticmethod(grams)
 
     def fit(self, texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
         self.languages = sorted(set(languages))
-        grams = [self.grams(t) for t in texts]
-        own = np.sqrt([float(len(g)) for g in grams])
-        step = max(1, len(texts) // max(1, landmarks))
-        chosen = list(range(0, len(texts), step))[:landmarks]
-        vocab = np.unique(np.concatenate([grams[i] for i in chosen]))
-        marks = self._presence([grams[i] for i in chosen], vocab) / own[chosen][:, None]
+        found = [grams(t) for t in texts]
+        own = np.sqrt([float(len(g)) for g in found])
+        chosen = self._landmarks(texts, max(landmarks, len(self.languages)))
+        vocab = np.unique(np.concatenate([found[i] for i in chosen]))
+        self.place = _Places(vocab)
+        # Landmarks that have an n-gram, one n-gram after the other.
+        rows = np.concatenate([self.place[found[i]] for i in chosen])
+        marks = np.repeat(np.arange(len(chosen)), [len(found[i]) for i in chosen])
+        order = np.argsort(rows, kind="stable")
+        marks, begin = marks[order], np.searchsorted(rows[order], np.arange(len(vocab) + 1))
         kernel = np.zeros((len(texts), len(chosen)))
-        for at in range(0, len(texts), 256):
-            kernel[at : at + 256] = self._presence(grams[at : at + 256], vocab) @ marks.T / own[at : at + 256][:, None]
+        for i, g in enumerate(found):
+            at = self.place[g]
+            at = at[at >= 0]
+            shared = np.concatenate([marks[begin[a] : begin[a + 1]] for a in at.tolist()]) if len(at) else at
+            kernel[i] = np.bincount(shared, minlength=len(chosen)) / own[i] / own[chosen]
         values, vectors = np.linalg.eigh(kernel[chosen])
         good = values > 1e-8 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
@@ -96,73 +136,72 @@ class Model:
         # Every language weighs the same, however many rows it has.
         weight = 1 / (target @ target.sum(axis=0))[:, None]
         solved = np.linalg.solve(phi.T @ (weight * phi) + ridge * len(self.languages) / 100 * np.eye(phi.shape[1]), phi.T @ (weight * target))
-        place = np.full(self.size, -1, np.int32)
-        place[vocab] = np.arange(len(vocab))
-        self.place, self.weights = place, (marks.T @ (root @ solved)).astype(np.float32)
+        dual = (root @ solved / own[chosen][:, None]).astype(np.float32)
+        self.weights = np.add.reduceat(dual[marks], begin[:-1], axis=0)
         return self
 
     @staticmethod
-    def _presence(grams: list[np.ndarray], vocab: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(grams), len(vocab)), np.float32)
-        for row, g in zip(out, grams, strict=True):
-            at = np.searchsorted(vocab, g)
-            at = at[(at < len(vocab))]
-            row[at[np.isin(vocab[at], g)]] = 1
-        return out
+    def _landmarks(texts: list[str], most: int) -> list[int]:
+        """Texts at even steps (they come language by language in turns), up to the bound of characters."""
+        chosen, chars = [], 0
+        for i in range(0, len(texts), max(1, len(texts) // most)):
+            if len(chosen) < most and (not chosen or chars + len(texts[i]) <= LANDMARK_CHARS):
+                chosen.append(i)
+                chars += len(texts[i])
+        return chosen
 
     BATCH = 128
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """A row for each text: its presence vector times the weights, in blocks of texts."""
-        out = np.zeros((len(texts), len(self.languages)), np.float32)
-        for at in range(0, len(texts), self.BATCH):
-            part = texts[at : at + self.BATCH]
-            presence = np.zeros((len(part), len(self.weights)), np.float32)
-            own = np.ones(len(part), np.float32)
-            for i, t in enumerate(part):
-                g = self.grams(t)
-                col = self.place[g]
-                presence[i, col[col >= 0]] = 1
-                own[i] = len(g)
-            out[at : at + self.BATCH] = presence @ self.weights / np.sqrt(own)[:, None]
+        return self._scores([grams(t) for t in texts])
+
+    def _scores(self, found: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(found), len(self.languages)), np.float32)
+        for at in range(0, len(found), self.BATCH):
+            part = found[at : at + self.BATCH]
+            places = [p[p >= 0] for p in map(self.place.__getitem__, part)]
+            full = [i for i, p in enumerate(places) if len(p)]
+            if full:
+                begin = np.cumsum([0] + [len(places[i]) for i in full[:-1]])
+                sums = np.add.reduceat(self.weights[np.concatenate([places[i] for i in full])], begin, axis=0)
+                out[[at + i for i in full]] = sums / np.sqrt([len(part[i]) for i in full])[:, None]
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, marks = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        known = [i for i, t in enumerate(texts) if t and self.languages and LETTER.search(t)]
+        if not self.languages:
+            return names, marks
+        found = [grams(t) if t else _NONE for t in texts]
+        known = [i for i, g in enumerate(found) if len(g)]
         if known:
-            got = self.scores([texts[i] for i in known])
+            got = self._scores([found[i] for i in known])
             for i, k, s in zip(known, got.argmax(axis=1), got.max(axis=1), strict=True):
                 names[i], marks[i] = self.languages[k], float(min(1.0, max(0.0, s)))
         return names, marks
 
 
-def train(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows_each: int = ROWS_EACH, landmarks: int = LANDMARKS) -> Model:
-    """A model from a sample of at most `rows_each` rows of each of the most frequent languages."""
+_NONE = np.empty(0, np.int64)
+
+
+def train(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows_each: int = ROWS_EACH, landmarks: int = LANDMARKS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """A model from a sample of at most `rows_each` rows of each of the most frequent languages, and
+    of about `sample_chars` characters in all (one row a language at least)."""
     rows = labelled.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") <= MOST_CHARS) & F.col("text").rlike(r"\p{L}"))
     # The share of each language that its quota asks for, and half as many again; then the quota, by hash.
     draw = F.xxhash64("id", "text", F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1))
     counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min(draw).alias("least")).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
-        return Model(_table([]))
-    quota = F.lit(0).cast("long")
-    for r in counts:
-        quota = F.when(F.col("lang") == r.lang, F.lit(max(int(min(1.0, (1.5 * rows_each + 20) / r["count"]) * (1 << 40)), r.least + 1))).otherwise(quota)
-    drawn = rows.withColumn("draw", draw).where(F.col("draw") < quota).dropDuplicates(["lang", "draw", "text"]).orderBy("draw", "text").limit(len(counts) * (3 * rows_each + 100)).collect()
-    by: dict[str, list] = {}
-    for r in sorted(drawn, key=lambda r: (r.draw, r.text)):
-        own = by.setdefault(r.lang, [])
-        if len(own) < rows_each:
-            own.append(r.text)
+        return Model()
+    # One row a language, MOST_LANGUAGES at most.
+    quota = labelled.sparkSession.createDataFrame([(r.lang, max(int(min(1.0, (1.5 * rows_each + 20) / r["count"]) * (1 << 40)), r.least + 1)) for r in counts], "lang string, quota long")
+    drawn = rows.withColumn("draw", draw).join(F.broadcast(quota), "lang").where("draw < quota").dropDuplicates(["lang", "draw", "text"])
+    turn = Window.partitionBy("lang").orderBy("draw", "text")
+    drawn = drawn.withColumns({"nth": F.row_number().over(turn), "before": F.sum(F.length("text")).over(turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("text")})
     # Languages take turns, so that landmarks are balanced as well.
-    texts, langs = [], []
-    for k in range(rows_each):
-        for name in sorted(by):
-            if k < len(by[name]):
-                texts.append(by[name][k])
-                langs.append(name)
-    return Model(_table(texts)).fit(texts, langs, landmarks)
+    sample = sorted((r.nth, r.lang, r.text) for r in drawn.where((F.col("nth") <= rows_each) & (F.col("before") < sample_chars // len(counts))).select("nth", "lang", "text").collect())
+    return Model().fit([t for _, _, t in sample], [name for _, name, _ in sample], landmarks)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
