@@ -45,3 +45,15 @@ def test_ids_of_any_type_and_written_shards(spark, tmp_path):
     sharding.write_shards(docs, f"{tmp_path}/out", 4)
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == 50 and back.select("shard").distinct().count() == 4
+
+
+@pytest.mark.parametrize("draws", [0.001, 0.05, 1])
+def test_overfull_ranges_are_cut_until_none_is(spark, monkeypatch, draws):
+    monkeypatch.setattr(sharding, "DRAWS", draws)
+    monkeypatch.setattr(sharding, "FULL", 1.1)
+    rounds = []
+    ranged = sharding._ranged
+    monkeypatch.setattr(sharding, "_ranged", lambda keyed, splitters: (rounds.append(len(splitters)), ranged(keyed, splitters))[1])
+    rows = [(7, "the very same row")] * 900 + [(i, f"text {i} " * (i % 40)) for i in range(900)] + [(i, "x" * 9000 * (i % 2)) for i in range(30)]
+    check(rows, sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4).collect(), 4)
+    assert draws >= 1 or len(set(rounds)) >= 4

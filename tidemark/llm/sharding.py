@@ -27,19 +27,42 @@ SHARDS = 16
 RANGES, DRAWS, FULL = 24, 24, 3.0
 
 
-def _splitters(keyed: DataFrame, total: int, want: int) -> np.ndarray:
-    """Keys that cut `keyed` into `want` ranges of about equal bytes, from a weighted sample."""
-    rate = want * DRAWS / max(total, 1)
+def _drawn(keyed: DataFrame, rate: float) -> DataFrame:
+    """Rows drawn by weight: each byte counts `rate` draws, and w is what a drawn row stands for.
+
+    A row that alone is worth a draw is always drawn, and counts for all of its draws.
+    """
     draw = (F.xxhash64("key", F.lit(7)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)) < F.col("size") * rate
-    # Expected want * DRAWS rows; a row that alone is worth a draw counts for all of its draws.
-    rows = keyed.where(draw).select("key", F.greatest(F.lit(1.0), F.col("size") * rate).alias("w")).toPandas()
-    if rows.empty:
-        return np.empty(0, "S48")
-    keys = rows["key"].to_numpy().astype("S48")
+    return keyed.where(draw).withColumn("w", F.greatest(F.lit(1.0), F.col("size") * rate))
+
+
+def _cuts(keys: np.ndarray, weights: np.ndarray, want: int) -> np.ndarray:
+    """Keys that cut the drawn ones into `want` parts of about equal weight."""
     order = np.argsort(keys)
-    line = np.cumsum(rows["w"].to_numpy()[order])
-    cuts = np.searchsorted(line, line[-1] * np.arange(1, want) / want)
-    return np.unique(keys[order][cuts])
+    line = np.cumsum(weights[order])
+    return keys[order][np.searchsorted(line, line[-1] * np.arange(1, want) / want)] if len(keys) else keys
+
+
+def _splitters(keyed: DataFrame, total: int, want: int) -> tuple[np.ndarray, pd.DataFrame]:
+    """Keys that cut `keyed` into `want` ranges or more, and each range's bytes and rows.
+
+    Ranges that are overfull even without their largest row are cut by a denser sample of their
+    own, until none is. Samples get denser each time, in the end they are all of a range's rows.
+    """
+    rate, share = want * DRAWS / max(total, 1), total / want
+    first = _drawn(keyed, rate).select("key", "w").toPandas()
+    splitters = np.unique(_cuts(first["key"].to_numpy().astype("S48"), first["w"].to_numpy(), want))
+    while True:
+        # One row a range.
+        filled = _ranged(keyed, splitters).groupBy("range").agg(F.sum("size").alias("bytes"), F.max("size").alias("most"), F.count("*").alias("rows")).toPandas().sort_values("range")
+        over = filled[filled["bytes"] - filled["most"] > FULL * share]
+        if over.empty:
+            return splitters, filled
+        rate *= 8
+        rows = _drawn(_ranged(keyed, splitters).where(F.col("range").isin(over["range"].tolist())), rate).select("range", "key", "w").toPandas()
+        parts = dict(zip(over["range"], 2 * np.ceil(over["bytes"] / share).astype(int), strict=True))
+        more = [_cuts(own["key"].to_numpy().astype("S48"), own["w"].to_numpy(), parts[r]) for r, own in rows.groupby("range")]
+        splitters = np.unique(np.concatenate([splitters, *more]))
 
 
 def _ranged(keyed: DataFrame, splitters: np.ndarray) -> DataFrame:
@@ -63,17 +86,7 @@ def assign_shards(docs: DataFrame, n_shards: int = SHARDS, id: str = "doc_id", t
     keyed = staged(keyed.select("id", "size", "text_crc32", F.concat(F.rpad("key", 32, "-"), F.lpad(F.hex("row"), 16, "0")).alias("key")), "keys")
     total = keyed.agg(F.sum("size")).first()[0] or 0
     want = n_shards * RANGES
-    splitters = _splitters(keyed, total, want)
-    for _ in range(4):
-        filled = _ranged(keyed, splitters).groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).toPandas().sort_values("range")
-        over = filled[(filled["bytes"] > FULL * total / want) & (filled["rows"] > 1)]
-        if over.empty:
-            break
-        more = [_splitters(_ranged(keyed, splitters).where(F.col("range") == int(r)), int(b), 2 * int(np.ceil(b * want / total))) for r, b in zip(over["range"], over["bytes"], strict=True)]
-        grown = np.unique(np.concatenate([splitters, *more]))
-        if len(grown) == len(splitters):
-            break
-        splitters = grown
+    splitters, filled = _splitters(keyed, total, want)
     offsets = keyed.sparkSession.createDataFrame(pd.DataFrame({"range": filled["range"].astype("int32"), "bytes_before": (filled["bytes"].cumsum() - filled["bytes"]).astype("int64"), "rows_before": (filled["rows"].cumsum() - filled["rows"]).astype("int64")}), "range int, bytes_before long, rows_before long")
     # One row a range, at most (shards x RANGES) and what overfull ones were divided into.
     line = _ranged(keyed, splitters).join(F.broadcast(offsets), "range")
