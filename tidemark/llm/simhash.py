@@ -216,12 +216,16 @@ def balls(unique: DataFrame, radius: int = RADIUS, most_in_ball: int = MOST_IN_B
     """(fp, mask, value): the balls that each distinct fingerprint lies in."""
     spark, masks = unique.sparkSession, Masks(radius)
 
+    def value(bits):
+        return F.col("fp").bitwiseAND(bits).alias("value")
+
     def divided(rows: DataFrame, level: list[int]) -> DataFrame:
-        # One row a mask of the level: 4, 16, 64, 256, ... of them.
+        # One row a mask of the level: 16, 64, 256, ... of them.
         table = spark.createDataFrame(masks.children(level), "mask int, child int, bits long")
-        return rows.join(F.broadcast(table), "mask").select("fp", F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("bits")).alias("value"))
+        return rows.join(F.broadcast(table), "mask").select("fp", F.col("child").alias("mask"), value(F.col("bits")))
 
-    asked, level = divided(unique.select("fp", F.lit(0).alias("mask")), [0]), None
+    first = F.array(*[F.struct(F.lit(child).alias("mask"), F.lit(bits).alias("bits")) for _, child, bits in masks.children([0])])
+    asked = unique.select("fp", F.explode(first).alias("k")).select("fp", F.col("k.mask").alias("mask"), value(F.col("k.bits")))
     done = []
     while True:
         # A ball's number of members is known before anyone gathers it; overfull ones go to finer balls.
