@@ -45,9 +45,9 @@ def hard_collisions(spark, sf_dir):
     return ident.hard_collisions(facts(spark, sf_dir)).select("fact_type", "fact_value", "person_count", F.round("avg_confidence", 9).alias("avg_confidence"))
 
 
-@query(f"WITH {FACTS}, {TIER1} SELECT t.fact_type, t.fact_value, t.person_count, string_agg(e.person_id, ',' ORDER BY e.person_id) AS person_ids FROM tier1 t JOIN tier1_each e ON e.fact_type = t.fact_type AND e.fact_value = t.fact_value WHERE t.person_count <= 50 GROUP BY t.fact_type, t.fact_value, t.person_count")
+@query(f"WITH {FACTS}, {TIER1} SELECT t.fact_type, t.fact_value, t.person_count, round(t.avg_confidence, 9) AS avg_confidence, e.person_id FROM tier1 t JOIN tier1_each e ON e.fact_type = t.fact_type AND e.fact_value = t.fact_value")
 def tier1_collisions(spark, sf_dir):
-    return ident.tier1_collisions(facts(spark, sf_dir)).where("person_count <= 50").select("fact_type", "fact_value", "person_count", F.array_join("person_ids", ",").alias("person_ids"))
+    return ident.collision_members(facts(spark, sf_dir), ident.TIER1, normalize=True).withColumn("avg_confidence", F.round("avg_confidence", 9))
 
 
 @query(f"WITH {FACTS}, {HARD}, {_pairs('hard')} SELECT fact_type, fact_value, p1, p2 FROM hard_pairs")
@@ -86,17 +86,17 @@ def merge_fact_conflicts(spark, sf_dir):
     return ident.conflicts(own, ident.merge_suggestions(own))
 
 
-@query(f"WITH RECURSIVE {FACTS}, {SUGGESTED}, {CONFLICTS}, good AS (SELECT s.p1, s.p2 FROM suggested s WHERE s.merge_type = 'compound' AND NOT EXISTS (SELECT 1 FROM conflicts c WHERE c.p1 = s.p1 AND c.p2 = s.p2)), ends AS (SELECT p1 AS u, p2 AS v FROM good UNION SELECT p2, p1 FROM good), reach AS (SELECT u AS root, u AS node FROM ends UNION SELECT r.root, e.v FROM reach r JOIN ends e ON e.u = r.node) SELECT node AS person_id, MIN(root) AS canonical_id FROM reach GROUP BY node")
+@query(f"WITH RECURSIVE {FACTS}, {SUGGESTED}, {CONFLICTS}, good AS (SELECT s.p1, s.p2 FROM suggested s WHERE s.auto_eligible AND NOT EXISTS (SELECT 1 FROM conflicts c WHERE c.p1 = s.p1 AND c.p2 = s.p2)), ends AS (SELECT p1 AS u, p2 AS v FROM good UNION SELECT p2, p1 FROM good), reach AS (SELECT u AS root, u AS node FROM ends UNION SELECT r.root, e.v FROM reach r JOIN ends e ON e.u = r.node) SELECT node AS person_id, MIN(root) AS canonical_id FROM reach GROUP BY node")
 def merge_components(spark, sf_dir):
     own = facts(spark, sf_dir)
     from tidemark.plans.components import components, written
 
-    pairs = written(ident.merge_suggestions(own).where("merge_type = 'compound'").select("p1", "p2"))
+    pairs = written(ident.merge_suggestions(own).where("auto_eligible").select("p1", "p2"))
     good = pairs.join(ident.conflicts(own, pairs), ["p1", "p2"], "left_anti")
     return components(good, "p1", "p2").withColumnsRenamed({"node": "person_id", "component": "canonical_id"})
 
 
-_NAMES = "persons AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS person_id, CASE WHEN c_custkey % 4 = 0 THEN 'Anna  Bell' ELSE 'anna bell' END || CAST(c_custkey % 211 AS VARCHAR) || CASE WHEN c_custkey % 5 = 0 THEN ' Jr' ELSE '' END AS canonical_name, CASE WHEN c_custkey % 3 = 0 THEN 'Bell' || CAST(c_custkey % 211 AS VARCHAR) END AS display_name FROM customer WHERE c_custkey < 600)"
+_NAMES = "persons AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS person_id, CASE WHEN c_custkey % 4 = 0 THEN 'Anna  Bell' ELSE 'anna bell' END || CAST(c_custkey % 211 AS VARCHAR) || CASE WHEN c_custkey % 5 = 0 THEN ' Jr' ELSE '' END AS canonical_name, CASE WHEN c_custkey % 3 = 0 THEN 'Bell' || CAST(c_custkey % 211 AS VARCHAR) END AS display_name FROM customer)"
 _FORM = "regexp_replace(trim(regexp_replace(regexp_replace(trim(lower({c})), ' jr$', ''), ' sr$', '')), '\\s+', ' ', 'g')"
 
 
@@ -111,7 +111,7 @@ def name_similarity(spark, sf_dir):
     return ident.name_similarity(_named(spark, sf_dir))
 
 
-@query(f"WITH {FACTS}, d AS (SELECT DISTINCT person_id, split_part(lower(fact_value), '@', 2) || CAST(length(fact_value) AS VARCHAR) || split_part(person_id, '9', 1) AS domain FROM facts WHERE fact_type = 'email_personal'), s AS (SELECT domain FROM d GROUP BY domain HAVING COUNT(*) <= 50) SELECT a.person_id AS p1, b.person_id AS p2, MIN(a.domain) AS domain, CAST(0.5 AS DOUBLE) AS confidence FROM d a JOIN d b ON a.domain = b.domain AND a.person_id < b.person_id WHERE a.domain IN (SELECT domain FROM s) GROUP BY a.person_id, b.person_id")
+@query(f"WITH {FACTS}, d AS (SELECT DISTINCT person_id, split_part(lower(fact_value), '@', 2) AS domain FROM facts WHERE fact_type = 'email_personal') SELECT a.person_id AS p1, b.person_id AS p2, MIN(a.domain) AS domain, CAST(0.5 AS DOUBLE) AS confidence FROM d a JOIN d b ON a.domain = b.domain AND a.person_id < b.person_id GROUP BY a.person_id, b.person_id")
 def shared_domain(spark, sf_dir):
     emails = facts(spark, sf_dir).where("fact_type = 'email_personal'").selectExpr("person_id", "fact_value AS email")
     return ident.shared_domain(emails)

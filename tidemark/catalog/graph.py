@@ -9,7 +9,7 @@ from tidemark.operators import graph as g
 
 G = f"{ENTITIES}, {EDGES}"
 ALIVE = "alive AS (SELECT entity_id, canonical_name, entity_type_id FROM entities WHERE merged_into IS NULL)"
-START = "start AS (SELECT entity_id AS start_id FROM entities WHERE k % 25 = 0)"
+START = "start AS (SELECT entity_id AS start_id FROM entities)"
 AS_OF, NOW = "1998-06-30", "2000-01-01"
 
 
@@ -95,10 +95,10 @@ def shared_alias(spark, sf_dir):
 
 _COLLISIONS = f"""{ENTITIES}, {EDGES}, {ALIASES}, live AS (SELECT a.* FROM aliases a JOIN entities e ON e.entity_id = a.entity_id WHERE e.merged_into IS NULL),
 hardg AS (SELECT DISTINCT entity_id, alias_type, normalized FROM live WHERE alias_type IN ('email', 'phone', 'handle')),
-small AS (SELECT alias_type, normalized FROM hardg GROUP BY ALL HAVING COUNT(*) BETWEEN 2 AND 50),
+small AS (SELECT alias_type, normalized FROM hardg GROUP BY ALL HAVING COUNT(*) >= 2),
 hard AS (SELECT a.entity_id AS a, b.entity_id AS b, COUNT(*) AS n FROM hardg a JOIN hardg b ON a.alias_type = b.alias_type AND a.normalized = b.normalized AND a.entity_id < b.entity_id JOIN small s ON s.alias_type = a.alias_type AND s.normalized = a.normalized GROUP BY a.entity_id, b.entity_id),
 named AS (SELECT DISTINCT r.relation_type, l.normalized AS name, COALESCE(r.target_entity_id, lower(r.target_literal)) AS value, l.entity_id FROM live l JOIN relationships r ON r.source_entity_id = l.entity_id WHERE l.alias_type = 'name' AND r.relation_type IN ('BORN_ON', 'WORKS_AT') AND r.invalid_at IS NULL),
-nsmall AS (SELECT relation_type, name, value FROM named GROUP BY ALL HAVING COUNT(*) BETWEEN 2 AND 50),
+nsmall AS (SELECT relation_type, name, value FROM named GROUP BY ALL HAVING COUNT(*) >= 2),
 comp AS (SELECT a.entity_id AS a, b.entity_id AS b, a.relation_type FROM named a JOIN named b ON a.relation_type = b.relation_type AND a.name = b.name AND a.value = b.value AND a.entity_id < b.entity_id JOIN nsmall s ON s.relation_type = a.relation_type AND s.name = a.name AND s.value = a.value GROUP BY ALL),
 every AS (SELECT a, b, CASE WHEN n > 1 THEN 0.99 ELSE 0.95 END AS confidence, CASE WHEN n > 1 THEN 'multiple_hard_identifiers' ELSE 'hard_identifier' END AS reason, NULL AS compound_type, n AS hard_matches FROM hard UNION ALL SELECT a, b, CASE relation_type WHEN 'BORN_ON' THEN 0.90 ELSE 0.85 END, 'compound', CASE relation_type WHEN 'BORN_ON' THEN 'name_birthdate' ELSE 'name_employer' END, 0 FROM comp),
 collisions AS (SELECT a AS entity_a_id, b AS entity_b_id, CAST(confidence AS DOUBLE) AS confidence, reason, compound_type, CAST(hard_matches AS BIGINT) AS hard_matches FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY a, b ORDER BY confidence DESC) AS r FROM every) WHERE r = 1)"""
@@ -123,7 +123,7 @@ def auto_merge_rule(spark, sf_dir):
     return checked.select("entity_a_id", "entity_b_id", F.array_join("conflicts", ",").alias("conflicts"), "auto_merge")
 
 
-_MENTIONS = "mentions AS (SELECT entity_id AS mention_id, CASE WHEN k % 2 = 0 THEN 'm' || CAST(k % 700 AS VARCHAR) || '@X.example' WHEN k % 3 = 0 THEN canonical_name ELSE 'nobody ' || CAST(k AS VARCHAR) END AS name FROM entities WHERE k % 7 = 0)"
+_MENTIONS = "mentions AS (SELECT entity_id AS mention_id, CASE WHEN k % 2 = 0 THEN 'm' || CAST(k % 700 AS VARCHAR) || '@X.example' WHEN k % 3 = 0 THEN canonical_name ELSE 'nobody ' || CAST(k AS VARCHAR) END AS name FROM entities)"
 
 
 def _mentions(spark, sf_dir):

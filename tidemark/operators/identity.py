@@ -60,17 +60,33 @@ def normalized_fact(kind: Column, value: Column) -> Column:
     return F.when(kind.isin(PHONES), F.regexp_replace(v, r"[- ()+.]", "")).when(kind.isin(SOCIAL), F.trim(F.replace(v, F.lit("@"), F.lit("")))).otherwise(v)
 
 
-def collisions(facts: DataFrame, types: list[str], normalize: bool = False) -> DataFrame:
-    """(fact_type, fact_value, person_ids sorted, avg_confidence, person_count) of shared facts."""
+def _shared(facts: DataFrame, types: list[str], normalize: bool) -> tuple[DataFrame, DataFrame]:
+    """(one row a fact and person, one row a fact that several persons share)."""
     value = normalized_fact(F.col("fact_type"), F.col("fact_value")) if normalize else F.col("fact_value")
     own = facts.where(F.col("fact_type").isin(types)).select("fact_type", value.alias("fact_value"), "person_id", "confidence")
     # One row a person first: two spellings of one person are no collision and weigh once.
     each = own.groupBy("fact_type", "fact_value", "person_id").agg(F.sum("confidence").alias("s"), F.count("confidence").alias("n"))
     groups = each.groupBy("fact_type", "fact_value").agg(F.count("*").alias("person_count"), (F.sum("s") / F.sum("n")).alias("avg_confidence"))
-    small = groups.where((F.col("person_count") > 1) & (F.col("person_count") <= MOST_IN_GROUP))
-    # Lists are gathered for small groups alone; others report their size.
+    return each, groups.where("person_count > 1")
+
+
+def collision_members(facts: DataFrame, types: list[str], normalize: bool = False) -> DataFrame:
+    """(fact_type, fact_value, person_count, avg_confidence, person_id): every person of every
+    shared fact, a row each, however many share it."""
+    each, groups = _shared(facts, types, normalize)
+    return each.select("fact_type", "fact_value", "person_id").join(groups, ["fact_type", "fact_value"]).select("fact_type", "fact_value", "person_count", "avg_confidence", "person_id")
+
+
+def collisions(facts: DataFrame, types: list[str], normalize: bool = False) -> DataFrame:
+    """(fact_type, fact_value, person_ids sorted, avg_confidence, person_count) of shared facts.
+
+    Lists are gathered for groups from which pairs come; larger ones report their size, and
+    `collision_members` their persons.
+    """
+    each, groups = _shared(facts, types, normalize)
+    small = groups.where(F.col("person_count") <= MOST_IN_GROUP)
     lists = each.join(small.select("fact_type", "fact_value"), ["fact_type", "fact_value"], "left_semi").groupBy("fact_type", "fact_value").agg(F.sort_array(F.collect_set("person_id")).alias("person_ids"))
-    return groups.where("person_count > 1").join(lists, ["fact_type", "fact_value"], "left")
+    return groups.join(lists, ["fact_type", "fact_value"], "left")
 
 
 def hard_collisions(facts: DataFrame) -> DataFrame:
@@ -310,10 +326,10 @@ def frequent_persons(people: DataFrame, least_events: int) -> DataFrame:
 
 
 def co_occurrence(participants: DataFrame, links: DataFrame) -> DataFrame:
-    """(p1, p2, n): events that two persons share; an extra signal."""
+    """(p1, p2, n): events that two persons share; an extra signal. A join, which Spark splits at hot events."""
     own = participants.join(links.select("contact_id", "person_id"), "contact_id").select("event_id", "person_id").distinct()
-    small = own.groupBy("event_id").agg(F.count("*").alias("person_count"), F.sort_array(F.collect_set("person_id")).alias("person_ids"))
-    return pairs(small, "event_id").groupBy("p1", "p2").agg(F.count("*").alias("n"))
+    both = own.withColumnRenamed("person_id", "p1").join(own.withColumnRenamed("person_id", "p2"), "event_id").where("p1 < p2")
+    return both.groupBy("p1", "p2").agg(F.count("*").alias("n"))
 
 
 def window_rank(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
