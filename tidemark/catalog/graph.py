@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import ALIASES, EDGES, ENTITIES, aliases, entities, query, relationships
+from tidemark.catalog.base import ALIASES, EDGES, ENTITIES, aliases, entities, query, relationships, table
 from tidemark.operators import graph as g
 
 G = f"{ENTITIES}, {EDGES}"
@@ -145,6 +145,16 @@ def entity_resolution(spark, sf_dir):
     return g.resolve(_mentions(spark, sf_dir), scored).select("mention_id", "decision", "candidates_count")
 
 
+@query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT * FROM (SELECT 'm' || CAST(q.vec_id AS VARCHAR) AS mention_id, CAST(v.vec_id AS VARCHAR) AS entity_id, round((greatest(-1, least(1, list_cosine_similarity(v.e, q.e))) + 1) / 2, 6) AS embedding_score FROM v CROSS JOIN v q WHERE q.vec_id % 100 = 0) WHERE embedding_score >= 0.85")
+def embedding_candidates(spark, sf_dir):
+    """The mentions are the stated query set, against all entities."""
+    own = table(spark, sf_dir, "embeddings")
+    mentions = own.where("vec_id % 100 = 0").selectExpr("'m' || vec_id AS mention_id", "cast(embedding AS array<double>) AS embedding")
+    vectors = own.selectExpr("'entity' AS target_type", "cast(vec_id AS string) AS target_id", "cast(embedding AS array<double>) AS embedding")
+    found = g.embedding_candidates(mentions, vectors, least=0.84)
+    return found.withColumn("embedding_score", F.round("embedding_score", 6)).where("embedding_score >= 0.85")
+
+
 @query(f"WITH {ENTITIES}, {EDGES}, {ALIASES} SELECT (SELECT COUNT(*) FROM entities) AS entities, (SELECT COUNT(*) FROM entities WHERE merged_into IS NULL) AS active_entities, (SELECT COUNT(*) FROM aliases) AS aliases, CAST(0 AS BIGINT) AS shared_aliases, (SELECT COUNT(*) FROM relationships) AS relationships, (SELECT COUNT(*) FROM relationships WHERE invalid_at IS NULL) AS current_relationships, (SELECT COUNT(*) FROM relationships) AS mentions, (SELECT COUNT(DISTINCT relation_type) FROM relationships) AS episodes")
 def memory_stats(spark, sf_dir):
     mentions = relationships(spark, sf_dir).selectExpr("relation_type AS episode_id", "1L AS mention_count")

@@ -111,7 +111,7 @@ def content_types(spark, sf_dir):
     return own.select("event_id", has_content_type(F.col("types"), "text").alias("has_text"))
 
 
-@query("WITH p AS (SELECT DISTINCT o_orderdate AS event_id, o_custkey // 40 AS person FROM orders), s AS (SELECT event_id FROM p GROUP BY event_id HAVING COUNT(*) <= 50) SELECT a.person AS p1, b.person AS p2, COUNT(*) AS n FROM p a JOIN p b ON a.event_id = b.event_id AND a.person < b.person WHERE a.event_id IN (SELECT event_id FROM s) GROUP BY a.person, b.person")
+@query("WITH p AS (SELECT DISTINCT o_orderdate AS event_id, o_custkey // 40 AS person FROM orders) SELECT a.person AS p1, b.person AS p2, COUNT(*) AS n FROM p a JOIN p b ON a.event_id = b.event_id AND a.person < b.person GROUP BY a.person, b.person")
 def co_occurrence(spark, sf_dir):
     from tidemark.operators.identity import co_occurrence as together
 

@@ -6,8 +6,11 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ASSIGNMENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*=")
 #: What stands for a wrapped program: the words that may come before its name.
@@ -23,8 +26,8 @@ class Invocation(NamedTuple):
     segment: int
 
 
-# A quoted stretch (to the end if left open), an operator, or any other character.
-_SEGMENT = re.compile(r"'[^']*(?:'|\Z)|\"[^\"]*(?:\"|\Z)|(?P<keep>>&|&>)|(?P<cut>\|\||&&|[;|&])|.", re.S)
+# A quoted stretch (to the end if left open), an operator, or other characters.
+_SEGMENT = re.compile(r"[^'\";|&>]+|'[^']*(?:'|\Z)|\"[^\"]*(?:\"|\Z)|(?P<keep>>&|&>)|(?P<cut>\|\||&&|[;|&])|.", re.S)
 
 
 def segments(command: str) -> list[str]:
@@ -103,6 +106,9 @@ def invocations(command: str, cargo_binaries: dict[str, str] | None = None) -> I
             yield Invocation(name, rest[0] if rest else None, " ".join(rest[1:]) or None, kind, segment, i)
 
 
+FIELDS = T.StructType([T.StructField(n, T.IntegerType() if n == "segment" else T.StringType()) for n in Invocation._fields])
+
+
 @F.udtf(returnType="binary string, subcommand string, args string, kind string, command string, segment int")
 class ShellInvocations:
     """SELECT ... FROM t, LATERAL shell_invocations(t.command)"""
@@ -118,11 +124,23 @@ def register(spark) -> None:
 
 def report(events: DataFrame, members: DataFrame, binaries: list[str] | None = None) -> DataFrame:
     """(episode_id, event_id, position, ts, binary, ...) of the commands that tool sources recorded."""
-    spark = events.sparkSession
-    register(spark)
     own = members.select("episode_id", "event_id", "position").join(events.where(F.col("source_adapter").endswith("_tool") & (F.trim("content") != "")).select("event_id", "ts", F.trim("content").alias("raw_command")), "event_id")
-    out = spark.sql("SELECT e.*, s.* FROM {own} e, LATERAL shell_invocations(e.raw_command) s", own=own)
-    return out.where(F.col("binary").isin(binaries)) if binaries else out
+    out = T.StructType([*own.schema.fields, *FIELDS.fields])
+    added = to_arrow_schema(FIELDS)
+
+    def run(batches):
+        for batch in batches:
+            rows, found = [], []
+            for i, command in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for one in invocations(command):
+                    rows.append(i)
+                    found.append(one)
+            kept = batch.take(pa.array(rows, pa.int64()))
+            cols = zip(*found, strict=True) if found else [[]] * len(FIELDS)
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, f.type) for c, f in zip(cols, added, strict=True))], names=out.names)
+
+    found = own.mapInArrow(run, out)
+    return found.where(F.col("binary").isin(binaries)) if binaries else found
 
 
 def summaries(report_: DataFrame) -> DataFrame:

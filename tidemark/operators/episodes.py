@@ -1,8 +1,10 @@
 """Episodes: how an event ledger falls into conversations.
 
 Events are (event_id, ts, channel, thread_id, direction, ...). Every strategy is one window
-over the partition that an episode can't leave; ids are hashes of what defines the episode, so
-running a strategy again gives the same ids and an anti-join makes it idempotent.
+over the partition that an episode can't leave; where that could be a whole channel, or all
+there is, windows go over stretches of time and what one stretch leaves to the next is carried
+from a table with one row a stretch. Ids are hashes of what defines the episode, so running a
+strategy again gives the same ids and an anti-join makes it idempotent.
 """
 
 from __future__ import annotations
@@ -32,8 +34,11 @@ def _in_channel(events: DataFrame, channel: str | None) -> DataFrame:
     return events if channel is None else events.where(F.col("channel") == channel)
 
 
-def gap_groups(events: DataFrame, gap_seconds: int, scope: str = "thread") -> DataFrame:
-    """`events` with scope_key and episode_no: a gap strictly over `gap_seconds` starts another."""
+#: Seconds of a stretch of time, the unit that one task orders where a scope may hold any number of events.
+STRETCH = 3600
+
+
+def _scoped(events: DataFrame, scope: str) -> DataFrame:
     if scope == "thread":
         events = events.where("thread_id IS NOT NULL")
         key = F.when(F.col("thread_id").cast("string") == "", "global").otherwise(F.col("thread_id").cast("string"))
@@ -41,18 +46,65 @@ def gap_groups(events: DataFrame, gap_seconds: int, scope: str = "thread") -> Da
         key = F.col("channel")
     else:
         key = F.lit("global")
+    return events.withColumn("scope_key", key)
+
+
+_CELL = ["__scope", "__cell"]
+
+
+def _in_stretches(events: DataFrame, gap_seconds: int, stretch: int) -> DataFrame:
+    """`events` (with scope_key) with episode_no, and the stretch of each event."""
+    # Nulls are a scope and a stretch of their own.
+    events = events.withColumns({"__scope": F.coalesce(F.col("scope_key").cast("string"), F.lit("\0")), "__cell": F.coalesce(F.floor(F.col("ts") / stretch), F.lit(-(1 << 62)))})
+    w = Window.partitionBy(*_CELL).orderBy("ts", "event_id")
+    inner = events.withColumn("__start", F.coalesce((F.col("ts") - F.lag("ts").over(w) > gap_seconds).cast("int"), F.lit(0))).withColumn("__nth", F.sum("__start").over(w))
+    cells = inner.groupBy(*_CELL).agg(F.min("ts").alias("begin"), F.max("ts").alias("end"), F.sum("__start").alias("starts"))
+    order = Window.partitionBy("__scope").orderBy("__cell")
+    cells = cells.withColumn("first", F.coalesce((F.col("begin") - F.lag("end").over(order) > gap_seconds).cast("int"), F.lit(1)))
+    cells = cells.select(*_CELL, (F.sum(F.col("first") + F.col("starts")).over(order) - F.col("starts")).alias("__base"))
+    return inner.join(cells, _CELL).withColumn("episode_no", F.col("__base") + F.col("__nth")).drop("__start", "__nth", "__base")
+
+
+def gap_groups(events: DataFrame, gap_seconds: int, scope: str = "thread", stretch: int | None = None) -> DataFrame:
+    """`events` with scope_key and episode_no: a gap strictly over `gap_seconds` starts another.
+
+    With `stretch` (the default beyond threads) no task orders more than a stretch of a scope.
+    """
+    events = _scoped(events, scope)
+    stretch = stretch or (None if scope == "thread" else STRETCH)
+    if stretch:
+        return _in_stretches(events, gap_seconds, stretch).drop(*_CELL)
     w = Window.partitionBy("scope_key").orderBy("ts", "event_id")
     starts = F.coalesce((F.col("ts") - F.lag("ts").over(w) > gap_seconds).cast("int"), F.lit(1))
-    return events.withColumn("scope_key", key).withColumn("__start", starts).withColumn("episode_no", F.sum("__start").over(w)).drop("__start")
+    return events.withColumn("__start", starts).withColumn("episode_no", F.sum("__start").over(w)).drop("__start")
+
 
+def _placed_in_stretches(grouped: DataFrame) -> DataFrame:
+    """Positions in episodes that may go on over many stretches, their first events and sizes."""
+    own = [*_CELL, "episode_no"]
+    parts = grouped.groupBy(*own).agg(F.count("*").alias("n"), F.min_by("event_id", F.struct("ts", "event_id")).alias("opens"))
+    episode = Window.partitionBy("__scope", "episode_no")
+    order = episode.orderBy("__cell")
+    parts = parts.select(*own, (F.sum("n").over(order) - F.col("n")).alias("__before"), F.first("opens").over(order).alias("__first"), F.sum("n").over(episode).alias("__n"))
+    within = F.row_number().over(Window.partitionBy(*own).orderBy("ts", "event_id"))
+    return grouped.withColumn("__within", within).join(parts, own).withColumn("position", (F.col("__before") + F.col("__within")).cast("int"))
 
-def time_gap(events: DataFrame, gap_seconds: int, scope: str = "thread", channel: str | None = None, definition: str = "time_gap", least_events: int = 1) -> DataFrame:
+
+def time_gap(events: DataFrame, gap_seconds: int, scope: str = "thread", channel: str | None = None, definition: str = "time_gap", least_events: int = 1, stretch: int | None = None) -> DataFrame:
     """(episode_id, event_id, ts, channel, thread_id, position) of time-gap episodes."""
-    grouped = gap_groups(_in_channel(events, channel), gap_seconds, scope)
-    w = Window.partitionBy("scope_key", "episode_no").orderBy("ts", "event_id")
-    placed = grouped.withColumn("position", F.row_number().over(w)).withColumn("__first", F.first("event_id").over(w))
+    events = _in_channel(events, channel)
+    stretch = stretch or (None if scope == "thread" else STRETCH)
+    if stretch:
+        placed = _placed_in_stretches(_in_stretches(_scoped(events, scope), gap_seconds, stretch))
+    else:
+        grouped = gap_groups(events, gap_seconds, scope)
+        episode = Window.partitionBy("scope_key", "episode_no")
+        w = episode.orderBy("ts", "event_id")
+        placed = grouped.withColumn("position", F.row_number().over(w)).withColumn("__first", F.first("event_id").over(w))
+        if least_events > 1:
+            placed = placed.withColumn("__n", F.count("*").over(episode))
     if least_events > 1:
-        placed = placed.withColumn("__n", F.count("*").over(Window.partitionBy("scope_key", "episode_no"))).where(F.col("__n") >= least_events)
+        placed = placed.where(F.col("__n") >= least_events)
     return placed.select(episode_id(definition, F.col("scope_key"), F.col("__first")).alias("episode_id"), "event_id", "ts", "channel", "thread_id", "position")
 
 

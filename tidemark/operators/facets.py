@@ -1,7 +1,7 @@
 """Facets and facts from JSON analyses.
 
 Paths such as `a.b`, `items[].name` become variant paths: one try_parse_json a payload, one
-explode for each array step, all JVM-side. Leaves are strings, booleans and numbers.
+explode of all that the paths lead to, all JVM-side. Leaves are strings, booleans and numbers.
 """
 
 from __future__ import annotations
@@ -55,32 +55,44 @@ def json_payload(output: Column) -> Column:
     return F.regexp_extract(body, r"(?s)([\[{].*[\]}])", 1)
 
 
-def values_at(payload: DataFrame, variant: str, path: str, keep: list[str]) -> DataFrame:
-    """(keep, value) for every leaf at `path`."""
-    df = payload.select(*keep, F.col(variant).alias("__v"))
-    for part in path.split("."):
-        name = part.removesuffix("[]")
-        if not part.endswith("[]"):
-            df = df.withColumn("__v", F.try_variant_get("__v", f"$['{name}']", "variant"))
-        else:
-            items = F.try_variant_get("__v", f"$['{name}']", "array<variant>")
-            df = df.select(*keep, F.explode(items).alias("__v"))
-    kind = F.schema_of_variant("__v")
-    # Objects and arrays are no leaves; numbers print without an exponent.
-    number = F.try_variant_get("__v", "$", "decimal(38,18)").cast("string")
+def _leaf(value: Column) -> Column:
+    """A string, boolean or number as text. Objects and arrays are no leaves; numbers print without an exponent."""
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "decimal(38,18)").cast("string")
     number = F.when(F.contains(number, F.lit(".")), F.regexp_replace(number, r"\.?0+$", "")).otherwise(number)
-    value = F.when(kind == "STRING", F.try_variant_get("__v", "$", "string")).when(kind == "BOOLEAN", F.try_variant_get("__v", "$", "string")).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), number)
-    return df.select(*keep, value.alias("value")).where("value IS NOT NULL")
+    return F.when(kind.isin("STRING", "BOOLEAN"), F.try_variant_get(value, "$", "string")).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), number)
+
+
+def _step(found: Column, part: str) -> Column:
+    """One step of a path further from each of an array of variants."""
+    name = part.removesuffix("[]")
+    if not part.endswith("[]"):
+        return F.transform(found, lambda v: F.try_variant_get(v, f"$['{name}']", "variant"))
+    none = F.array().cast("array<variant>")
+    return F.flatten(F.transform(found, lambda v: F.coalesce(F.try_variant_get(v, f"$['{name}']", "array<variant>"), none)))
+
+
+def values_at(payload: Column, path: str) -> Column:
+    """Every leaf at `path` of a variant, as an array of strings."""
+    found = reduce(_step, path.split("."), F.array(payload))
+    return F.filter(F.transform(found, _leaf), lambda x: x.isNotNull())
+
+
+def _typed(values: Column, kind: str) -> Column:
+    return F.transform(values, lambda x: F.struct(F.lit(kind).alias("facet_type"), x.alias("value")))
 
 
 def extract_facets(runs: DataFrame, mappings: list[tuple[str, str]], output: str = "output_text", keep: tuple[str, ...] = ("run_id", "episode_id")) -> DataFrame:
-    """(keep, facet_type, value) of (json_path, facet_type) mappings, of one object or each of an array."""
+    """(keep, facet_type, value) of (json_path, facet_type) mappings, of one object or each of an array.
+
+    A payload is parsed once, however many mappings there are.
+    """
     keep = list(keep)
     parsed = runs.select(*keep, F.try_parse_json(json_payload(F.col(output))).alias("v")).where("v IS NOT NULL")
     items = F.try_variant_get("v", "$", "array<variant>")
     objects = parsed.select(*keep, F.explode(F.coalesce(items, F.array("v"))).alias("v"))
-    found = [values_at(objects, "v", path, keep).select(*keep, F.lit(kind).alias("facet_type"), "value") for path, kind in mappings]
-    return reduce(DataFrame.unionByName, found)
+    found = [_typed(values_at(F.col("v"), path), kind) for path, kind in mappings]
+    return objects.select(*keep, F.explode(F.concat(*found)).alias("f")).select(*keep, "f.facet_type", "f.value")
 
 
 def facts_from_facets(spark, facets: DataFrame, episodes: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:

@@ -9,11 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import identity as fid
-from tidemark.functions import vector as vec
 from tidemark.plans.components import components
 from tidemark.plans.state import insert_new, merge_df
 
@@ -158,15 +159,61 @@ def alias_candidates(mentions: DataFrame, aliases: DataFrame, entities: DataFram
     return hits.groupBy("mention_id", "entity_id").agg(F.max(best).alias("b")).select("mention_id", "entity_id", "b.*")
 
 
-def embedding_candidates(mentions: DataFrame, embeddings: DataFrame, least: float = EMBEDDING_LEAST) -> DataFrame:
+#: Mentions of a block, and entities that are compared with it at once.
+MENTION_BLOCK, ENTITY_ROWS = 2048, 1024
+
+
+def _blocks(rows, size: int):
+    block = []
+    for row in rows:
+        block.append(row)
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _matrix(vectors: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors of the given size, which of the rows they are); others, and zero ones, are left out."""
+    at = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == size > 0], np.int64)
+    rows = np.array([vectors[i] for i in at], float).reshape(len(at), size)
+    norms = np.sqrt((rows * rows).sum(axis=1))
+    good = norms > 0
+    return rows[good] / norms[good][:, None], at[good]
+
+
+def embedding_candidates(mentions: DataFrame, embeddings: DataFrame, least: float = EMBEDDING_LEAST, block: int = MENTION_BLOCK) -> DataFrame:
     """(mention_id, entity_id, embedding_score) for mentions with an embedding.
 
-    The mentions of a batch are a stated, bounded set of queries against all entities.
+    The mentions of a batch are queries against all entities: block by block of known size they
+    become a matrix, and entities stream past it. Vectors of different sizes, empty and zero ones
+    have cosine 0, a score of 0.5.
     """
-    q = mentions.where("embedding IS NOT NULL").select("mention_id", F.col("embedding").alias("q"))
-    score = vec.normalize_cosine(vec.cosine(F.col("q"), F.col("embedding")))
-    near = embeddings.where("target_type = 'entity'").select(F.col("target_id").alias("entity_id"), "embedding").join(F.broadcast(q))
-    return near.select("mention_id", "entity_id", score.alias("embedding_score")).where(F.col("embedding_score") >= least)
+    spark, kinds = mentions.sparkSession, (mentions.schema["mention_id"].dataType, embeddings.schema["target_id"].dataType)
+    entities = embeddings.where("target_type = 'entity' AND embedding IS NOT NULL").select(F.col("target_id").alias("entity_id"), "embedding")
+    schema = f"mention_id {kinds[0].simpleString()}, entity_id {kinds[1].simpleString()}, embedding_score double"
+    found = spark.createDataFrame([], schema)
+    queries = mentions.where("embedding IS NOT NULL").select("mention_id", "embedding").toLocalIterator()
+    for rows in _blocks(queries, block):
+        ids, vectors = [r.mention_id for r in rows], [r.embedding for r in rows]
+        shared = spark.sparkContext.broadcast((ids, {n: _matrix(vectors, n) for n in {len(v) for v in vectors}}))
+
+        def run(batches, shared=shared):
+            ids, matrices = shared.value
+            names = pa.array(ids)
+            for batch in batches:
+                for part in (batch.slice(i, ENTITY_ROWS) for i in range(0, batch.num_rows, ENTITY_ROWS)):
+                    own = part.column(1).to_pylist()
+                    score = np.full((len(own), len(ids)), 0.5)
+                    for n, (queries, of) in matrices.items():
+                        units, at = _matrix(own, n)
+                        score[np.ix_(at, of)] = (np.clip(units @ queries.T, -1, 1) + 1) / 2
+                    e, m = np.nonzero(score >= least)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(m)), part.column(0).take(pa.array(e)), pa.array(score[e, m])], names=["mention_id", "entity_id", "embedding_score"])
+
+        found = found.union(entities.mapInArrow(run, schema))
+    return found
 
 
 def context_scores(candidates: DataFrame, relationships: DataFrame, co_mentioned: DataFrame, recent: DataFrame) -> DataFrame:
@@ -281,15 +328,26 @@ def contradictions(relationships: DataFrame, new: DataFrame, fallback: str | Non
 
 def contradictions_in_order(relationships: DataFrame) -> DataFrame:
     """(relationship_id, invalid_at) if all dated edges of exclusive types come in order of time:
-    each ends when the next one with another target begins. One window, no join."""
+    each ends when the next one with another target begins.
+
+    Times at which only one target is named form runs of that target. An edge ends at the next
+    time, unless that belongs to a run of its own target: then where that run ends.
+    """
     target = F.coalesce("target_entity_id", "target_literal")
-    dated = relationships.where(F.col("relation_type").isin(EXCLUSIVE_RELATIONS) & F.col("valid_at").isNotNull() & F.col("invalid_at").isNull()).withColumn("__target", target)
-    w = Window.partitionBy("source_entity_id", "relation_type").orderBy("valid_at")
-    later = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    # The first later edge of another target: the smallest valid_at after the run of one's own.
-    ahead = F.array_sort(F.collect_set(F.struct("valid_at", "__target")).over(later))
-    first = F.filter(ahead, lambda x: (x["__target"] != F.col("__target")) & (x["valid_at"] > F.col("valid_at")))
-    return dated.withColumn("invalid", F.get(first, F.lit(0))["valid_at"]).where("invalid IS NOT NULL").select("relationship_id", F.col("invalid").alias("invalid_at"))
+    keys = ["source_entity_id", "relation_type"]
+    dated = relationships.where(F.col("relation_type").isin(EXCLUSIVE_RELATIONS) & F.col("valid_at").isNotNull() & F.col("invalid_at").isNull()).select("relationship_id", *keys, "valid_at", target.alias("__target")).where("__target IS NOT NULL")
+    low, high = F.min("__target"), F.max("__target")
+    times = dated.groupBy(*keys, "valid_at").agg(F.when(low == high, low).alias("only"))
+    order = Window.partitionBy(*keys).orderBy("valid_at")
+    # A new run begins where the one target isn't that of the time before; several make a run of their own.
+    begins = ~F.coalesce(F.col("only") == F.lag("only").over(order), F.lit(False))
+    times = times.withColumn("__begin", F.when(begins, F.col("valid_at")))
+    back = Window.partitionBy(*keys).orderBy(F.desc("valid_at")).rowsBetween(Window.unboundedPreceding, -1)
+    times = times.withColumns({"next": F.lead("valid_at").over(order), "next_only": F.lead("only").over(order), "__run": F.min("__begin").over(back)})
+    # The run after the next time's: the first beginning after it.
+    times = times.withColumn("after", F.lead("__run").over(order))
+    ends = F.when(F.coalesce(F.col("next_only") == F.col("__target"), F.lit(False)), F.col("after")).otherwise(F.col("next"))
+    return dated.join(times, [*keys, "valid_at"]).withColumn("invalid", ends).where("invalid IS NOT NULL").select("relationship_id", F.col("invalid").alias("invalid_at"))
 
 
 def invalidate(relationships: DataFrame, found: DataFrame) -> DataFrame:
