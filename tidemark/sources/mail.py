@@ -121,24 +121,35 @@ def labels_of(value: str | None) -> list[str]:
 
 def parse_message(raw: str, most_bytes: int) -> tuple | None:
     """A mailbox message as a row of MBOX; None without a usable date and id."""
-    cut = len(raw.encode("utf-8", "surrogateescape")) > most_bytes
-    if cut:
-        raw = raw.encode("utf-8", "surrogateescape")[:most_bytes].decode("utf-8", "replace")
-    m = email.message_from_string(raw, policy=email.policy.compat32)
+    body = raw.encode("utf-8", "surrogateescape")
+    cut = len(body) > most_bytes
+    # Bytes, so that parts of eight bits keep their own character set.
+    m = email.message_from_bytes(body[:most_bytes], policy=email.policy.compat32)
+    heads: dict[str, str] = {}
+    for name, value in m.raw_items():  # as they stand; bytes beyond ASCII are taken for UTF-8
+        heads.setdefault(name.lower(), value.encode("utf-8", "surrogateescape").decode("utf-8", "replace"))
     try:
-        ts = int(email.utils.parsedate_to_datetime(m["Date"]).timestamp())
-    except (TypeError, ValueError):
+        ts = int(email.utils.parsedate_to_datetime(heads["date"]).timestamp())
+    except (KeyError, TypeError, ValueError):
         return None
-    own = (m["X-GM-MSGID"] or m["Message-ID"] or "").strip()
+    own = (heads.get("x-gm-msgid") or heads.get("message-id") or "").strip()
     if not own:
         return None
-    body, files = "", False
+    text, files = "", False
     for part in m.walk():
         if part.get_filename():
             files = True
-        elif part.get_content_type() == "text/plain" and not body:
-            body = (part.get_payload(decode=True) or b"").decode(part.get_content_charset() or "utf-8", "replace").strip()
-    return own, (m["X-GM-THRID"] or own).strip(), ts, _decode(m["Subject"] or ""), body, labels_of(_decode(m["X-GM-LABELS"] or "")), m["From"], m["To"], m["Cc"], files, cut
+        elif part.get_content_type() == "text/plain" and not text:
+            text = _plain(part)
+    return own, (heads.get("x-gm-thrid") or own).strip(), ts, _decode(heads.get("subject") or ""), text, labels_of(_decode(heads.get("x-gm-labels") or "")), heads.get("from"), heads.get("to"), heads.get("cc"), files, cut
+
+
+def _plain(part) -> str:
+    data = part.get_payload(decode=True) or b""
+    try:
+        return data.decode(part.get_content_charset() or "utf-8", "replace").strip()
+    except LookupError:  # a character set that nobody knows
+        return data.decode("utf-8", "replace").strip()
 
 
 def read_mbox(spark: SparkSession, path: str, most_bytes: int = 4 << 20) -> DataFrame:
