@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -251,6 +252,57 @@ def resolve(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     return out.select("mention_id", "decision", F.when(~new, F.col("entity_id")).alias("entity_id"), F.when(F.col("decision") == "created_new", 1.0).otherwise(F.col("total")).alias("confidence"), F.coalesce("n", F.lit(0)).alias("candidates_count"), new.alias("is_new"), F.when(F.col("decision") == "ambiguous", F.col("entity_id")).alias("top_entity_id"))
 
 
+def _decide(rows: list[tuple], resolved: set) -> tuple:
+    """(decision, entity_id, confidence, candidates) of one mention's (entity_id, base, alias, recent, neighbours)."""
+    scored = sorted((-(base + 0.2 * (0.3 * bool(resolved & near) + 0.2 * recent)), entity, alias) for entity, base, alias, recent, near in rows)
+    total, entity, alias = -scored[0][0], scored[0][1], scored[0][2]
+    clear = len(scored) == 1 or total + scored[1][0] >= CLEAR_GAP
+    if total >= HIGH_CONFIDENCE:
+        decision = "high_confidence"
+    elif alias >= ALIAS_EXACT:
+        decision = "exact_alias"
+    else:
+        decision = "clear_winner" if clear and total >= LEAST_MATCH else "ambiguous"
+    return decision, entity, total, len(scored)
+
+
+def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships: DataFrame, recent: DataFrame) -> DataFrame:
+    """As `resolve`, but within an episode mention after mention in the order of `ref`: each sees as
+    context the entities that those before it resolved to.
+
+    mentions (mention_id, episode_id, ref); recent (mention_id, entity_id). Edges between an episode's
+    candidates come together first; the order itself is a loop in Python over one episode's mentions,
+    a group that an episode's own extraction bounds. New entities have no edges, so they are no context.
+    """
+    placed = mentions.select("mention_id", "episode_id", "ref")
+    base = F.coalesce("alias_score", F.lit(0.0)) * 0.5 + F.coalesce("embedding_score", F.lit(0.0)) * 0.3
+    own = candidates.join(placed, "mention_id").join(recent.select("mention_id", "entity_id").distinct().withColumn("recent", F.lit(True)), ["mention_id", "entity_id"], "left")
+    own = own.select("episode_id", "ref", "mention_id", "entity_id", base.alias("base"), F.coalesce("alias_score", F.lit(0.0)).alias("alias"), F.coalesce("recent", F.lit(False)).alias("recent"))
+    ends = relationships.where("target_entity_id IS NOT NULL").select(F.col("source_entity_id").alias("entity_id"), F.col("target_entity_id").alias("other"))
+    ends = ends.union(ends.select("other", "entity_id")).distinct()
+    present = own.select("episode_id", "entity_id").distinct()
+    near = present.join(ends, "entity_id").join(present.withColumnRenamed("entity_id", "other"), ["episode_id", "other"]).groupBy("episode_id", "entity_id").agg(F.collect_set("other").alias("near"))
+    rows = own.join(near, ["episode_id", "entity_id"], "left")
+    kind = candidates.schema["entity_id"].dataType.simpleString()
+    mention = mentions.schema["mention_id"].dataType.simpleString()
+
+    def in_order(pdf):
+        resolved: set = set()
+        out = []
+        for _, one in sorted(pdf.groupby(["ref", "mention_id"]), key=lambda x: x[0]):
+            rows = [(r.entity_id, r.base, r.alias, r.recent, set(r.near) if r.near is not None else set()) for r in one.itertuples()]
+            decision, entity, total, n = _decide(rows, resolved)
+            if decision != "ambiguous":
+                resolved.add(entity)
+            out.append((one.mention_id.iloc[0], decision, entity, total, n))
+        return pd.DataFrame(out, columns=["mention_id", "decision", "top", "confidence", "n"])
+
+    decided = rows.groupBy("episode_id").applyInPandas(in_order, f"mention_id {mention}, decision string, top {kind}, confidence double, n long")
+    found = placed.select("mention_id").join(decided, "mention_id", "left").withColumn("decision", F.coalesce("decision", F.lit("created_new")))
+    new = F.col("decision").isin("created_new", "ambiguous")
+    return found.select("mention_id", "decision", F.when(~new, F.col("top")).alias("entity_id"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("n", F.lit(0)).alias("candidates_count"), new.alias("is_new"), F.when(F.col("decision") == "ambiguous", F.col("top")).alias("top_entity_id"))
+
+
 def merge_scores(alias: DataFrame, embedding: DataFrame) -> DataFrame:
     return alias.join(embedding, ["mention_id", "entity_id"], "full_outer")
 
@@ -422,6 +474,47 @@ def auto_merges(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("auto_merge", (F.size("conflicts") == 0) & (strong | (F.col("hard_matches") >= 2) | F.coalesce(born, F.lit(False))))
 
 
+def pending_candidates(candidates: DataFrame) -> DataFrame:
+    return candidates.where("status = 'pending'").orderBy(F.desc("confidence"), "created_at", "entity_a_id", "entity_b_id")
+
+
+def review(candidates: DataFrame, aliases: DataFrame, relationships: DataFrame) -> DataFrame:
+    """`candidates` with conflicts and outcome: `conflict` (and no longer eligible), `merge` or
+    `review` for pending ones, null for those that were decided."""
+    pending = F.col("status") == "pending"
+    checked = auto_merges(merge_conflicts(candidates, aliases, relationships))
+    torn = F.size("conflicts") > 0
+    outcome = F.when(pending, F.when(torn, "conflict").when(F.col("auto_merge"), "merge").otherwise("review"))
+    return checked.withColumn("outcome", outcome).withColumn("auto_eligible", F.col("auto_eligible") & ~(pending & torn)).drop("auto_merge")
+
+
+def settle(candidates: DataFrame, chosen: DataFrame, status: str, by: str, reason: str | None, now: str) -> DataFrame:
+    """`candidates` with those of `chosen` (entity_a_id, entity_b_id) rejected, deferred or merged."""
+    if status not in ("rejected", "deferred", "merged"):
+        raise ValueError(f"unknown status: {status}")
+    key = ["entity_a_id", "entity_b_id"]
+    out = candidates.join(chosen.select(*key).distinct().withColumn("__chosen", F.lit(True)), key, "left")
+    for column, value in (("status", status), ("resolved_at", now), ("resolved_by", by), ("resolution_reason", reason)):
+        out = out.withColumn(column, F.when(F.col("__chosen"), F.lit(value)).otherwise(F.col(column)))
+    return out.select(*candidates.columns)
+
+
+def merge_events(merged: DataFrame, mapping: DataFrame, by: str, now: str) -> DataFrame:
+    """What was merged into what, and why: a row for each pair of `merged` whose ends the mapping joins."""
+    into = lambda c, n: mapping.select(F.col("entity_id").alias(c), F.col("into").alias(n))
+    ends = merged.join(into("entity_a_id", "__a"), "entity_a_id", "left").join(into("entity_b_id", "__b"), "entity_b_id", "left")
+    target = F.coalesce("__a", "entity_a_id")
+    # The source is the end that went; of two that went to a third both did.
+    gone = F.filter(F.array("entity_a_id", "entity_b_id"), lambda e: e != target)
+    return ends.where(target == F.coalesce("__b", "entity_b_id")).select(F.explode(gone).alias("source_entity_id"), target.alias("target_entity_id"), F.col("reason").alias("merge_type"), F.col("matching_facts").alias("triggering_facts"), F.col("confidence").alias("similarity_score"), F.lit(now).alias("created_at"), F.lit(by).alias("resolved_by"))
+
+
+def merge_history(events: DataFrame, target_entity_id=None) -> DataFrame:
+    """Merges into an entity (or all), newest first."""
+    out = events if target_entity_id is None else events.where(F.col("target_entity_id") == target_entity_id)
+    return out.orderBy(F.desc("created_at"), "source_entity_id")
+
+
 def merge_mapping(merges: DataFrame) -> DataFrame:
     """(entity_id, into): components of the pairs to merge, without the ones that stay."""
     found = components(merges, "entity_a_id", "entity_b_id").where("node != component")

@@ -1,8 +1,7 @@
 """From what models extracted out of episodes to the knowledge graph, for a whole batch at once.
 
-Episodes go through the stages together. Mentions are resolved twice: first by names and vectors
-alone, then with the entities that the episode's other mentions resolved to as context; so the
-result doesn't depend on an order of mentions.
+Episodes go through the stages together. Within an episode mentions are resolved one after another,
+each with the entities that those before it resolved to as context.
 """
 
 from __future__ import annotations
@@ -28,12 +27,8 @@ def process(state: dict[str, DataFrame], episodes: DataFrame, entities: DataFram
     new = graph.unprocessed_episodes(episodes, state["entity_mentions"])
     said = graph.valid_entities(entities.join(new.select("episode_id"), "episode_id", "left_semi")).withColumn("mention_id", F.concat_ws("#", "episode_id", "ref"))
     found = graph.alias_candidates(said, state["aliases"], state["entities"]).withColumn("embedding_score", F.lit(None).cast("double"))
-    first = graph.resolve(said, found.withColumn("context_score", F.lit(0.0))).where("entity_id IS NOT NULL")
-    placed = said.select("mention_id", "episode_id")
-    other = first.join(placed, "mention_id").select("episode_id", F.col("mention_id").alias("other_mention"), F.col("entity_id").alias("other_id"))
-    together = placed.join(other, "episode_id").where("mention_id != other_mention").select("mention_id", "other_id").distinct()
-    lately = placed.join(recent, "episode_id").select("mention_id", "entity_id") if recent is not None else placed.select("mention_id", F.lit(None).cast("string").alias("entity_id")).limit(0)
-    decided = graph.resolve(said, graph.context_scores(found, state["relationships"], together, lately)).join(said, "mention_id")
+    lately = said.select("mention_id", "episode_id").join(recent, "episode_id").select("mention_id", "entity_id") if recent is not None else said.select("mention_id", F.lit(None).cast("string").alias("entity_id")).limit(0)
+    decided = graph.resolve_in_order(said, found, state["relationships"], lately).join(said, "mention_id")
     # A new entity's id follows from its mention, so a batch that runs again makes the same ones.
     decided = written(decided.withColumn("entity_id", F.coalesce("entity_id", F.sha2(F.concat(F.lit("entity|"), "mention_id"), 256))))
 
