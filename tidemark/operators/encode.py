@@ -44,7 +44,7 @@ def membership_line(actor: Column, action: Column, members: Column) -> Column:
     """What a membership event says; null if nothing. `members` is an array of names."""
     actor = F.trim(F.coalesce(actor, F.lit("")))
     actor = F.when(actor == "Unknown", "").otherwise(actor)
-    names = F.array_join(F.filter(F.transform(F.coalesce(members, F.array().cast("array<string>")), F.trim), lambda m: (m != "") & (m != "Unknown")), ", ")
+    names = F.array_join(F.filter(F.transform(F.coalesce(members, F.array().cast("array<string>")), lambda m: F.trim(m)), lambda m: (m != "") & (m != "Unknown")), ", ")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     added = F.when(names == "", "-> member joined").when(actor != "", say("-> ", actor, " added ", names)).otherwise(say("-> ", names, " joined"))
     gone = F.when((names == "") & (actor != ""), say("-> ", actor, " removed a member")).when(names == "", "-> member left").when((actor != "") & (actor != names), say("-> ", actor, " removed ", names)).otherwise(say("-> ", names, " left"))

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -271,8 +270,8 @@ def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships:
     context the entities that those before it resolved to.
 
     mentions (mention_id, episode_id, ref); recent (mention_id, entity_id). Edges between an episode's
-    candidates come together first; the order itself is a loop in Python over one episode's mentions,
-    a group that an episode's own extraction bounds. New entities have no edges, so they are no context.
+    candidates come together first; then a task walks the candidates in order and holds no more than
+    one mention's, and what its episode resolved to. New entities have no edges, so they are no context.
     """
     placed = mentions.select("mention_id", "episode_id", "ref")
     base = F.coalesce("alias_score", F.lit(0.0)) * 0.5 + F.coalesce("embedding_score", F.lit(0.0)) * 0.3
@@ -282,22 +281,45 @@ def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships:
     ends = ends.union(ends.select("other", "entity_id")).distinct()
     present = own.select("episode_id", "entity_id").distinct()
     near = present.join(ends, "entity_id").join(present.withColumnRenamed("entity_id", "other"), ["episode_id", "other"]).groupBy("episode_id", "entity_id").agg(F.collect_set("other").alias("near"))
-    rows = own.join(near, ["episode_id", "entity_id"], "left")
-    kind = candidates.schema["entity_id"].dataType.simpleString()
-    mention = mentions.schema["mention_id"].dataType.simpleString()
-
-    def in_order(pdf):
-        resolved: set = set()
-        out = []
-        for _, one in sorted(pdf.groupby(["ref", "mention_id"]), key=lambda x: x[0]):
-            rows = [(r.entity_id, r.base, r.alias, r.recent, set(r.near) if r.near is not None else set()) for r in one.itertuples()]
-            decision, entity, total, n = _decide(rows, resolved)
-            if decision != "ambiguous":
-                resolved.add(entity)
-            out.append((one.mention_id.iloc[0], decision, entity, total, n))
-        return pd.DataFrame(out, columns=["mention_id", "decision", "top", "confidence", "n"])
-
-    decided = rows.groupBy("episode_id").applyInPandas(in_order, f"mention_id {mention}, decision string, top {kind}, confidence double, n long")
+    # One row a candidate, an episode's together and in order, so a task walks them as they come.
+    rows = own.join(near, ["episode_id", "entity_id"], "left").select("episode_id", "ref", "mention_id", "entity_id", "base", "alias", "recent", "near")
+    rows = rows.repartition("episode_id").sortWithinPartitions("episode_id", "ref", "mention_id")
+    mention, kind = mentions.schema["mention_id"].dataType.simpleString(), candidates.schema["entity_id"].dataType.simpleString()
+
+    def in_order(batches):
+        episode, resolved, at, held, out = None, set(), None, [], []
+        types = None
+
+        def close():
+            if held:
+                decision, entity, total, n = _decide(held, resolved)
+                if decision != "ambiguous":
+                    resolved.add(entity)
+                out.append((at[2], decision, entity, total, n))
+
+        def flushed():
+            cols = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["mention_id", "decision", "top", "confidence", "n"])
+
+        for batch in batches:
+            types = [batch.schema.field("mention_id").type, pa.string(), batch.schema.field("entity_id").type, pa.float64(), pa.int64()]
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != at:
+                    close()
+                    held = []
+                    if at is None or row[0] != episode:
+                        episode, resolved = row[0], set()
+                    at = row[:3]
+                entity, base, alias, recent, neighbours = row[3:]
+                held.append((entity, base, alias, recent, set(neighbours or ())))
+            if out:
+                yield flushed()
+                out = []
+        close()
+        if out:
+            yield flushed()
+
+    decided = rows.mapInArrow(in_order, f"mention_id {mention}, decision string, top {kind}, confidence double, n long")
     found = placed.select("mention_id").join(decided, "mention_id", "left").withColumn("decision", F.coalesce("decision", F.lit("created_new")))
     new = F.col("decision").isin("created_new", "ambiguous")
     return found.select("mention_id", "decision", F.when(~new, F.col("top")).alias("entity_id"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("n", F.lit(0)).alias("candidates_count"), new.alias("is_new"), F.when(F.col("decision") == "ambiguous", F.col("top")).alias("top_entity_id"))
@@ -528,7 +550,8 @@ def merge_entities(entities: DataFrame, aliases: DataFrame, relationships: DataF
     best = names.groupBy("into").agg(F.max_by("__source", F.struct(F.when(F.col("__source") == F.upper("__source"), 0).otherwise(1), F.length("__source"), "__source")).alias("__source"))
     out = entities.join(mapping, "entity_id", "left").join(best.withColumnRenamed("into", "__id"), F.col("entity_id") == F.col("__id"), "left")
     gain = F.col("__id").isNotNull() & fid.better_name(F.col("__source"), F.col("canonical_name"))
-    out = out.withColumn("canonical_name", F.when(gain, F.col("__source")).otherwise(F.col("canonical_name"))).withColumn("updated_at", F.when(gain | F.col("into").isNotNull(), F.lit(now)).otherwise(F.col("updated_at"))).withColumn("merged_into", F.coalesce("into", "merged_into")).select(*entities.columns)
+    # All at once: the better name is judged by the name as it was.
+    out = out.withColumns({"canonical_name": F.when(gain, F.col("__source")).otherwise(F.col("canonical_name")), "updated_at": F.when(gain | F.col("into").isNotNull(), F.lit(now)).otherwise(F.col("updated_at")), "merged_into": F.coalesce("into", "merged_into")}).select(*entities.columns)
 
     def remap(df, column):
         m = mapping.select(F.col("entity_id").alias("__m"), F.col("into").alias("__into"))
