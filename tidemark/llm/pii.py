@@ -217,7 +217,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     columns = docs.columns
     found = find(put_aside(docs, text), text)
-    docs = restored(found.withColumn(text, F.when(F.col(text).isNotNull(), _masked(F.col(text), F.col("pii")))), columns, (text,))
+    found = found.withColumns({text: F.when(F.col(text).isNotNull(), _masked(F.col(text), F.col("pii"))), "__masked": F.size("pii") > 0})
+    docs = found.select("__row", text, "__masked")
     for kind in WIDEST:
         body = F.col(text)
         matches = F.regexp_extract_all(body, F.lit(f"({PATTERN[kind]})"), F.lit(1))
@@ -227,5 +228,6 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             joined = F.zip_with(F.split(body, PATTERN[kind], -1), matches, lambda gap, m: F.concat(gap, F.when(_near(kind, F.right(gap, F.lit(NEAR))), mask(m)).otherwise(F.coalesce(m, F.lit("")))))
         else:
             joined = F.zip_with(F.split(body, PATTERN[kind], -1), matches, lambda gap, m: F.concat(gap, mask(m)))
-        docs = docs.withColumn(text, F.when(_may(kind, body), F.array_join(joined, "")).otherwise(body))
-    return docs.select(*columns)
+        # A text without a mask has no more matches than before, which were none.
+        docs = docs.withColumn(text, F.when(F.col("__masked") & _may(kind, body), F.array_join(joined, "")).otherwise(body))
+    return restored(docs, columns, (text,))

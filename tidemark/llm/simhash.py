@@ -289,8 +289,8 @@ def components(links: DataFrame, label: DataFrame) -> DataFrame:
     node = staged(node, "nodes")
     while True:
         near = both.join(node.withColumnRenamed("fp", "b").withColumnRenamed("best", "theirs"), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
+        # Read twice below; Spark runs its exchanges once.
         step = node.join(near, node.fp == near.a, "left").select("fp", F.least("best", F.coalesce("theirs", "best")).alias("new"), F.col("best").alias("old"))
-        step = staged(step, "step")
         jump = step.select(F.col("fp").alias("root"), F.col("new").alias("further"))
         after = step.join(jump, F.col("new.fp") == F.col("root"), "left").select("fp", F.least("new", F.coalesce("further", "new")).alias("best"), "old")
         after = staged(after, "nodes")
