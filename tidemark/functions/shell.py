@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -97,10 +98,19 @@ def parse(words: list[str], cargo_binaries: dict[str, str]) -> tuple[str, list[s
     return (first, words[1:], "direct") if first else None
 
 
+@lru_cache(1 << 16)
+def _parsed(segment: str) -> tuple[str, list[str], str] | None:
+    words = unwrapped(tokens(segment))
+    return parse(words, {}) if words else None
+
+
 def invocations(command: str, cargo_binaries: dict[str, str] | None = None) -> Iterator[Invocation]:
     for i, segment in enumerate(segments(command)):
-        words = unwrapped(tokens(segment))
-        found = parse(words, cargo_binaries or {}) if words else None
+        if cargo_binaries:
+            words = unwrapped(tokens(segment))
+            found = parse(words, cargo_binaries) if words else None
+        else:
+            found = _parsed(segment)  # the same few commands come again and again
         if found:
             name, rest, kind = found
             yield Invocation(name, rest[0] if rest else None, " ".join(rest[1:]) or None, kind, segment, i)

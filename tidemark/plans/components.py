@@ -35,7 +35,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     node = both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node"))
     while True:
         near = both.join(node.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("component").alias("low"))
-        step = written(node.join(near, node.node == near.u, "left").select("node", F.least("component", F.coalesce("low", "component")).alias("now"), F.col("component").alias("was")))
+        # Read twice below; Spark runs its exchanges once.
+        step = node.join(near, node.node == near.u, "left").select("node", F.least("component", F.coalesce("low", "component")).alias("now"), F.col("component").alias("was"))
         root = step.select(F.col("node").alias("root"), F.col("now").alias("further"))
         after = written(step.join(root, F.col("now") == F.col("root"), "left").select("node", F.least("now", F.coalesce("further", "now")).alias("component"), "was"))
         if after.where("component != was").isEmpty():
