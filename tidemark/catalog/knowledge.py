@@ -30,9 +30,8 @@ def _episode_vectors(spark, sf_dir):
 @query(f"WITH {_VECTORS} SELECT episode_id, CASE vec_id % 3 WHEN 0 THEN 'imessage' ELSE 'gmail' END AS channel, round(score, 6) AS score FROM sc WHERE vec_id % 7 > 0 AND vec_id % 3 < 2 AND score >= 0.4 ORDER BY sc.score DESC, episode_id LIMIT 25")
 def episode_search(spark, sf_dir):
     near, rows, vector = _episode_vectors(spark, sf_dir)
-    found = s.search_episodes(near.where("model = 'm'"), rows, vector, model="m", channels=["imessage", "gmail"], limit=10**9, min_score=0.4)
-    # Scores are rounded before they are ordered, as two engines add in another order.
-    return s.top(found.withColumn("score", F.round("score", 9)), "score", "episode_id", 25).select("episode_id", "channel", F.round("score", 6).alias("score"))
+    found = s.search_episodes(near.where("model = 'm'"), rows, vector, model="m", channels=["imessage", "gmail"], limit=25, min_score=0.4)
+    return found.select("episode_id", "channel", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_VECTORS} SELECT episode_id, round(score, 6) AS score FROM sc WHERE vec_id % 4 = 0 ORDER BY sc.score DESC, episode_id LIMIT 5")
