@@ -31,7 +31,9 @@ def written(df: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node that links reach; nodes without links are absent."""
     one = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    both = written(one.union(one.select("v", "u")).distinct())
+    # Written before it is turned round, so that both directions are of the same links.
+    once = written(one.distinct())
+    both = once.union(once.select("v", "u"))
     node = both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node"))
     while True:
         near = both.join(node.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("component").alias("low"))
