@@ -1,11 +1,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
 from tidemark.llm.queries import op8_simhash
+from tidemark.plans.components import components
 from tests.llm.fixtures import empty, messy
 
 
@@ -131,3 +134,36 @@ def test_a_row_that_shares_its_id_with_a_copy_stays(spark):
     rows = [(1, a), (5, a), (5, b)]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
     assert sorted(map(tuple, kept)) == [(1, a), (5, b)]
+
+
+def test_links_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(12)
+    fps = {0}
+    for _ in range(8):
+        c = rng.getrandbits(64)
+        for _ in range(40):
+            c ^= 1 << rng.randrange(64)
+            fps.add(c)
+    fps = [(int(np.uint64(f).astype(np.int64)),) for f in sorted(fps)]
+    found = []
+    for seed in range(3):
+        rng.shuffle(fps)
+        unique = spark.createDataFrame(fps, "fp long").repartition(seed + 1)
+        found.append({tuple(r) for r in simhash.near_links(unique).collect()})
+    assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_links_that_change_when_made_again_still_join(spark):
+    """Each time they are made the links are turned round at random, as if a task had run again."""
+    def turn(batches):
+        for batch in batches:
+            rows = batch.to_pandas()
+            swap = np.random.default_rng().random(len(rows)) < 0.5
+            rows.loc[swap, ["a", "b"]] = rows.loc[swap, ["b", "a"]].to_numpy()
+            yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
+
+    turned = spark.range(0, 40).selectExpr("id AS a", "id + 1 AS b").mapInArrow(turn, "a long, b long")
+    label = spark.range(0, 41).selectExpr("id AS fp", "id + 100 AS low")
+    for _ in range(3):
+        assert {r.low for r in simhash.components(turned, label).collect()} == {100}
+        assert {r.component for r in components(turned, "a", "b").collect()} == {0}

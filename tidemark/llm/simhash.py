@@ -244,7 +244,8 @@ def balls(unique: DataFrame, radius: int = RADIUS, most_in_ball: int = MOST_IN_B
 def near_links(unique: DataFrame, radius: int = RADIUS, most_in_ball: int = MOST_IN_BALL) -> DataFrame:
     """Links (a, b) between distinct fingerprints that keep the components of `radius`."""
     names = ["mask", "value"]
-    dealt = balls(unique, radius, most_in_ball).repartition(*names).sortWithinPartitions(*names)
+    # In order within a ball too, so that a task that runs again makes the same links.
+    dealt = balls(unique, radius, most_in_ball).repartition(*names).sortWithinPartitions(*names, "fp")
 
     def run(batches):
         held: list[pa.RecordBatch] = []  # rows of the ball that is still open, and of the last batch
@@ -281,8 +282,10 @@ def components(links: DataFrame, label: DataFrame) -> DataFrame:
     neighbours, then that of the node which bears its label: components of any shape shrink by
     a factor in each round. Nothing but one count a round comes to the driver.
     """
-    both = staged(links.union(links.select("b", "a")).where("a != b").distinct(), "links")
-    if both.isEmpty():
+    # Staged before it is turned round: links made twice may be other links that span the same components.
+    once = staged(links.where("a != b").distinct(), "links")
+    both = once.union(once.select("b", "a"))
+    if once.isEmpty():
         return label.withColumn("root", F.col("fp")).limit(0)
     # Labels are fingerprints while rounds run, ordered by (least id, fingerprint).
     node = both.select(F.col("a").alias("fp")).distinct().join(label, "fp").select("fp", F.struct(F.col("low").isNull().alias("none"), "low", "fp").alias("best"))
