@@ -7,7 +7,10 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as dataset
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +94,44 @@ def placed(df: DataFrame) -> DataFrame:
     return df.select("*", F.xxhash64("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
 
 
+#: Folders over which the places of dropped rows are spread, by file.
+DROP_FOLDERS = 256
+
+
+def without(keyed: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` of the rows of `keyed` (see `placed`) whose places aren't in `gone`.
+
+    The rows themselves, with their texts, don't move: places are written to the shared folder,
+    ordered by file, and the task that reads a file looks up those of that file alone.
+    """
+    bound_batches(keyed.sparkSession)
+    file, row = PLACE
+    folder = staging_path(keyed.sparkSession, "gone")
+    dealt = gone.select(*PLACE).withColumn("folder", F.pmod(F.col(file), F.lit(DROP_FOLDERS)))
+    dealt.repartition("folder").sortWithinPartitions("folder", *PLACE).write.partitionBy("folder").parquet(folder)
+
+    def rows_of(number: int) -> np.ndarray:
+        store, path = pafs.FileSystem.from_uri(f"{folder}/folder={number % DROP_FOLDERS}")
+        if store.get_file_info(path).type == pafs.FileType.NotFound:
+            return np.empty(0, np.int64)
+        found = dataset.dataset(path, filesystem=store, format="parquet")
+        return found.to_table([row], filter=dataset.field(file) == number)[row].to_numpy()
+
+    def run(batches):
+        at, dropped = None, None
+        for batch in batches:
+            files, rows = batch[file].to_numpy(), batch[row].to_numpy()
+            keep = np.ones(len(files), bool)
+            for number in np.unique(files).tolist():
+                if number != at:
+                    at, dropped = number, rows_of(number)
+                own = files == number
+                keep[own] = ~np.isin(rows[own], dropped)
+            yield batch.filter(pa.array(keep)).select(columns)
+
+    return keyed.select(*columns, *PLACE).mapInArrow(run, T.StructType([keyed.schema[c] for c in columns]))
+
+
 def map_arrow(df: DataFrame, make, added: list[tuple[str, T.DataType]], keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of `df` (all, without those that `added` replaces) and computed ones.
 

@@ -23,14 +23,16 @@ A null id never becomes a component's id unless all of its ids are null.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._shared import PLACE, map_arrow, placed, staged, strings
+from tidemark.llm._shared import PLACE, map_arrow, placed, staged, strings, without
 
 SHINGLE = 3
 RADIUS = 3
@@ -323,10 +325,13 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
 
     Rows are told apart by their places, so rows that share an id, or have none, and belong to
     different components all stay. Of several rows of the smallest id that with the least hash
-    of its text stays. Texts move once, to meet the places of the rows that stay.
+    of its text stays. Texts don't move: the places of the rows that go meet them where they are read.
     """
     columns = docs.columns
     keyed = placed(docs)
     found = _grouped(keyed.select(*PLACE, F.col(id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("copy")), shingle, radius)
-    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy", *PLACE)).alias("m"))
-    return keyed.join(least.select(*[F.col("m")[c].alias(c) for c in PLACE]), list(PLACE), "left_semi").select(*columns)
+    found = staged(found.select(*PLACE, "doc_id", "copy", "root"), "found")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy", *PLACE)
+    least = found.groupBy("root").agg(F.min(order).alias("m"), F.count("*").alias("n")).where("n > 1").select("root", *[F.col("m")[c].alias(f"m{c}") for c in PLACE])
+    same = reduce(Column.__and__, [F.col(c) == F.col(f"m{c}") for c in PLACE])
+    return without(keyed, found.join(staged(least, "least"), "root").where(~same), columns)
