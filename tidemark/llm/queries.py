@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html_extract, langid, packing, pii, quality, sharding, simhash, substring, warc
+from tidemark.llm import decontam, html_extract, langid, merkle, packing, pii, quality, sharding, simhash, substring, warc
 from tidemark.llm._shared import table
 
 
@@ -61,4 +61,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_html_extraction, op4_pii, op5_sharding, op6_packing, op7_language_id, op8_simhash, op9_substring_dedup, op10_quality_rules)}
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*LEAF)
+    # What the tampered rows would have for a leaf; null where a row is left as it is.
+    other = F.when(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 7 == 0, merkle.leaf("doc_id", "source", "lang", F.try_add("n_chars", F.lit(1)), "text"))
+    found = merkle.manifest(docs, list(LEAF), "lang", "doc_id", {"tampered": other})
+    proven = merkle.proven(found.withColumn("now", F.coalesce("tampered", "leaf")), "now")
+    return proven.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_html_extraction, op4_pii, op5_sharding, op6_packing, op7_language_id, op8_simhash, op9_substring_dedup, op10_quality_rules, op12_merkle_manifest)}

@@ -43,4 +43,25 @@ good AS (SELECT r, rank, kind, e - length(m) AS s, e FROM spans WHERE CASE kind
 summed AS (SELECT r, COUNT(*) FILTER (WHERE kind = 'email') AS n_email, COUNT(*) FILTER (WHERE kind = 'ip') AS n_ip, COUNT(*) FILTER (WHERE kind = 'card') AS n_card, COUNT(*) FILTER (WHERE kind = 'phone') AS n_phone, string_agg(kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(e AS VARCHAR), ',' ORDER BY s, rank) AS spans FROM good GROUP BY r)
 SELECT d.doc_id, CAST(COALESCE(n_email, 0) AS BIGINT) AS n_email, CAST(COALESCE(n_ip, 0) AS BIGINT) AS n_ip, CAST(COALESCE(n_card, 0) AS BIGINT) AS n_card, CAST(COALESCE(n_phone, 0) AS BIGINT) AS n_phone, sha256(COALESCE(s.spans, '')) AS base_sha256, COALESCE(s.spans, '') AS spans FROM docs d LEFT JOIN summed s ON s.r = d.r"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1, "op2_warc": OP2, "op4_pii": OP4}
+_FIELD = "COALESCE(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_BIT = "CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda crc, x: list_reduce(list_prepend(xor(crc, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda b, i: {_BIT})), 4294967295)"
+
+# Levels of all trees, each with the number of its nodes; the proof's steps are the neighbours at each level.
+OP12 = f"""WITH RECURSIVE leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, COUNT(*) OVER (PARTITION BY lang) AS n FROM (SELECT doc_id, COALESCE('v' || lang, '') AS lang, {_leaf('n_chars')} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf('n_chars + 1')} END AS tampered FROM documents)),
+nodes AS (SELECT lang, 0 AS level, i, n, leaf AS h FROM leaves UNION ALL SELECT lang, MIN(level) + 1, i // 2, MIN((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lang, i // 2),
+subroots AS MATERIALIZED (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang) - 1 AS i, COUNT(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (SELECT 0 AS level, i, n, subroot AS h FROM subroots UNION ALL SELECT MIN(level) + 1, i // 2, MIN((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY i // 2),
+walk AS (SELECT l.lang, l.i AS leaf_at, s.i AS group_at, l.i, l.n, 0 AS level, FALSE AS above, '' AS proof, COALESCE(tampered, leaf) AS h FROM leaves l JOIN subroots s ON s.lang = l.lang
+  UNION ALL SELECT w.lang, leaf_at, group_at, CASE WHEN w.n > 1 THEN w.i // 2 ELSE group_at END, CASE WHEN w.n > 1 THEN (w.n + 1) // 2 ELSE (SELECT COUNT(*) FROM subroots) END, CASE WHEN w.n > 1 THEN w.level + 1 ELSE 0 END, above OR w.n = 1,
+    proof || CASE WHEN w.n = 1 THEN '' ELSE COALESCE(o.h, u.h, '') END, CASE WHEN w.n = 1 THEN w.h WHEN w.i % 2 = 0 THEN sha256(w.h || COALESCE(o.h, u.h, '')) ELSE sha256(COALESCE(o.h, u.h, '') || w.h) END
+  FROM walk w LEFT JOIN nodes o ON NOT w.above AND w.n > 1 AND o.lang = w.lang AND o.level = w.level AND o.i = xor(w.i, 1) LEFT JOIN upper u ON w.above AND w.n > 1 AND u.level = w.level AND u.i = xor(w.i, 1) WHERE w.n > 1 OR NOT w.above)
+SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = r.h AS verified FROM walk w JOIN leaves l ON l.lang = w.lang AND l.i = w.leaf_at JOIN subroots s ON s.lang = w.lang CROSS JOIN (SELECT h FROM upper WHERE n = 1) r WHERE w.above AND w.n = 1"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1, "op2_warc": OP2, "op4_pii": OP4, "op12_merkle_manifest": OP12}
