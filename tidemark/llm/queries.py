@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html_extract, langid, merkle, packing, pii, quality, sharding, simhash, substring, warc
+from tidemark.llm import decontam, html_extract, langid, merkle, packing, pii, quality, sharding, simhash, substring, warc, wavelet
 from tidemark.llm._shared import table
 
 
@@ -73,4 +73,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proven.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_html_extraction, op4_pii, op5_sharding, op6_packing, op7_language_id, op8_simhash, op9_substring_dedup, op10_quality_rules, op12_merkle_manifest)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wavelet.search(wavelet.index(docs), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_html_extraction, op4_pii, op5_sharding, op6_packing, op7_language_id, op8_simhash, op9_substring_dedup, op10_quality_rules, op12_merkle_manifest, op13_ranked_search)}

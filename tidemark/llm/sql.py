@@ -64,4 +64,15 @@ walk AS (SELECT l.lang, l.i AS leaf_at, s.i AS group_at, l.i, l.n, 0 AS level, F
   FROM walk w LEFT JOIN nodes o ON NOT w.above AND w.n > 1 AND o.lang = w.lang AND o.level = w.level AND o.i = xor(w.i, 1) LEFT JOIN upper u ON w.above AND w.n > 1 AND u.level = w.level AND u.i = xor(w.i, 1) WHERE w.n > 1 OR NOT w.above)
 SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = r.h AS verified FROM walk w JOIN leaves l ON l.lang = w.lang AND l.i = w.leaf_at JOIN subroots s ON s.lang = w.lang CROSS JOIN (SELECT h FROM upper WHERE n = 1) r WHERE w.above AND w.n = 1"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1, "op2_warc": OP2, "op4_pii": OP4, "op12_merkle_manifest": OP12}
+_TERMS = f"unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+
+OP13 = f"""WITH found AS (SELECT r, doc_id, t, COUNT(*) AS tf FROM (SELECT r, doc_id, {_TERMS} AS t FROM (SELECT row_number() OVER () AS r, * FROM documents)) GROUP BY r, doc_id, t),
+lengths AS (SELECT r, CAST(SUM(tf) AS BIGINT) AS n FROM found GROUP BY r),
+corpus AS (SELECT COUNT(*) AS docs, CAST(SUM(n) AS BIGINT) AS total FROM lengths),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT t, COUNT(*) AS df FROM found GROUP BY t) CROSS JOIN corpus),
+asked AS (SELECT q, item_id, t, COUNT(*) AS times FROM (SELECT q, item_id, {_TERMS} AS t FROM (SELECT row_number() OVER () AS q, * FROM benchmark)) GROUP BY q, item_id, t),
+scored AS (SELECT q, item_id, f.r, f.doc_id, CAST(SUM(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score FROM asked JOIN weights USING (t) JOIN found f USING (t) JOIN lengths USING (r) CROSS JOIN corpus GROUP BY q, item_id, f.r, f.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1, "op2_warc": OP2, "op4_pii": OP4, "op12_merkle_manifest": OP12, "op13_ranked_search": OP13}
