@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html_extract, langid, merkle, packing, pii, quality, sharding, simhash, substring, warc, wavelet
+from tidemark.llm import decontam, factorisation, html_extract, langid, merkle, packing, pii, quality, sharding, simhash, substring, warc, wavelet
 from tidemark.llm._shared import table
 
 
@@ -61,6 +61,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    held = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3 == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held)
+    machine = factorisation.train(docs, labels, metadata=("n_chars",))
+    return factorisation.score(docs.withColumn("held_out", held), machine, metadata=("n_chars",)).select("doc_id", "held_out", "score", "predicted")
+
+
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -78,4 +86,4 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.search(wavelet.index(docs), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_html_extraction, op4_pii, op5_sharding, op6_packing, op7_language_id, op8_simhash, op9_substring_dedup, op10_quality_rules, op12_merkle_manifest, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_html_extraction, op4_pii, op5_sharding, op6_packing, op7_language_id, op8_simhash, op9_substring_dedup, op10_quality_rules, op11_quality_classifier, op12_merkle_manifest, op13_ranked_search)}
