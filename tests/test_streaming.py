@@ -18,7 +18,7 @@ def event(i, ts, thread="t"):
 
 def test_upserts_of_files_are_idempotent(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    table = VersionedTable(spark, f"file://{tmp_path}/table", schemas.EVENTS)
+    table = VersionedTable(spark, f"file://{tmp_path}/table", schemas.EVENTS, schemas.KEYS["events"], buckets=4)
     drop(tmp_path / "in", "1.json", event(1, 10), event(1, 10), event(2, 20))
     for n in (2, 3):
         stream = live.file_stream(spark, str(tmp_path / "in"))

@@ -28,7 +28,7 @@ def _arrived(spark, sf_dir, twice: str):
 @query(f"SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS ts, event_type AS channel, {DIRECTION} AS direction, CAST(user_id AS VARCHAR) AS thread_id FROM events")
 def streamed_ledger(spark, sf_dir):
     folder, stream = _arrived(spark, sf_dir, "ts % 3 = 0")
-    kept = VersionedTable(spark, f"{folder}/ledger", schemas.EVENTS)
+    kept = VersionedTable(spark, f"{folder}/ledger", schemas.EVENTS, schemas.KEYS["events"])
     stream.writeStream.foreachBatch(live.upsert_sink(kept)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return kept.read().select("event_id", "ts", "channel", "direction", "thread_id")
 

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.plans.state import VersionedTable, insert_new, latest, merge_df
-from tidemark.schemas import EVENTS, KEYS
+from tidemark.plans.state import VersionedTable, latest
+from tidemark.schemas import EVENTS
 
 
 def file_stream(spark: SparkSession, path: str, schema=EVENTS, format: str = "json", most_files: int | None = None) -> DataFrame:
@@ -31,24 +31,24 @@ def deduplicated(stream: DataFrame, time_column: str = "event_time", delay: str
     return stream.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(list(key))
 
 
-def upsert_sink(table: VersionedTable, name: str = "events", rules: dict[str, str] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each batch into a versioned table."""
+def upsert_sink(table: VersionedTable, rules: dict[str, str] | None = None, stream: str = "stream") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges each batch into a versioned table, by the table's key.
+
+    The table knows the last batch of each `stream` that it holds, so one that runs again after a
+    crash changes nothing, whatever the rules are."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        if not batch.isEmpty():
-            key = KEYS[name]
-            fresh = latest(batch, key, [F.col(c).asc_nulls_last() for c in sorted(batch.columns) if c not in key])
-            table.write(merge_df(table.read(), fresh, key, rules, default="new_or_old"))
+        fresh = latest(batch, table.key, [F.col(c).asc_nulls_last() for c in sorted(batch.columns) if c not in table.key])
+        table.upsert(fresh, rules, "new_or_old", batch=(stream, epoch))
 
     return write
 
 
-def append_sink(table: VersionedTable, key: list[str]) -> Callable[[DataFrame, int], None]:
+def append_sink(table: VersionedTable, stream: str = "stream") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that adds rows with new keys."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        if not batch.isEmpty():
-            table.write(insert_new(table.read(), batch.dropDuplicates(key), key))
+        table.insert(batch.dropDuplicates(table.key), batch=(stream, epoch))
 
     return write
 
