@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import ledger, query, seconds, table
@@ -107,8 +109,6 @@ def mail_tags(spark, sf_dir):
 
 def _written(df, name: str, spark) -> str:
     """Lines as files of the shared folder."""
-    import uuid
-
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.text(path)
     return path
@@ -123,6 +123,31 @@ def mbox_events(spark, sf_dir):
     return mail.mbox_events(read, "me@x.example").select("event_id", "ts", "content", "direction", "thread_id", F.array_join("labels", ",").alias("labels"))
 
 
+_KIND = "CASE WHEN event_type = 'signup' THEN 'messagesAdded' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'messagesDeleted' WHEN event_type IN ('click', 'error') THEN 'labelsAdded' ELSE 'labelsRemoved' END"
+_CHANGE = f"'m' || CAST(user_id % 50 AS {{s}}) || '.' || CAST(event_id % 20 AS {{s}}) AS message_id, 1 + event_id * 7919 % 40009 AS history_id, {_KIND} AS kind, 'L' || CAST(event_id % 7 AS {{s}}) AS one, 'L' || CAST(event_id % 3 AS {{s}}) AS two"
+
+
+@query(f"""WITH c AS (SELECT {_CHANGE.format(s="VARCHAR")} FROM events),
+each AS (SELECT message_id, history_id, NULL AS label, kind = 'messagesAdded' AS present FROM c WHERE kind IN ('messagesAdded', 'messagesDeleted') UNION ALL SELECT message_id, history_id, unnest([one, two]), kind != 'labelsRemoved' FROM c WHERE kind != 'messagesDeleted'),
+last AS (SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY message_id, label ORDER BY history_id DESC, present) = 1),
+own AS (SELECT *, MAX(CASE WHEN label IS NULL THEN history_id END) OVER (PARTITION BY message_id) AS came, COALESCE(MAX(CASE WHEN label IS NULL THEN CAST(present AS INTEGER) END) OVER (PARTITION BY message_id), 1) AS here FROM last)
+SELECT message_id, here = 0 AS deleted, COALESCE(string_agg(label, ',' ORDER BY label) FILTER (WHERE here = 1 AND label IS NOT NULL AND present AND history_id >= COALESCE(came, 0)), '') AS labels, MAX(history_id) AS history_id FROM own GROUP BY message_id, here""")
+def mail_history(spark, sf_dir):
+    """A change log read from files in two batches, the later changes first, a third of them twice."""
+    c = table(spark, sf_dir, "events").selectExpr(*_split(_CHANGE.format(s="STRING")))
+    change = "array(named_struct('message', named_struct('id', message_id, 'threadId', message_id, 'labelIds', array(one, two)), 'labelIds', array(one, two)))"
+    kinds = ("messagesAdded", "messagesDeleted", "labelsAdded", "labelsRemoved")
+    rows = c.selectExpr("cast(history_id as string) AS id", *[f"CASE WHEN kind = '{k}' THEN {change} END AS {k}" for k in kinds], "history_id")
+    folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    late = F.col("history_id") > 20000
+    rows.union(rows.where("history_id % 3 = 0")).where(late).drop("history_id").write.json(f"{folder}/1")
+    rows.union(rows.where("history_id % 3 = 0")).where(~late).drop("history_id").write.json(f"{folder}/2")
+    state = spark.createDataFrame([], mail.HISTORY_STATE)
+    for batch in (1, 2, 1):
+        state = mail.fold_history(state, mail.history_changes(mail.read_history(spark, f"{folder}/{batch}")))
+    return mail.history_labels(state).select("message_id", "deleted", F.array_join("labels", ",").alias("labels"), "history_id")
+
+
 # --- calendars, address books, posts, logs ---
 
 

@@ -53,16 +53,32 @@ def read_config(text: str) -> dict:
 _READS = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Limit", "Distinct", "Join", "Union", "UnresolvedWith", "WithWindowDefinition", "UnresolvedInlineTable", "OneRowRelation", "UnresolvedRelation", "SubqueryAlias", "Intersect", "Except", "UnresolvedHaving", "Pivot", "UnresolvedSubqueryColumnAliases", "LateralJoin", "Generate", "Window", "Offset", "LocalRelation", "Tail", "Sample"}
 
 
+def _writes(spark: SparkSession, plan) -> list[str]:
+    """The commands and other statements in a parsed plan, at any depth."""
+    logical = "org.apache.spark.sql.catalyst.plans.logical"
+    kinds = [spark._jvm.org.apache.spark.util.Utils.classForName(f"{logical}.{k}", False, False) for k in ("Command", "ParsedStatement")]
+    found, work = [], [plan]
+    while work:
+        node = work.pop()
+        if any(k.isInstance(node) for k in kinds):
+            found.append(node.getClass().getSimpleName())
+        for part in (node.children(), node.innerChildren(), node.subqueries()):
+            work += [part.apply(i) for i in range(part.size())]
+    return found
+
+
 def raw_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None, write: bool = False) -> DataFrame:
     """Any SQL over the tables as views; without `write`, only statements that read.
 
-    The parsed statement is looked at, so nothing that hides behind WITH or a comment passes.
+    Every node of the parsed statement is looked at, so no write passes that hides behind WITH,
+    FROM or a comment, or stands in a part of the statement.
     """
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
     if not write:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
         kind = plan.getClass().getSimpleName()
-        if kind not in _READS:
-            raise PermissionError(f"only queries may run here, not {kind}")
+        refused = [kind] if kind not in _READS else _writes(spark, plan)
+        if refused:
+            raise PermissionError(f"only queries may run here, not {refused[0]}")
     return spark.sql(sql)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.runs import set_values
 from tidemark.sources.base import contact_id, ledger_id
 
 CHANNEL = "gmail"
@@ -98,6 +99,80 @@ def tags(events: DataFrame, created_at: int) -> DataFrame:
     return own.select("event_id", F.lit("label").alias("tag_type"), F.concat(F.lit("gmail_label:"), F.trim("label")).alias("value"), F.lit(CHANNEL).alias("source"), F.lit(created_at).cast("long").alias("created_at")).distinct()
 
 
+# --- change logs ---
+
+_CHANGED = "array<struct<message:struct<id:string,threadId:string,labelIds:array<string>>,labelIds:array<string>>>"
+HISTORY = f"id string, messagesAdded {_CHANGED}, messagesDeleted {_CHANGED}, labelsAdded {_CHANGED}, labelsRemoved {_CHANGED}"
+HISTORY_STATE = "message_id string, label string, present boolean, history_id long"
+HISTORY_KEY = "gmail_history_id"
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """Change records (see HISTORY) of JSON files, one a line."""
+    return spark.read.schema(HISTORY).json(path)
+
+
+def history_changes(raw: DataFrame) -> DataFrame:
+    """Changes (see HISTORY_STATE) of records: a null label is the message itself, come or gone.
+
+    A message that comes brings its labels. Records without id, and changes without message, are left out.
+    """
+    none = F.array().cast("array<string>")
+
+    def changes(records: str, present: bool, labels) -> Column:
+        each = F.coalesce(records, F.array().cast(_CHANGED))
+        return F.flatten(F.transform(each, lambda c: F.transform(labels(c), lambda x: F.struct(c["message"]["id"].alias("message_id"), x.alias("label"), F.lit(present).alias("present")))))
+
+    whole = F.array(F.lit(None).cast("string"))
+    parts = [
+        changes("messagesAdded", True, lambda c: F.concat(whole, F.coalesce(c["message"]["labelIds"], none))),
+        changes("messagesDeleted", False, lambda c: whole),
+        changes("labelsAdded", True, lambda c: F.coalesce(c["labelIds"], none)),
+        changes("labelsRemoved", False, lambda c: F.coalesce(c["labelIds"], none)),
+    ]
+    out = raw.select(F.try_to_number("id", F.lit("9" * 19)).cast("long").alias("history_id"), F.explode(F.concat(*parts)).alias("c"))
+    return out.select("c.message_id", "c.label", "c.present", "history_id").where("message_id IS NOT NULL AND history_id IS NOT NULL")
+
+
+def fold_history(state_: DataFrame, changes: DataFrame) -> DataFrame:
+    """The state after changes, in whatever order and however often they come.
+
+    One row a message and label: its change of the greatest history id; within one record a removal
+    comes after an addition. So batches of changes may be folded in any order, and again.
+    """
+    names = ["message_id", "label", "present", "history_id"]
+    last = F.max(F.struct("history_id", (~F.col("present")).alias("gone")))
+    out = state_.select(*names).union(changes.select(*names)).groupBy("message_id", "label").agg(last.alias("last"))
+    return out.select("message_id", "label", (~F.col("last.gone")).alias("present"), "last.history_id")
+
+
+def history_labels(state_: DataFrame) -> DataFrame:
+    """(message_id, deleted, labels, history_id) of a folded state.
+
+    A message that has come (again) has no labels from before; one that is gone has none.
+    """
+    of_message = F.col("label").isNull()
+    came = F.max(F.when(of_message & F.col("present"), F.col("history_id")))
+    labels = F.collect_list(F.when(~of_message & F.col("present"), F.struct("label", "history_id")))
+    out = state_.groupBy("message_id").agg(came.alias("came"), F.coalesce(F.max(of_message & ~F.col("present")), F.lit(False)).alias("deleted"), labels.alias("own"), F.max("history_id").alias("history_id"))
+    kept = F.filter("own", lambda x: ~F.col("deleted") & (x["history_id"] >= F.coalesce("came", x["history_id"])))
+    return out.select("message_id", "deleted", F.array_sort(F.transform(kept, lambda x: x["label"])).alias("labels"), "history_id")
+
+
+def relabelled(events: DataFrame, folded: DataFrame, adapter: str = CHANNEL) -> DataFrame:
+    """Events (with labels) after a change log: messages that are gone go, labels that it knows replace the old ones."""
+    own = folded.select(ledger_id(adapter, F.col("message_id")).alias("event_id"), F.col("deleted").alias("__gone"), F.col("labels").alias("__labels"))
+    out = events.join(own, "event_id", "left").where("NOT coalesce(__gone, false)")
+    return out.withColumn("labels", F.coalesce("__labels", "labels")).select(*events.columns)
+
+
+def history_watermark(values: DataFrame, changes: DataFrame, adapter: str, now: int) -> DataFrame:
+    """Small state (adapter, key, value, updated_at) with the greatest history id; it never falls."""
+    old = values.where((F.col("adapter") == adapter) & (F.col("key") == HISTORY_KEY)).select(F.col("value").cast("long").alias("history_id"))
+    top = old.union(changes.select("history_id")).agg(F.max("history_id").alias("top")).where("top > 0")
+    return set_values(values, top.select(F.lit(adapter).alias("adapter"), F.lit(HISTORY_KEY).alias("key"), F.col("top").cast("string").alias("value"), F.lit(now).cast("long").alias("updated_at")))
+
+
 def backfill_months(first: str, now: str, recent: int = 3) -> list[tuple[str, str]]:
     """(from, to) dates of months, the `recent` latest first, then from the oldest on."""
     y, m = map(int, first.split("-")[:2])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip_tool_and_thinking
 from tidemark.operators.runs import after_watermark
+from tidemark.plans.components import written
 from tidemark.schemas import TABLES
 from tidemark.sources.base import ledger_id, missing
 
@@ -71,14 +72,25 @@ def full_fidelity(sessions: DataFrame, messages_: DataFrame, turns: DataFrame, t
     return {name: df.select(*[(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in TABLES[name]]) for name, df in rows.items()}
 
 
-def turn_depths(turns: DataFrame, most: int = 64) -> DataFrame:
-    """(id, root_id, depth) of the turn tree, level by level; orphans are roots."""
-    known = turns.select(F.col("id").alias("parent_turn_id"))
-    roots = turns.join(known, "parent_turn_id", "left_anti").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"))
-    level, out = roots, roots
-    for depth in range(1, most):
-        level = turns.join(level.select(F.col("id").alias("parent_turn_id"), "root_id"), "parent_turn_id").select("id", "root_id", F.lit(depth).alias("depth"))
-        if level.isEmpty():
+def turn_depths(turns: DataFrame) -> DataFrame:
+    """(id, root_id, depth) of every turn in the tree, however deep; orphans are roots.
+
+    By pointer jumping over written tables: a round doubles how far each turn sees, so a chain of
+    n turns takes about log2(n) rounds. Turns on a cycle, or below one, have no root: root_id and
+    depth are null. Of rows that repeat an id the smallest parent counts; rows without id are left out.
+    """
+    own = turns.where("id IS NOT NULL").groupBy("id").agg(F.min("parent_turn_id").alias("parent"))
+    known = own.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
+    own = own.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent"))
+    seen = written(own.select("id", F.coalesce("parent", "id").alias("top"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.col("parent").isNull().alias("done")))
+    left = seen.where("NOT done").count()
+    while left:
+        above = seen.select(F.col("id").alias("top"), F.col("top").alias("further"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        jumped = seen.where("NOT done").join(above, "top").select("id", F.col("further").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
+        seen = written(seen.where("done").unionByName(jumped))
+        still = seen.where("NOT done").count()
+        # Every round reaches a root from some turn, unless what is left hangs on cycles.
+        if still == left:
             break
-        out = out.unionByName(level)
-    return out
+        left = still
+    return seen.select("id", F.when(F.col("done"), F.col("top")).alias("root_id"), F.when(F.col("done"), F.col("depth")).alias("depth"))
