@@ -7,12 +7,12 @@ missed. Sinks are foreachBatch upserts: a batch that runs again changes nothing.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.plans.state import VersionedTable, latest
 from tidemark.schemas import EVENTS
@@ -64,36 +64,65 @@ def session_windows(stream: DataFrame, gap_seconds: int, key: str = "thread_id",
     return grouped.agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count("*").alias("event_count")).drop("w")
 
 
-EPISODE_STATE = "first_ts long, first_id string, last_ts long, n long"
+_INTERVAL = "start_time long, first_event_id string, end_time long, event_count long"
 
 
-def live_episodes(stream: DataFrame, gap_seconds: int, key: str = "thread_id", delay: str = "1 hour") -> DataFrame:
-    """Closed episodes with the ids of their first events: (key, first_event_id, start_time, end_time,
-    event_count). State is one row a thread; an episode also closes once the watermark has
-    passed its end by the gap."""
-
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first_ts, first_id, last_ts, n = state.get if state.exists else (None, None, None, 0)
-        closed = []
-        if state.hasTimedOut:
-            closed.append((keys[0], first_id, first_ts, last_ts, n))
-            state.remove()
+class _OpenEpisodes(StatefulProcessor):
+    """The open episodes of a thread: intervals that rows widen, join or begin, whenever they come.
+
+    One is closed when the watermark has passed its end by the gap, as no row still to come can
+    touch it then."""
+
+    def __init__(self, key: str, gap_seconds: int):
+        self.key, self.gap = key, gap_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.open = handle, handle.getListState("open", _INTERVAL)
+
+    def handleInputRows(self, key, rows, timerValues):
+        found = [tuple(x) for x in self.open.get()]
+        for frame in rows:
+            found += [(int(t), e, int(t), 1) for t, e in zip(frame["ts"], frame["event_id"], strict=True)]
+        found.sort(key=lambda x: (x[0], x[1] or ""))
+        merged = found[:1]
+        for start, first, end, n in found[1:]:
+            a, id, b, m = merged[-1]
+            if start - b <= self.gap:
+                merged[-1] = (a, id, max(b, end), m + n)
+            else:
+                merged.append((start, first, end, n))
+        yield self._closed(key, merged, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._closed(key, [tuple(x) for x in self.open.get()], timerValues)
+
+    def _closed(self, key, intervals: list[tuple], timerValues) -> pd.DataFrame:
+        now = timerValues.getCurrentWatermarkInMs()
+        due = lambda x: (x[2] + self.gap) * 1000
+        done, rest = [x for x in intervals if due(x) <= now], [x for x in intervals if due(x) > now]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if rest:
+            self.open.put(rest)
+            self.handle.registerTimer(min(map(due, rest)))
         else:
-            rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-            for ts, eid in zip(rows["ts"], rows["event_id"], strict=True):
-                if last_ts is not None and ts - last_ts > gap_seconds:
-                    closed.append((keys[0], first_id, first_ts, last_ts, n))
-                    first_ts = None
-                if first_ts is None:
-                    first_ts, first_id, n = int(ts), str(eid), 0
-                last_ts, n = max(int(ts), last_ts) if last_ts is not None else int(ts), n + 1
-            state.update((first_ts, first_id, last_ts, n))
-            state.setTimeoutTimestamp(max((last_ts + gap_seconds + 1) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(closed, columns=[key, "first_event_id", "start_time", "end_time", "event_count"])
+            self.open.clear()
+        return pd.DataFrame([(key[0], first, start, end, n) for start, first, end, n in done], columns=[self.key, "first_event_id", "start_time", "end_time", "event_count"])
+
+    def close(self) -> None:
+        pass
+
 
+def live_episodes(stream: DataFrame, gap_seconds: int, key: str = "thread_id", delay: str = "1 hour") -> DataFrame:
+    """Closed time-gap episodes: (key, first_event_id, start_time, end_time, event_count).
+
+    Rows may come in any order within the delay; later ones are dropped. State is one row for each open
+    episode. Needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`). Rows
+    without key or time are left out, rows that come twice count twice (see `deduplicated`).
+    """
     out = f"{key} string, first_event_id string, start_time long, end_time long, event_count long"
-    source = stream.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key), "ts", F.col("event_id").cast("string").alias("event_id"), F.timestamp_seconds("ts").alias("event_time")).withWatermark("event_time", delay)
-    return source.groupBy(key).applyInPandasWithState(step, out, EPISODE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    source = stream.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(F.col(key).cast("string").alias(key), F.col("ts").cast("long").alias("ts"), F.col("event_id").cast("string").alias("event_id"), F.timestamp_seconds("ts").alias("event_time")).withWatermark("event_time", delay)
+    return source.groupBy(key).transformWithStateInPandas(_OpenEpisodes(key, gap_seconds), out, "append", "eventTime")
 
 
 def windowed_counts(stream: DataFrame, duration: str = "1 day", delay: str = "1 day") -> DataFrame:
