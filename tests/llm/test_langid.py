@@ -1,3 +1,5 @@
+import random
+import pytest
 import zlib
 
 import numpy as np
@@ -96,3 +98,25 @@ def test_kernel_matrix_against_brute_force():
     phi = kernel @ (vectors / np.sqrt(values))
     solved = np.linalg.solve(phi.T @ weight @ phi + langid.RIDGE * len(model.languages) / 100 * np.eye(len(texts)), phi.T @ weight @ target)
     assert np.allclose(model.scores(texts), phi @ solved, atol=1e-4)
+
+
+def scripts(n):
+    """Texts of n languages, each in letters of its own."""
+    rng = random.Random(n)
+    return [(f"l{k:02}", "".join(rng.choice([chr(0x4E00 + 40 * k + j) for j in range(30)] + [" "]) for _ in range(80))) for k in range(n) for _ in range(12)]
+
+
+@pytest.mark.parametrize("n", [18, 20, 24, 333])
+def test_every_language_has_a_landmark(n):
+    rows = scripts(n)
+    order = sorted(range(len(rows)), key=lambda i: (i % 12, rows[i][0]))
+    model = langid.Model().fit([rows[i][1] for i in order], [rows[i][0] for i in order])
+    names, _ = model.predict([t for _, t in rows])
+    assert names == [name for name, _ in rows]
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    long = "абвгд еёжз " * 3000
+    df = spark.createDataFrame([(1, long, "ru"), (2, long + "и", "ru"), (3, "some english words", "en"), (4, "more of the words", "en")], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.languages == ["en", "ru"] and model.predict(["где же зад", "some of the words"])[0] == ["ru", "en"]

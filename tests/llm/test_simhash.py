@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tidemark.llm import _shared as shared
 from tidemark.llm import simhash
 from tidemark.llm.queries import op8_simhash
 from tidemark.plans.components import components
@@ -167,3 +168,14 @@ def test_links_that_change_when_made_again_still_join(spark):
     for _ in range(3):
         assert {r.low for r in simhash.components(turned, label).collect()} == {100}
         assert {r.component for r in components(turned, "a", "b").collect()} == {0}
+
+
+def test_rows_made_from_one_row_are_told_apart(spark, tmp_path):
+    a, b, c = (" ".join(f"{w}{i * i % 97}" for i in range(40)) for w in ("red", "green", "blue"))
+    spark.createDataFrame([(1, [a, b]), (2, [a, c])], "doc_id long, texts array<string>").write.parquet(f"{tmp_path}/x")
+    read = spark.read.parquet(f"{tmp_path}/x")
+    for docs in (read.select("doc_id", F.explode("texts").alias("text")), read.selectExpr("doc_id", "explode(texts) AS text").where("text IS NOT NULL"), read.selectExpr("doc_id", "texts[0] AS text").union(read.selectExpr("doc_id", "texts[1] AS text"))):
+        kept = simhash.one_of_each(docs)
+        assert sorted(map(tuple, kept.collect())) == sorted([(1, a), (1, b), (2, c)])
+    # Plain scans aren't staged.
+    assert shared._names_rows(read.where("doc_id > 0").select("doc_id")) and not shared._names_rows(read.where("rand() > 0.5")) and not shared._names_rows(read.select(F.explode("texts")))

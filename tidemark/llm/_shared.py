@@ -84,13 +84,31 @@ def bound_batches(spark: SparkSession) -> None:
 PLACE = ("__file", "__row")
 
 
-def placed(df: DataFrame) -> DataFrame:
-    """`df` with `PLACE`, the same in every pass; rows that don't come from Parquet files are staged."""
+#: Plans under which a row's place in its file is a name for it: each row of a file at most once.
+_PLACED_PLANS = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation"}
+
+
+def _names_rows(df: DataFrame) -> bool:
+    """Whether `df` is a scan of files with nothing but projections and filters over it."""
     try:
-        known = "row_index" in df.select("_metadata").schema["_metadata"].dataType.fieldNames()
+        if "row_index" not in df.select("_metadata").schema["_metadata"].dataType.fieldNames():
+            return False
     except AnalysisException:
-        known = False
-    df = df if known else staged(df, "rows")
+        return False
+    work = [df._jdf.queryExecution().analyzed()]
+    while work:
+        plan = work.pop()
+        if plan.getClass().getSimpleName() not in _PLACED_PLANS or not plan.deterministic():
+            return False
+        children = plan.children()
+        work += [children.apply(i) for i in range(children.size())]
+    return True
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """`df` with `PLACE`, the same in every pass. Rows that don't come straight from Parquet files
+    (also those that a join, an explode or a union may have made several of) are staged first."""
+    df = df if _names_rows(df) else staged(df, "rows")
     return df.select("*", F.xxhash64("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
 
 

@@ -12,8 +12,8 @@ is a space.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or nothing was learned.
 Labels that are null, or whose text has no letter, teach nothing; repeated rows teach once. Texts
-are read whole; only training leaves aside texts longer than `MOST_CHARS`. Ties go to the
-language first in order.
+are read whole; only training leaves aside texts longer than `MOST_CHARS`, of languages that have
+shorter ones. Ties go to the language first in order.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ from pyspark.sql import types as T
 from tidemark.llm._shared import map_arrow, put_aside, restored, strings
 
 #: Bounds of the training sample: rows for each language, characters of all of it (shared equally
-#: by the languages) and of a text, languages (the most frequent ones).
-ROWS_EACH, SAMPLE_CHARS, MOST_CHARS, MOST_LANGUAGES = 300, 16_000_000, 20_000, 5000
-#: Bounds of the landmarks: texts (one a language at least) and characters.
+#: by the languages) and of a text, languages (the most frequent ones). A language that has longer texts
+#: only is learned from its shortest one, of up to `LONG_CHARS`.
+ROWS_EACH, SAMPLE_CHARS, MOST_CHARS, LONG_CHARS, MOST_LANGUAGES = 300, 16_000_000, 20_000, 1_000_000, 5000
+#: Bounds of the landmarks: texts (one a language at least) and characters (beyond those of that one).
 LANDMARKS, LANDMARK_CHARS = 320, 1_000_000
 RIDGE = 1e-2
 UNKNOWN = "und"
@@ -114,7 +115,7 @@ class Model:
         self.languages = sorted(set(languages))
         found = [grams(t) for t in texts]
         own = np.sqrt([float(len(g)) for g in found])
-        chosen = self._landmarks(texts, max(landmarks, len(self.languages)))
+        chosen = self._landmarks(texts, languages, landmarks)
         vocab = np.unique(np.concatenate([found[i] for i in chosen]))
         self.place = _Places(vocab)
         # Landmarks that have an n-gram, one n-gram after the other.
@@ -141,14 +142,24 @@ class Model:
         return self
 
     @staticmethod
-    def _landmarks(texts: list[str], most: int) -> list[int]:
-        """Texts at even steps (they come language by language in turns), up to the bound of characters."""
-        chosen, chars = [], 0
-        for i in range(0, len(texts), max(1, len(texts) // most)):
-            if len(chosen) < most and (not chosen or chars + len(texts[i]) <= LANDMARK_CHARS):
+    def _landmarks(texts: list[str], languages: list[str], most: int) -> list[int]:
+        """One text of each language, then more in turns, at even steps among a language's own, up to the
+        bounds of texts and characters."""
+        own: dict[str, list[int]] = {}
+        for i, language in enumerate(languages):
+            own.setdefault(language, []).append(i)
+        each = max(1, most // max(1, len(own)))
+        steps = []
+        for _, rows in sorted(own.items()):
+            first = rows[:: max(1, len(rows) // each)][:each]
+            steps.append(first + sorted(set(rows) - set(first)))
+        turns = [rows[n] for n in range(max(map(len, steps), default=0)) for rows in steps if n < len(rows)]
+        chosen, chars = turns[: len(own)], sum(len(texts[i]) for i in turns[: len(own)])
+        for i in turns[len(own) :]:
+            if len(chosen) < most and chars + len(texts[i]) <= LANDMARK_CHARS:
                 chosen.append(i)
                 chars += len(texts[i])
-        return chosen
+        return sorted(chosen)
 
     BATCH = 128
 
@@ -188,15 +199,17 @@ def train(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str
     """A model from a sample of at most `rows_each` rows of each of the most frequent languages, and
     of about `sample_chars` characters in all (one row a language at least)."""
     rows = labelled.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") <= MOST_CHARS) & F.col("text").rlike(r"\p{L}"))
+    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") <= LONG_CHARS) & F.col("text").rlike(r"\p{L}"))
+    short = F.length("text") <= MOST_CHARS
     # The share of each language that its quota asks for, and half as many again; then the quota, by hash.
     draw = F.xxhash64("id", "text", F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min(draw).alias("least")).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("all"), F.count_if(short).alias("count"), F.min(F.when(short, draw)).alias("least"), F.min(F.struct(F.length("text"), draw.alias("draw")))["draw"].alias("shortest")).orderBy(F.desc("all"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return Model()
     # One row a language, MOST_LANGUAGES at most.
-    quota = labelled.sparkSession.createDataFrame([(r.lang, max(int(min(1.0, (1.5 * rows_each + 20) / r["count"]) * (1 << 40)), r.least + 1)) for r in counts], "lang string, quota long")
-    drawn = rows.withColumn("draw", draw).join(F.broadcast(quota), "lang").where("draw < quota").dropDuplicates(["lang", "draw", "text"])
+    quotas = [(r.lang, max(int(min(1.0, (1.5 * rows_each + 20) / r["count"]) * (1 << 40)), r.least + 1) if r["count"] else 0, None if r["count"] else r.shortest) for r in counts]
+    quota = labelled.sparkSession.createDataFrame(quotas, "lang string, quota long, only long")
+    drawn = rows.withColumn("draw", draw).join(F.broadcast(quota), "lang").where((short & (F.col("draw") < F.col("quota"))) | (F.col("draw") == F.col("only"))).dropDuplicates(["lang", "draw", "text"])
     turn = Window.partitionBy("lang").orderBy("draw", "text")
     drawn = drawn.withColumns({"nth": F.row_number().over(turn), "before": F.sum(F.length("text")).over(turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("text")})
     # Languages take turns, so that landmarks are balanced as well.
