@@ -179,3 +179,63 @@ def test_rows_made_from_one_row_are_told_apart(spark, tmp_path):
         assert sorted(map(tuple, kept.collect())) == sorted([(1, a), (1, b), (2, c)])
     # Plain scans aren't staged.
     assert shared._names_rows(read.where("doc_id > 0").select("doc_id")) and not shared._names_rows(read.where("rand() > 0.5")) and not shared._names_rows(read.select(F.explode("texts")))
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def check_similar(texts, kept):
+    """Of two texts of similarity 0.8 or more one goes (nine of ten times at least, near that limit);
+    what goes is like a text that isn't far from it; of equal texts one stays."""
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    ids = sorted(sets)
+    near = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if similarity(sets[a], sets[b]) >= 0.8]
+    assert sum(a in kept and b in kept for a, b in near) <= 0.1 * len(near)
+    assert not any(a in kept and b in kept for a, b in near if sets[a] == sets[b])
+    linked = {a for a in ids for b in ids if a != b and similarity(sets[a], sets[b]) >= 0.7}
+    assert set(ids) - kept <= linked
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_similar_texts_are_one_group(spark):
+    rng = random.Random(32)
+    texts, n = {}, 0
+    for group in range(12):
+        words = [f"w{group}x{rng.randrange(400)}" for _ in range(rng.choice([250, 300]))]
+        # Few edits make near copies; many make texts of their own.
+        for edits in (0, 0, 1, 2, 3, 60, 80):
+            texts[n] = edited(rng, words, edits)
+            n += 1
+    hot = [f"h{rng.randrange(900)}" for _ in range(400)]
+    for _ in range(150):
+        texts[n] = edited(rng, hot, 4)
+        n += 1
+    texts |= {n: "", n + 1: None, n + 2: "short text", n + 3: "short text"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.one_of_similar(df).collect()}
+    check_similar(texts, kept)
+    # The smallest of each group stays, those of many edits as well.
+    assert {7 * g for g in range(12)} <= kept and {7 * g + k for g in range(12) for k in (5, 6)} <= kept
+    assert not kept & {7 * g + k for g in range(12) for k in (1, 2, 3, 4)} and len(kept & set(range(84, 234))) == 1
+    assert simhash.one_of_similar(empty(spark)).count() == 0 and simhash.one_of_similar(messy(spark)).columns == messy(spark).columns
+
+
+def test_links_of_a_ball_are_in_proportion_to_its_members():
+    rng = np.random.default_rng(2)
+    centre = rng.integers(0, 2**63, dtype=np.uint64)
+    flips = np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (3000, 5), dtype=np.uint64), axis=1)
+    points = np.unique(np.concatenate([centre ^ flips, rng.integers(0, 2**63, 200, dtype=np.uint64)]))
+    a, b = simhash.candidate_links(points, 16, few=8)
+    assert len(points) - 200 - 10 < len(a) <= 8 * len(points)
+    assert (np.bitwise_count(a ^ b) <= 16).all()

@@ -16,6 +16,13 @@ component leaves the tree, so a ball of near copies takes about as many distance
 and yields a spanning forest, never its pairs. Links and components stay distributed:
 components come from rounds of neighbour minimum and pointer jumping over staged tables.
 
+`one_of_similar`, the filter of corpora, has a wider rule: texts whose sets of five-word shingles
+have a Jaccard similarity of about 0.8 or more. Their fingerprints differ in up to 16 bits, for which
+no few masks are exact; so every text has a fingerprint of 1,024 bits as well. Texts meet in the
+balls of 48 of its stretches of 16 bits, where trees find those whose 64 bits are near enough, and
+the 1,024 bits decide. A fingerprint with many neighbours in a ball is linked to each and they leave the ball's
+tree, so links stay in proportion to members.
+
 Defined results: a null text has no words, as an empty one; texts without words have
 fingerprint zero, linked like any other. Repeated rows and equal texts share a fingerprint.
 A null id never becomes a component's id unless all of its ids are null.
@@ -39,6 +46,10 @@ RADIUS = 3
 SEED = 42
 #: Fingerprints of a ball from which it is divided again; balls that agree in all bits but these aren't.
 MOST_IN_BALL, FREE_BITS = 4096, 11
+#: The rule of `one_of_similar`: words of a shingle, similarity; words of 64 bits of a wide fingerprint,
+#: its stretches of 16 bits that make balls, the radius in a ball, and neighbours from which pairs are a star.
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+WIDE_WORDS, STRETCHES, WIDE_RADIUS, FEW = 16, 48, 16, 32
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -125,6 +136,11 @@ class VantageTree:
                     node = self.up[node]
 
     def take(self, point: np.uint64, radius: int) -> np.ndarray:
+        got = self.near(point, radius)
+        self.remove(got)
+        return got
+
+    def near(self, point: np.uint64, radius: int) -> np.ndarray:
         found, work = [], [0]
         while work:
             at = work.pop()
@@ -145,11 +161,7 @@ class VantageTree:
                 work.append(inner)
             if far + radius > cut:
                 work.append(outer)
-        if not found:
-            return _NONE
-        got = np.concatenate(found)
-        self.remove(got)
-        return got
+        return np.concatenate(found) if found else _NONE
 
 
 _NONE = np.empty(0, np.int64)
@@ -248,32 +260,33 @@ def near_links(unique: DataFrame, radius: int = RADIUS, most_in_ball: int = MOST
     names = ["mask", "value"]
     # In order within a ball too, so that a task that runs again makes the same links.
     dealt = balls(unique, radius, most_in_ball).repartition(*names).sortWithinPartitions(*names, "fp")
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []  # rows of the ball that is still open, and of the last batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ends = [np.flatnonzero(c[1:] != c[:-1]) for c in (batch[n].to_numpy() for n in names)]
-            done = max(int(e[-1]) + 1 if len(e) else 0 for e in ends)
-            if not done and held and any(batch[n][0] != held[-1][n][0] for n in names):
-                yield from _linked(held, names, radius)
-                held = []
-            if done:
-                yield from _linked([*held, batch.slice(0, done)], names, radius)
-                held = []
-            held.append(batch.slice(done))
-        if held:
-            yield from _linked(held, names, radius)
-
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def _linked(batches, names, radius):
-    rows = pa.Table.from_batches(batches)
-    a, b = ball_links([rows[n].to_numpy() for n in names], rows["fp"].to_numpy().view(np.uint64), radius)
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    return dealt.mapInArrow(lambda batches: _in_balls(batches, names, lambda keys, fps: ball_links(keys, fps, radius)), "a long, b long")
+
+
+def _in_balls(batches, names: list[str], links):
+    """`links` of whole balls, as runs of equal `names` end; only one ball is held at a time."""
+    held: list[pa.RecordBatch] = []  # rows of the ball that is still open, and of the last batch
+
+    def linked(rows):
+        rows = pa.Table.from_batches(rows)
+        a, b = links([rows[n].to_numpy() for n in names], rows["fp"].to_numpy().view(np.uint64))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = [np.flatnonzero(c[1:] != c[:-1]) for c in (batch[n].to_numpy() for n in names)]
+        done = max(int(e[-1]) + 1 if len(e) else 0 for e in ends)
+        if not done and held and any(batch[n][0] != held[-1][n][0] for n in names):
+            yield from linked(held)
+            held = []
+        if done:
+            yield from linked([*held, batch.slice(0, done)])
+            held = []
+        held.append(batch.slice(done))
+    if held:
+        yield from linked(held)
 
 
 def components(links: DataFrame, label: DataFrame) -> DataFrame:
@@ -305,6 +318,84 @@ def components(links: DataFrame, label: DataFrame) -> DataFrame:
             return node.select("fp", F.col("best.low").alias("low"), F.col("best.fp").alias("root"))
 
 
+def wide_fingerprint(hashes: np.ndarray, words: int = 16) -> bytes:
+    """A fingerprint of 64 * words bits: that of the hashes, and of what mixing makes of them."""
+    out = []
+    with np.errstate(over="ignore"):
+        for k in range(words):
+            x = hashes + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out.append(fingerprint(x ^ (x >> np.uint64(31))))
+    return np.array(out, np.uint64).tobytes()
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    """How many of `bits` may differ: the mean at that Jaccard similarity, and one and a half standard deviations."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
+
+
+def candidate_links(fps: np.ndarray, radius: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius in a ball; what has more than `few` neighbours takes them out with it."""
+    left, right = [], []
+    tree = VantageTree(fps)
+    for i in range(len(fps)):
+        if tree.alive[i]:
+            tree.remove([i])
+            near = tree.near(fps[i], radius)
+            if len(near):
+                left.append(np.repeat(fps[i], len(near)))
+                right.append(fps[near])
+                if len(near) > few:
+                    tree.remove(near)
+    return np.concatenate(left or [np.empty(0, np.uint64)]), np.concatenate(right or [np.empty(0, np.uint64)])
+
+
+def _candidates(keys: list[np.ndarray], fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    new = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]
+    start = np.flatnonzero(new)
+    sizes = np.diff(np.r_[start, len(fps)])
+    found = [candidate_links(fps[a : a + n], radius) for a, n in zip(start[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True)]
+    return np.concatenate([np.empty(0, np.uint64), *(a for a, _ in found)]), np.concatenate([np.empty(0, np.uint64), *(b for _, b in found)])
+
+
+def similar_links(unique: DataFrame, similarity: float = SIMILARITY, stretches: int = STRETCHES, radius: int = WIDE_RADIUS, words: int = WIDE_WORDS) -> DataFrame:
+    """Links (a, b) between fingerprints (fp, wide) whose wide ones differ in `most_bits` at most."""
+    each = F.array(*[F.xxhash64(F.lit(i), F.substring("wide", 2 * i + 1, 2)) for i in range(stretches)])
+    asked = unique.select("fp", F.explode(each).alias("ball"))
+    # In another order in each ball, so that the first of many neighbours isn't always the same.
+    dealt = asked.repartition("ball").sortWithinPartitions("ball", F.xxhash64("fp", "ball"), "fp")
+    met = dealt.mapInArrow(lambda batches: _in_balls(batches, ["ball"], lambda keys, fps: _candidates(keys, fps, radius)), "a long, b long")
+    met = staged(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    most = most_bits(similarity, 64 * words)
+    pairs = met.join(unique.select(F.col("fp").alias("a"), F.col("wide").alias("wa")), "a").join(unique.select(F.col("fp").alias("b"), F.col("wide").alias("wb")), "b")
+
+    def near(batches):
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(-1, words) for c in ("wa", "wb"))
+            yield batch.filter(pa.array(np.bitwise_count(one ^ other).sum(axis=1) <= most)).select(["a", "b"])
+
+    return pairs.mapInArrow(near, "a long, b long")
+
+
+def _similar_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The rows of `docs` (doc_id, text, others) without texts, with fp and root, a group's own fingerprint."""
+
+    def make():
+        def compute(batch):
+            hashes = [shingle_hashes(t, shingle) for t in strings(batch, "text")]
+            return [pa.array(np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64)), [wide_fingerprint(h, WIDE_WORDS) for h in hashes]]
+
+        return compute
+
+    fps = staged(map_arrow(docs, make, [("fp", T.LongType()), ("wide", T.BinaryType())]).drop("text"), "fingerprints")
+    unique = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("wide").alias("wide")), "unique")
+    low = components(similar_links(unique, similarity), unique.select("fp", "low"))
+    roots = low.select("fp", "root")
+    return fps.drop("wide").join(staged(roots, "components"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def _grouped(docs: DataFrame, shingle: int, radius: int, most_in_ball: int = MOST_IN_BALL) -> DataFrame:
     """The rows of `docs` (doc_id, text, others) without texts, with fp, component_id and root."""
     fps = staged(fingerprints(docs, "text", shingle).drop("text"), "fingerprints")
@@ -321,15 +412,24 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The filter: of each component only one row stays, one of its smallest id.
+    """The filter by the rule of `near_duplicates`: of each component only one row stays, one of its smallest id.
 
     Rows are told apart by their places, so rows that share an id, or have none, and belong to
     different components all stay. Of several rows of the smallest id that with the least hash
     of its text stays. Texts don't move: the places of the rows that go meet them where they are read.
     """
+    return _first_of_groups(docs, id, text, lambda rows: _grouped(rows, shingle, radius))
+
+
+def one_of_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The filter by similarity: as `one_of_each`, of groups that links of `similarity` or more make."""
+    return _first_of_groups(docs, id, text, lambda rows: _similar_groups(rows, shingle, similarity))
+
+
+def _first_of_groups(docs: DataFrame, id: str, text: str, grouped) -> DataFrame:
     columns = docs.columns
     keyed = placed(docs)
-    found = _grouped(keyed.select(*PLACE, F.col(id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("copy")), shingle, radius)
+    found = grouped(keyed.select(*PLACE, F.col(id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("copy")))
     found = staged(found.select(*PLACE, "doc_id", "copy", "root"), "found")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy", *PLACE)
     least = found.groupBy("root").agg(F.min(order).alias("m"), F.count("*").alias("n")).where("n > 1").select("root", *[F.col("m")[c].alias(f"m{c}") for c in PLACE])
