@@ -5,9 +5,12 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.catalog import QUERIES
-from tidemark.operators import episodes, graph
+from tidemark.operators import episodes, graph, runs
 from tidemark.operators import identity as ident
+from tidemark.plans.scan import Scan
 
 
 def _episodes(rows, gap, scope, least):
@@ -99,3 +102,62 @@ def test_no_plan_compares_all_with_all(spark, sf_dir):
     for name in ("embedding_candidates", "contradictions_in_order", "time_gap_channel_episodes", "facet_extract", "shell_invocations"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.fixture
+def many_tasks(spark):
+    """Small exchanges stay divided."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _events(seed, n=400, ties=True):
+    rng = random.Random(seed)
+    rows = [(f"e{i:04}", rng.choice([None, *range(60 if ties else 4000)]), "c", rng.choice(["hot"] * 6 + ["t", "u", "", None]), rng.choice(["sent", "received", "observed", None])) for i in range(n)]
+    return rows, "event_id string, ts long, channel string, thread_id string, direction string"
+
+
+def _same(a, b, *columns):
+    assert sorted((tuple(r) for r in a.select(*columns).collect()), key=str) == sorted((tuple(r) for r in b.select(*columns).collect()), key=str)
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_scans_in_stretches_give_what_windows_give(spark, many_tasks, k):
+    rows, schema = _events(k)
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    made = [Scan(df, ["thread_id"], ["ts", "event_id"], most).total((F.col("direction") == "sent").cast("int"), "sent").previous(F.col("direction"), k, "before") for most in (10**6, 20)]
+    assert [m.divided for m in made] == [False, True]
+    _same(made[0].result(), made[1].result(), *df.columns, "sent", F.col("before").cast("string"))
+    stretches = made[1].rows.where("thread_id = 'hot'").select("__part").distinct().count()
+    assert stretches > 1
+    # By hand: the values before each row of a thread.
+    want = []
+    for thread in {r[3] for r in rows}:
+        own = sorted((r for r in rows if r[3] == thread), key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+        want += [(r[0], [x[4] for x in own[max(0, i - k) : i]][::-1]) for i, r in enumerate(own)]
+    assert sorted((r.event_id, r.before) for r in made[1].result().collect()) == sorted(want)
+
+
+def test_strategies_on_hot_threads(spark, many_tasks):
+    rows, schema = _events(9)
+    df = spark.createDataFrame(rows, schema)
+    for tools in (False, True):
+        _same(*(episodes.turn_pairs(df, include_tools=tools, most=m) for m in (10**6, 10)), "episode_id", "event_id", "turn", "position")
+    _same(*(episodes.by_thread(df, most=m) for m in (10**6, 10)), "episode_id", "event_id", "position")
+    _same(*(episodes.by_count(df, 7, least_events=3, most=m) for m in (10**6, 10)), "episode_id", "event_id", "position")
+    _same(*(episodes.sent_before(df, most=m) for m in (10**6, 10)), "event_id", "sent_before")
+    cut = df.selectExpr("event_id AS episode_id", "thread_id AS channel", "ts AS start_time")
+    _same(*(episodes.before_each(cut, 3, most=m) for m in (10**6, 10)), "episode_id", "previous_id", "rank")
+
+
+def test_numbers_of_the_bus_are_given_in_parallel(spark, many_tasks):
+    bus = spark.createDataFrame([(7, "t", "a", "0", None, 1)], "seq long, type string, adapter string, event_id string, payload_json string, created_at long")
+    rows = [("x", "a", f"e{i}", None, i * 37 % 101) for i in range(300)]
+    out = runs.emit(bus, spark.createDataFrame(rows, "type string, adapter string, event_id string, payload_json string, created_at long").repartition(4))
+    got = [r.event_id for r in out.orderBy("seq").collect()]
+    assert got == ["0", *[r[2] for r in sorted(rows, key=lambda r: (r[4], r[0], r[2]))]] and {r.seq for r in out.collect()} == set(range(7, 308))
+    assert runs.emit(bus, bus.limit(0).drop("seq")).count() == 1
+    # One exchange into one partition, of the stretches' counts.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("windowspecdefinition(__part") >= 1 and "windowspecdefinition(created_at" not in plan

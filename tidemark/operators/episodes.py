@@ -1,9 +1,10 @@
 """Episodes: how an event ledger falls into conversations.
 
 Events are (event_id, ts, channel, thread_id, direction, ...). Every strategy is one window
-over the partition that an episode can't leave; where that could be a whole channel, or all
+over the partition that an episode can't leave. Where that could be a whole channel, or all
 there is, windows go over stretches of time and what one stretch leaves to the next is carried
-from a table with one row a stretch. Ids are hashes of what defines the episode, so running a
+from a table with one row a stretch; a thread (or a channel's episodes) of more than `most` rows
+is divided into stretches likewise (see plans.scan). Ids are hashes of what defines the episode, so running a
 strategy again gives the same ids and an anti-join makes it idempotent.
 """
 
@@ -15,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.scan import MOST, Scan
+
 # The definitions that a new ledger starts with.
 SEEDED = [
     {"name": "imessage_3hr", "strategy": "time_gap", "channel": "imessage", "config": {"gap_seconds": 10800, "scope": "thread"}},
@@ -108,13 +111,13 @@ def time_gap(events: DataFrame, gap_seconds: int, scope: str = "thread", channel
     return placed.select(episode_id(definition, F.col("scope_key"), F.col("__first")).alias("episode_id"), "event_id", "ts", "channel", "thread_id", "position")
 
 
-def by_thread(events: DataFrame, channel: str | None = None, definition: str = "thread", existing: DataFrame | None = None) -> DataFrame:
+def by_thread(events: DataFrame, channel: str | None = None, definition: str = "thread", existing: DataFrame | None = None, most: int = MOST) -> DataFrame:
     """One episode a thread; threads of `existing` episodes are left as they are."""
     events = _in_channel(events, channel).where("thread_id IS NOT NULL AND cast(thread_id AS string) != ''")
     if existing is not None:
         events = events.join(existing.select("thread_id").distinct(), "thread_id", "left_anti")
-    w = Window.partitionBy("thread_id").orderBy("ts", "event_id")
-    return events.withColumn("position", F.row_number().over(w)).select(episode_id(definition, F.col("thread_id")).alias("episode_id"), "event_id", "ts", "channel", "thread_id", "position")
+    placed = Scan(events, ["thread_id"], ["ts", "event_id"], most).total(F.lit(1), "position").result()
+    return placed.withColumn("position", F.col("position").cast("int")).select(episode_id(definition, F.col("thread_id")).alias("episode_id"), "event_id", "ts", "channel", "thread_id", "position")
 
 
 def single_events(events: DataFrame, channel: str | None = None, source_adapter: str | None = None, definition: str = "single_event", existing: DataFrame | None = None) -> DataFrame:
@@ -127,30 +130,37 @@ def single_events(events: DataFrame, channel: str | None = None, source_adapter:
     return events.select(episode_id(definition, F.col("event_id")).alias("episode_id"), "event_id", "ts", "channel", "thread_id", F.lit(1).alias("position"))
 
 
-def turn_pairs(events: DataFrame, include_tools: bool = False, channel: str | None = None, definition: str = "turn_pair", existing: DataFrame | None = None) -> DataFrame:
+def _answers(turns: DataFrame, include_tools: bool) -> DataFrame:
+    return turns if include_tools else turns.where(F.col("direction").isin("sent", "received"))
+
+
+def turn_pairs(events: DataFrame, include_tools: bool = False, channel: str | None = None, definition: str = "turn_pair", existing: DataFrame | None = None, most: int = MOST) -> DataFrame:
     """A sent event and what answers it: received ones, and with `include_tools` all others.
 
     What a thread received before its first sent event belongs to no turn.
     """
     events = _in_channel(events, channel).where("thread_id IS NOT NULL AND cast(thread_id AS string) != ''")
-    w = Window.partitionBy("thread_id").orderBy("ts", "event_id")
-    turns = events.withColumn("turn", F.sum((F.col("direction") == "sent").cast("int")).over(w)).where("turn > 0")
-    if not include_tools:
-        turns = turns.where(F.col("direction").isin("sent", "received"))
-    t = Window.partitionBy("thread_id", "turn").orderBy("ts", "event_id")
-    placed = turns.withColumn("position", F.row_number().over(t)).withColumn("__first", F.first("event_id").over(t))
+    scan = Scan(events, ["thread_id"], ["ts", "event_id"], most).total((F.col("direction") == "sent").cast("int"), "turn")
+    if scan.divided:
+        # A turn can be as long as its thread: places are counted from where the turn begins.
+        kept = F.lit(1) if include_tools else F.coalesce(F.col("direction").isin("sent", "received").cast("int"), F.lit(0))
+        turns = _answers(scan.total(kept, "__kept").result().where("turn > 0"), include_tools)
+        begins = turns.groupBy("thread_id", "turn").agg(F.min("__kept").alias("__begin"), F.min_by("event_id", "__kept").alias("__first"))
+        placed = turns.join(begins, ["thread_id", "turn"]).withColumn("position", (F.col("__kept") - F.col("__begin") + 1).cast("int"))
+    else:
+        t = Window.partitionBy("thread_id", "turn").orderBy("ts", "event_id")
+        placed = _answers(scan.result().where("turn > 0"), include_tools).withColumn("position", F.row_number().over(t)).withColumn("__first", F.first("event_id").over(t))
     if existing is not None:
         used = existing.where("position = 1").select(F.col("event_id").alias("__first")).distinct()
         placed = placed.join(used, "__first", "left_anti")
     return placed.select(episode_id(definition, F.col("thread_id"), F.col("__first")).alias("episode_id"), "event_id", "ts", "channel", "thread_id", "turn", "position")
 
 
-def by_count(events: DataFrame, size: int, definition: str = "count", least_events: int = 1) -> DataFrame:
+def by_count(events: DataFrame, size: int, definition: str = "count", least_events: int = 1, most: int = MOST) -> DataFrame:
     """Runs of `size` events of a thread, the last one if it has `least_events` at least."""
-    w = Window.partitionBy("thread_id").orderBy("ts", "event_id")
-    cut = events.where("thread_id IS NOT NULL").withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size))
-    c = Window.partitionBy("thread_id", "chunk")
-    placed = cut.withColumn("position", F.row_number().over(c.orderBy("ts", "event_id"))).withColumn("__n", F.count("*").over(c)).where(F.col("__n") >= least_events)
+    scan = Scan(events.where("thread_id IS NOT NULL"), ["thread_id"], ["ts", "event_id"], most).total(F.lit(1), "__nth")
+    cut = scan.result().withColumn("chunk", F.floor((F.col("__nth") - 1) / size)).withColumn("position", ((F.col("__nth") - 1) % size + 1).cast("int"))
+    placed = cut.withColumn("__n", F.count("*").over(Window.partitionBy("thread_id", "chunk"))).where(F.col("__n") >= least_events)
     return placed.select(episode_id(definition, F.col("thread_id"), F.col("chunk")).alias("episode_id"), "event_id", "ts", "channel", "thread_id", "position")
 
 
@@ -216,12 +226,10 @@ def before(episodes: DataFrame, channel: str, start_time: int, k: int) -> DataFr
     return episodes.where((F.col("channel") == channel) & (F.col("start_time") < start_time)).orderBy(F.desc("start_time"), "episode_id").limit(k)
 
 
-def before_each(episodes: DataFrame, k: int) -> DataFrame:
+def before_each(episodes: DataFrame, k: int, most: int = MOST) -> DataFrame:
     """For every episode its `k` predecessors in the channel, as (episode_id, previous_id, rank)."""
-    w = Window.partitionBy("channel").orderBy("start_time", "episode_id")
-    lagged = episodes.select("episode_id", *[F.lag("episode_id", i).over(w).alias(f"__{i}") for i in range(1, k + 1)])
-    found = F.array(*[F.struct(F.lit(i).alias("rank"), F.col(f"__{i}").alias("previous_id")) for i in range(1, k + 1)])
-    return lagged.withColumn("p", F.explode(found)).where("p.previous_id IS NOT NULL").select("episode_id", "p.previous_id", "p.rank")
+    found = Scan(episodes.select("episode_id", "channel", "start_time"), ["channel"], ["start_time", "episode_id"], most).previous(F.col("episode_id"), k, "before").result()
+    return found.select("episode_id", F.posexplode("before").alias("rank", "previous_id")).select("episode_id", "previous_id", (F.col("rank") + 1).alias("rank"))
 
 
 def around(events: DataFrame, event_id, n_before: int, n_after: int) -> DataFrame:
@@ -243,10 +251,12 @@ def mask_labels(members: DataFrame, me: Column | None = None) -> DataFrame:
     return firsts.select("episode_id", "contact_id", label.alias("label"))
 
 
-def sent_before(events: DataFrame) -> DataFrame:
+def sent_before(events: DataFrame, most: int = MOST) -> DataFrame:
     """`events` with the number of sent events strictly earlier in the thread."""
-    w = Window.partitionBy("thread_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("sent_before", F.coalesce(F.sum((F.col("direction") == "sent").cast("long")).over(w), F.lit(0)))
+    sent = F.coalesce((F.col("direction") == "sent").cast("long"), F.lit(0))
+    counted = Scan(events, ["thread_id"], ["ts"], most).total(sent, "__sent").result()
+    # Of events of one second the first has none of their own before it.
+    return counted.withColumn("sent_before", F.min(F.col("__sent") - sent).over(Window.partitionBy("thread_id", "ts"))).drop("__sent")
 
 
 def membership_flip(events: DataFrame) -> DataFrame:

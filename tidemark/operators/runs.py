@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.scan import Scan
 from tidemark.plans.state import merge_df
 
 FINAL = ("completed", "blocked")
@@ -79,12 +80,11 @@ def after_watermark(rows: DataFrame, ts: int | None, id: str | None) -> DataFram
 def emit(bus: DataFrame, rows: DataFrame) -> DataFrame:
     """The bus with rows (type, adapter, event_id, payload_json, created_at) after its last seq.
 
-    Sequence numbers are per batch, so a small one-task number over the batch."""
-    from pyspark.sql import Window
-
+    Numbers rise by one in the order of (created_at, type, event_id). They are given in parallel: rows
+    are dealt out by range, each task numbers its own, and begins where the counts of those before end."""
     last = bus.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    numbered = rows.withColumn("__n", F.row_number().over(Window.orderBy("created_at", "type", "event_id")))
-    return bus.unionByName(numbered.join(F.broadcast(last)).withColumn("seq", F.col("last") + F.col("__n")).select(*bus.columns))
+    numbered = Scan(rows, [], ["created_at", "type", "event_id"], divided=True).total(F.lit(1), "__n").result()
+    return bus.unionByName(numbered.join(F.broadcast(last)).withColumn("seq", F.col("last") + F.col("__n")).select(*bus.columns))  # one row
 
 
 def after_seq(bus: DataFrame, seq: int, limit: int = 100) -> DataFrame:
