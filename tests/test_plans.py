@@ -161,3 +161,44 @@ def test_numbers_of_the_bus_are_given_in_parallel(spark, many_tasks):
     # One exchange into one partition, of the stretches' counts.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("windowspecdefinition(__part") >= 1 and "windowspecdefinition(created_at" not in plan
+
+
+def _in_turn(pairs, values):
+    """Sequential merging, by groups as sets."""
+    group = {p: {p} for a, b, _ in pairs for p in (a, b)}
+    refused = []
+    for a, b, _ in sorted(pairs, key=lambda e: (-e[2], e[0], e[1])):
+        if group[a] is group[b]:
+            continue
+        held = [{t: {v for p, t2, v in values if p in g and t2 == t} for t in ident.UNIQUE_FACTS} for g in (group[a], group[b])]
+        if any(held[0][t] and held[1][t] and not held[0][t] & held[1][t] for t in held[0]):
+            refused.append((a, b))
+            continue
+        both = group[a] | group[b]
+        for p in both:
+            group[p] = both
+    return sorted((p, min(g)) for p, g in group.items()), sorted(refused)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_merges_in_order_are_those_of_a_sequential_run(spark, seed):
+    rng = random.Random(seed)
+    people = [f"p{i:02}" for i in range(24)]
+    pairs = {}
+    for _ in range(30):
+        a, b = sorted(rng.sample(people, 2))
+        pairs[a, b] = rng.choice([0.9, 0.8, 0.7])
+    pairs = [(a, b, c) for (a, b), c in pairs.items()]
+    values = [(p, rng.choice(["birthdate", "ssn"]), rng.choice(["1", "2", "2", "2"])) for p in people for _ in range(rng.choice([0, 1, 1, 2]))]
+    facts = spark.createDataFrame([*values, ("p00", "employer_current", "x"), ("p01", "ssn", None)], "person_id string, fact_type string, fact_value string")
+    candidates = spark.createDataFrame([*pairs, (None, "p1", 1.0), ("p1", "p1", 1.0), *pairs[:9]], "p1 string, p2 string, confidence double")
+    want = _in_turn(pairs, values)
+    assert want[1] and len({c for _, c in want[0]}) < len(want[0])
+    for most in (10**6, 0) if seed == 0 else (30,):
+        mapping, refused = ident.merges_in_order(candidates, facts, most)
+        assert (sorted(map(tuple, mapping.collect())), sorted(map(tuple, refused.collect()))) == want
+
+
+def test_no_merges_of_nothing(spark):
+    mapping, refused = ident.merges_in_order(spark.createDataFrame([], "p1 string, p2 string, confidence double"), spark.createDataFrame([], "person_id string, fact_type string, fact_value string"))
+    assert mapping.count() == 0 and refused.count() == 0

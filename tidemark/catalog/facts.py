@@ -96,6 +96,22 @@ def merge_components(spark, sf_dir):
     return components(good, "p1", "p2").withColumnsRenamed({"node": "person_id", "component": "canonical_id"})
 
 
+_DIFFER = f"len(list_filter([{_list(ident.UNIQUE_FACTS)}], lambda t: len(list_filter(held, lambda f: f.g = a AND f.t = t)) > 0 AND len(list_filter(held, lambda f: f.g = b AND f.t = t)) > 0 AND NOT list_has_any(list_transform(list_filter(held, lambda f: f.g = a AND f.t = t), lambda f: f.v), list_transform(list_filter(held, lambda f: f.g = b AND f.t = t), lambda f: f.v)))) > 0"
+
+
+@query(f"""WITH RECURSIVE {FACTS}, {SUGGESTED}, edges AS MATERIALIZED (SELECT p1, p2, row_number() OVER (ORDER BY round(similarity_score, 6) DESC, p1, p2) AS i FROM suggested WHERE auto_eligible),
+ends AS (SELECT p1 AS p FROM edges UNION SELECT p2 FROM edges),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, (SELECT list({{'p': p, 'g': p}}) FROM ends) AS groups, (SELECT list({{'g': person_id, 't': fact_type, 'v': fact_value}}) FROM (SELECT DISTINCT person_id, fact_type, fact_value FROM facts WHERE fact_type IN ({_list(ident.UNIQUE_FACTS)}) AND person_id IN (SELECT p FROM ends))) AS held
+  UNION ALL SELECT i, CASE WHEN joins THEN list_transform(groups, lambda x: {{'p': x.p, 'g': CASE WHEN x.g = b THEN a ELSE x.g END}}) ELSE groups END, CASE WHEN joins THEN list_transform(held, lambda x: {{'g': CASE WHEN x.g = b THEN a ELSE x.g END, 't': x.t, 'v': x.v}}) ELSE held END
+  FROM (SELECT *, a != b AND NOT {_DIFFER} AS joins FROM (SELECT i, groups, held, least(g1, g2) AS a, greatest(g1, g2) AS b FROM (SELECT e.i, groups, held, list_filter(groups, lambda x: x.p = e.p1)[1].g AS g1, list_filter(groups, lambda x: x.p = e.p2)[1].g AS g2 FROM walk w JOIN edges e ON e.i = w.i + 1))))
+SELECT x.p AS person_id, x.g AS canonical_id FROM (SELECT unnest(groups) AS x FROM walk WHERE i = (SELECT COUNT(*) FROM edges))""")
+def merges_in_order(spark, sf_dir):
+    """Who is merged into whom when suggestions are decided one after another."""
+    own = facts(spark, sf_dir)
+    pairs = ident.merge_suggestions(own).where("auto_eligible").select("p1", "p2", F.round("similarity_score", 6).alias("confidence"))
+    return ident.merges_in_order(pairs, own)[0]
+
+
 _NAMES = "persons AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS person_id, CASE WHEN c_custkey % 4 = 0 THEN 'Anna  Bell' ELSE 'anna bell' END || CAST(c_custkey % 211 AS VARCHAR) || CASE WHEN c_custkey % 5 = 0 THEN ' Jr' ELSE '' END AS canonical_name, CASE WHEN c_custkey % 3 = 0 THEN 'Bell' || CAST(c_custkey % 211 AS VARCHAR) END AS display_name FROM customer)"
 _FORM = "regexp_replace(trim(regexp_replace(regexp_replace(trim(lower({c})), ' jr$', ''), ' sr$', '')), '\\s+', ' ', 'g')"
 

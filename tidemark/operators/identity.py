@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,26 +160,126 @@ def conflicts(facts: DataFrame, candidates: DataFrame) -> DataFrame:
     return both.where(~F.arrays_overlap("v1", "v2")).select("p1", "p2").distinct()
 
 
+def _unique_values(facts: DataFrame) -> DataFrame:
+    """(person_id, fact_type, fact_value) of facts that only one value can be true of."""
+    return facts.where(F.col("fact_type").isin(UNIQUE_FACTS) & F.col("fact_value").isNotNull()).select("person_id", "fact_type", "fact_value").distinct()
+
+
 def resolve_merges(candidates: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(mapping person_id → canonical_id, pairs left for review) for accepted pairs.
 
     Pairs in conflict are left out before components are formed; a component within which any
-    two members still conflict is left for review as a whole. Sequential merging would keep some
-    of its pairs, depending on their order.
+    two members still conflict is left for review as a whole. `merges_in_order` keeps what
+    sequential merging keeps.
     """
     candidates = written(candidates.select("p1", "p2"))
     bad = conflicts(facts, candidates)
     good = candidates.join(bad, ["p1", "p2"], "left_anti")
     found = components(good, "p1", "p2").withColumnsRenamed({"node": "person_id", "component": "canonical_id"})
-    unique = facts.where(F.col("fact_type").isin(UNIQUE_FACTS)).join(found, "person_id")
-    sets = unique.groupBy("canonical_id", "fact_type", "person_id").agg(F.collect_set("fact_value").alias("v")).groupBy("canonical_id", "fact_type").agg(F.count("*").alias("members"), F.flatten(F.collect_list("v")).alias("all"))
+    unique = _unique_values(facts).join(found, "person_id")
     # A value that every member with such a fact shares is no conflict.
-    torn = sets.where((F.col("members") > 1) & ~F.exists("all", lambda x: F.size(F.filter("all", lambda y: y == x)) == F.col("members"))).select("canonical_id").distinct()
+    holders = unique.groupBy("canonical_id", "fact_type", "person_id").agg(F.lit(1).alias("one")).groupBy("canonical_id", "fact_type").agg(F.count("*").alias("members"))
+    most = unique.groupBy("canonical_id", "fact_type", "fact_value").agg(F.count("*").alias("n")).groupBy("canonical_id", "fact_type").agg(F.max("n").alias("n"))
+    torn = holders.join(most, ["canonical_id", "fact_type"]).where("members > 1 AND n < members").select("canonical_id").distinct()
     safe = found.join(torn, "canonical_id", "left_anti")
     review = bad.unionByName(good.join(found.join(torn, "canonical_id", "left_semi").select(F.col("person_id").alias("p1")), "p1", "left_semi")).distinct()
     return safe.select("person_id", "canonical_id"), review
 
 
+#: Pairs of one component of candidates that a task decides one after another.
+MOST_PAIRS = 200_000
+
+
+def merges_in_order(candidates: DataFrame, facts: DataFrame, most_pairs: int = MOST_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """(mapping person_id → canonical_id, refused pairs) of candidates (p1, p2, confidence), as if each
+    pair were decided in turn: the greatest confidence first, then by ids.
+
+    A pair joins its two groups unless, in a fact that only one value can be true of, both have
+    values and share none; a group has the values of all its members. The canonical id is a
+    group's smallest.
+
+    Components of all candidates don't touch each other, so each is decided by itself, in one task if it has
+    `most_pairs` pairs at most. Larger ones go by rounds: a pair that comes first for both of its
+    groups finds them as it would in turn, so all such pairs are decided at once; each round joins
+    or refuses them and hands the groups' values on. Pairs without ids, or of one person, are left out.
+    """
+    pairs_ = candidates.where("p1 IS NOT NULL AND p2 IS NOT NULL AND p1 != p2").select(F.least("p1", "p2").alias("p1"), F.greatest("p1", "p2").alias("p2"), F.coalesce("confidence", F.lit(0.0)).cast("double").alias("confidence"))
+    pairs_ = written(pairs_.groupBy("p1", "p2").agg(F.max("confidence").alias("confidence")))
+    part = components(pairs_, "p1", "p2").withColumnsRenamed({"node": "person_id", "component": "part"})
+    owned = written(pairs_.join(part.withColumnRenamed("person_id", "p1"), "p1"))
+    sizes = owned.groupBy("part").count()
+    values = written(_unique_values(facts).join(part, "person_id"))
+    large = written(sizes.where(F.col("count") > most_pairs).select("part"))
+    id_type = pairs_.schema["p1"].dataType.simpleString()
+    outcome = f"p1 {id_type}, p2 {id_type}, person_id {id_type}, canonical_id {id_type}"
+    small = owned.join(large, "part", "left_anti").groupBy("part").cogroup(values.join(large, "part", "left_anti").groupBy("part")).applyInPandas(_decide_in_turn, outcome)
+    small = written(small)
+    mapping, refused = small.where("person_id IS NOT NULL").select("person_id", "canonical_id"), small.where("p1 IS NOT NULL").select("p1", "p2")
+    if not large.isEmpty():
+        more, no = _decide_in_rounds(owned.join(large, "part", "left_semi").drop("part"), values.join(large, "part", "left_semi").drop("part"))
+        mapping, refused = mapping.union(more), refused.union(no)
+    return mapping, refused
+
+
+def _decide_in_turn(pairs_: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of one component in order, with a forest of groups."""
+    up: dict = {}
+    own: dict = {}
+    for person, kind, value in zip(values["person_id"], values["fact_type"], values["fact_value"], strict=True):
+        own.setdefault(person, {}).setdefault(kind, set()).add(value)
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    refused = []
+    for _, p1, p2 in sorted(zip(-pairs_["confidence"], pairs_["p1"], pairs_["p2"], strict=True)):
+        a, b = sorted((top(p1), top(p2)))
+        if a == b:
+            continue
+        va, vb = own.get(a, {}), own.get(b, {})
+        if any(kind in va and not va[kind] & seen for kind, seen in vb.items()):
+            refused.append((p1, p2, None, None))
+            continue
+        up[b] = a
+        for kind, seen in vb.items():
+            va.setdefault(kind, set()).update(seen)
+        if va:
+            own[a] = va
+    return pd.DataFrame([*refused, *((None, None, x, top(x)) for x in list(up))], columns=["p1", "p2", "person_id", "canonical_id"])
+
+
+def _decide_in_rounds(edges: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As `_decide_in_turn`, for components of any size."""
+    persons = edges.select(F.col("p1").alias("person_id")).union(edges.select("p2")).distinct()
+    group = written(persons.withColumn("g", F.col("person_id")))
+    left = written(edges.select("p1", "p2", F.col("p1").alias("a"), F.col("p2").alias("b"), F.struct((-F.col("confidence")).alias("c"), "p1", "p2").alias("turn")))
+    held = written(values.select(F.col("person_id").alias("g"), "fact_type", "fact_value"))
+    refused = left.select("p1", "p2").limit(0)
+    while not left.isEmpty():
+        first = written(left.select(F.col("a").alias("g"), "turn").union(left.select("b", "turn")).groupBy("g").agg(F.min("turn").alias("turn")))
+        both = left.join(first.select(F.col("g").alias("a"), "turn"), ["a", "turn"], "left_semi").join(first.select(F.col("g").alias("b"), "turn"), ["b", "turn"], "left_semi")
+        now = written(both.select("p1", "p2", "a", "b", "turn"))
+        # Groups are in one pair each, so this has a row for each group, type and value at most.
+        va = now.join(held.withColumnRenamed("g", "a"), "a").select("a", "b", "fact_type", F.col("fact_value").alias("v"), F.lit(1).alias("one"), F.lit(0).alias("other"))
+        vb = now.join(held.withColumnRenamed("g", "b"), "b").select("a", "b", "fact_type", F.col("fact_value").alias("v"), F.lit(0).alias("one"), F.lit(1).alias("other"))
+        met = va.union(vb).groupBy("a", "b", "fact_type", "v").agg(F.max("one").alias("one"), F.max("other").alias("other"))
+        torn = met.groupBy("a", "b", "fact_type").agg(F.max("one").alias("one"), F.max("other").alias("other"), F.max(F.col("one") * F.col("other")).alias("shared")).where("one = 1 AND other = 1 AND shared = 0").select("a", "b").distinct()
+        no = written(now.join(torn, ["a", "b"], "left_semi").select("p1", "p2", "a", "b"))
+        refused = refused.union(no.select("p1", "p2"))
+        moved = written(now.join(no, ["a", "b"], "left_anti").select(F.greatest("a", "b").alias("old"), F.least("a", "b").alias("new")))
+
+        def renamed(df, column, moved=moved):
+            return df.join(moved, df[column] == moved["old"], "left").withColumn(column, F.coalesce("new", column)).drop("old", "new")
+
+        group = written(renamed(group, "g"))
+        held = written(renamed(held, "g").distinct())
+        left = written(renamed(renamed(left.join(no.select("p1", "p2"), ["p1", "p2"], "left_anti"), "a"), "b").where("a != b"))
+    return group.select("person_id", F.col("g").alias("canonical_id")), refused
+
+
 def merge_persons(persons: DataFrame, links: DataFrame, facts: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(persons, links, facts) after merging: links and facts move, merged persons keep a mark."""
     moved = mapping.where("person_id != canonical_id")
