@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import QUERIES
 from tidemark.operators import episodes, graph, runs
 from tidemark.operators import identity as ident
+from tidemark.plans import grid
 from tidemark.plans.scan import Scan
 
 
@@ -202,3 +203,27 @@ def test_merges_in_order_are_those_of_a_sequential_run(spark, seed):
 def test_no_merges_of_nothing(spark):
     mapping, refused = ident.merges_in_order(spark.createDataFrame([], "p1 string, p2 string, confidence double"), spark.createDataFrame([], "person_id string, fact_type string, fact_value string"))
     assert mapping.count() == 0 and refused.count() == 0
+
+
+@pytest.mark.parametrize("query_block,item_block", [(2, 3), (50, 7), (100, 100)])
+def test_best_vectors_over_a_grid(spark, query_block, item_block):
+    rng = np.random.default_rng(query_block)
+    items = [(f"i{n:02}", rng.integers(-2, 3, 3).astype(float).tolist()) for n in range(40)] + [("null", None), ("none", []), ("odd", [1.0])]
+    queries = [(n, rng.integers(-2, 3, 3).astype(float).tolist()) for n in range(9)] + [(90, [0.0, 0.0, 0.0]), (91, None)]
+
+    def score(a, b):
+        usable = len(a) == len(b) > 0 and np.linalg.norm(a) > 0 and np.linalg.norm(b) > 0
+        return round((float(np.clip(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b), -1, 1)) + 1) / 2 if usable else 0.5, 9)
+
+    q, i = spark.createDataFrame(queries, "query_id long, vector array<double>"), spark.createDataFrame(items, "item_id string, vector array<float>")
+    got = sorted((r.query_id, r.item_id, round(r.score, 9)) for r in grid.cosine_pairs(q, i, 0.6, 5, query_block, item_block).collect())
+    want = []
+    for n, a in queries:
+        scored = sorted((-score(a, b), m) for m, b in items if a is not None and b is not None and score(a, b) >= 0.6)
+        # Equal scores may differ in their last bit: by rounded scores all that could be among the best.
+        want.append((n, [s for s, _ in scored[:5]], {(m, s) for s, m in scored}))
+    for n, scores, every in want:
+        own = [(m, -s) for q_, m, s in got if q_ == n]
+        assert sorted(s for _, s in own) == scores and set(own) <= every
+    plan = grid.cosine_pairs(q, i, 0.6, 5, query_block, item_block)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "Union" not in plan

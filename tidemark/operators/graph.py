@@ -9,12 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import identity as fid
+from tidemark.plans import grid
 from tidemark.plans.components import components
 from tidemark.plans.state import insert_new, merge_df
 
@@ -159,61 +159,14 @@ def alias_candidates(mentions: DataFrame, aliases: DataFrame, entities: DataFram
     return hits.groupBy("mention_id", "entity_id").agg(F.max(best).alias("b")).select("mention_id", "entity_id", "b.*")
 
 
-#: Mentions of a block, and entities that are compared with it at once.
-MENTION_BLOCK, ENTITY_ROWS = 2048, 1024
+def embedding_candidates(mentions: DataFrame, embeddings: DataFrame, least: float = EMBEDDING_LEAST, block: int = grid.QUERIES) -> DataFrame:
+    """(mention_id, entity_id, embedding_score) for mentions with an embedding, against all entities.
 
-
-def _blocks(rows, size: int):
-    block = []
-    for row in rows:
-        block.append(row)
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def _matrix(vectors: list, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors of the given size, which of the rows they are); others, and zero ones, are left out."""
-    at = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == size > 0], np.int64)
-    rows = np.array([vectors[i] for i in at], float).reshape(len(at), size)
-    norms = np.sqrt((rows * rows).sum(axis=1))
-    good = norms > 0
-    return rows[good] / norms[good][:, None], at[good]
-
-
-def embedding_candidates(mentions: DataFrame, embeddings: DataFrame, least: float = EMBEDDING_LEAST, block: int = MENTION_BLOCK) -> DataFrame:
-    """(mention_id, entity_id, embedding_score) for mentions with an embedding.
-
-    The mentions of a batch are queries against all entities: block by block of known size they
-    become a matrix, and entities stream past it. Vectors of different sizes, empty and zero ones
-    have cosine 0, a score of 0.5.
+    Vectors of different sizes, empty and zero ones have cosine 0, a score of 0.5.
     """
-    spark, kinds = mentions.sparkSession, (mentions.schema["mention_id"].dataType, embeddings.schema["target_id"].dataType)
-    entities = embeddings.where("target_type = 'entity' AND embedding IS NOT NULL").select(F.col("target_id").alias("entity_id"), "embedding")
-    schema = f"mention_id {kinds[0].simpleString()}, entity_id {kinds[1].simpleString()}, embedding_score double"
-    found = spark.createDataFrame([], schema)
-    queries = mentions.where("embedding IS NOT NULL").select("mention_id", "embedding").toLocalIterator()
-    for rows in _blocks(queries, block):
-        ids, vectors = [r.mention_id for r in rows], [r.embedding for r in rows]
-        shared = spark.sparkContext.broadcast((ids, {n: _matrix(vectors, n) for n in {len(v) for v in vectors}}))
-
-        def run(batches, shared=shared):
-            ids, matrices = shared.value
-            names = pa.array(ids)
-            for batch in batches:
-                for part in (batch.slice(i, ENTITY_ROWS) for i in range(0, batch.num_rows, ENTITY_ROWS)):
-                    own = part.column(1).to_pylist()
-                    score = np.full((len(own), len(ids)), 0.5)
-                    for n, (queries, of) in matrices.items():
-                        units, at = _matrix(own, n)
-                        score[np.ix_(at, of)] = (np.clip(units @ queries.T, -1, 1) + 1) / 2
-                    e, m = np.nonzero(score >= least)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(m)), part.column(0).take(pa.array(e)), pa.array(score[e, m])], names=["mention_id", "entity_id", "embedding_score"])
-
-        found = found.union(entities.mapInArrow(run, schema))
-    return found
+    entities = embeddings.where("target_type = 'entity'").select(F.col("target_id").alias("item_id"), F.col("embedding").alias("vector"))
+    found = grid.cosine_pairs(mentions.select(F.col("mention_id").alias("query_id"), F.col("embedding").alias("vector")), entities, least, query_block=block)
+    return found.select(F.col("query_id").alias("mention_id"), F.col("item_id").alias("entity_id"), F.col("score").alias("embedding_score"))
 
 
 def context_scores(candidates: DataFrame, relationships: DataFrame, co_mentioned: DataFrame, recent: DataFrame) -> DataFrame:
