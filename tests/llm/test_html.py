@@ -104,7 +104,7 @@ def test_broken_pages_of_a_megabyte_take_seconds(unit):
 def brute(page, weights):
     """Every run tried; the longest first one of the greatest sum."""
     made = h.Page(page)
-    inner = made.shunned(made.wrapped(*made.boxes(weights)))
+    inner = made.left_out(weights)
     score = lambda e: (0 if inner[e[1]] and made.content[e[1]] else weights.get(("tag", e[0]), weights["tag", None])) if e[0] else 0 if inner[e[1]] else len(e[2].split()) * weights.get(("word", made.names[e[1]]), weights["word", None])
     s = [score(e) for e in made.events]
     best, span = 0, (0, 0)
@@ -131,3 +131,41 @@ def test_extract_against_brute_force():
     for _ in range(400):
         page = "".join(rng.choice(units) for _ in range(rng.randint(0, 30)))
         assert h.extract(page, WEIGHTS) == "\n".join(x for x in brute(page, WEIGHTS) if x)
+
+
+PROSE = "The text goes on for a while here, with enough words in it to be a paragraph of its own. "
+
+
+@pytest.mark.parametrize("part", ['<div class="article-header"><h1>A title of its own</h1></div>', f'<section class="related-work"><p>{PROSE}</p></section>', f'<p class="notice-period">{PROSE}</p>', f'<div class="legal-analysis"><p>{PROSE}</p></div>', f'<section id="discussion"><p>{PROSE}</p></section>', f'<div class="comment-culture"><p>{PROSE}</p></div>'])
+def test_words_of_names_alone_remove_no_article_text(part):
+    page = f"<body><nav><a href=/>Home</a></nav><article>{part}<p>{PROSE * 3}</p><p>{PROSE}</p></article></body>"
+    want = [" ".join(x.split()) for x in re.split(r"<[^>]+>", part + f"<p>{PROSE * 3}</p><p>{PROSE}</p>") if x.strip()]
+    assert h.extract(page, WEIGHTS).split("\n") == want
+    # A list of links under such a name is a box all the same.
+    links = part.split(">")[0] + ">" + '<a href="/x">Read our other story</a> <a href="/y">And another one</a></div>'
+    if 'id="discussion"' not in part and "header" not in part:
+        assert "another" not in h.extract(page.replace(part, links), WEIGHTS)
+
+
+@pytest.mark.parametrize("beside", [f'<div class="discussion"><p>Ann: {PROSE * 2}</p><p>Bob: {PROSE}</p></div>', f'<article class="teaser"><h2>Another story</h2><p>{PROSE}</p></article>', f'<div class="zq"><p>{PROSE}</p></div>'])
+def test_what_stands_beside_the_marked_content_is_left_out(beside):
+    body = f"<h1>A title</h1><p>{PROSE * 3}</p><p>{PROSE}</p>"
+    want = ["A title", (PROSE * 3).strip(), PROSE.strip()]
+    for page in (f"<body><main>{body}</main>{beside}</body>", f"<body>{beside}<main><article>{body}</article>{beside}</main></body>"):
+        assert h.extract(page, WEIGHTS).split("\n") == want
+    # Several articles of about the same size are all of the content.
+    several = "".join(f"<article><h2>Story {i}</h2><p>{PROSE * 2}</p></article>" for i in range(4))
+    assert h.extract(f"<body><main>{several}</main></body>", WEIGHTS).count("Story") == 4
+    # Marks around next to nothing don't hide the text.
+    assert h.extract(f"<body><article>Ad</article><div><p>{PROSE * 4}</p></div></body>", WEIGHTS).endswith((PROSE * 4).strip())
+
+
+def test_held_out_pages_without_marks(spark, sf_dir):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").orderBy("page_id").collect()]
+    counts = {}
+    for page in pages[::2]:
+        h.count(page, counts)
+    weights = h.weights_of(counts)
+    bare = lambda page: re.sub(r"<(/?)article>", r"<\1div>", page)
+    same = [h.extract(bare(page), weights) == h.extract(page, weights) for page in pages[1::2]]
+    assert sum(same) >= 0.9 * len(same)

@@ -8,10 +8,15 @@ contiguous run of greatest sum; its blocks are the text.
 Words in boxes (menus, forms, scripts, adverts, comments, notices and the like) score nothing and
 are left out of the region's text. A box is known by its element or by a name (a word of class,
 id or role). Names have weights as well: the log-odds that an element of that name holds the
-content rather than words beside it. A name that the labelled pages show too seldom has the
-weight of the words in it: negative for those that name boxes. An element that holds the content
-is no box whatever it is called: where all of a page's content stands in boxes, those around the
-largest part of it are wrappers.
+content rather than words beside it. A name that the labelled pages show too seldom is judged by
+the words in it and by what the element holds. All of its words name boxes or places (`ad-slot`,
+`comments-list`): a box, unless most of the content stands in it. Only some do (`related-work`,
+`notice-period`): within the content a box only if much of its text is links. An element that
+holds the content is no box whatever it is called: where all of a page's content stands in boxes,
+those around the largest part of it are wrappers.
+
+A page that marks its content (an <article> that holds most of a <main>, else the largest of them)
+has its text there alone, so that readers' discussions and teasers beside it don't join it.
 
 Defined results: null, empty or wordless html gives an empty text. Broken markup is read as it
 stands: tags left open close with their parent, a quote or tag that never ends is plain text.
@@ -38,6 +43,8 @@ LABELLED_PAGES = 2000
 TAG_COST, WORD_LEAST, WORD_MOST = 0.02, 0.5, 4.0
 #: Words that speak for a name before any are counted; and words of a box that may be a wrapper.
 NAME_PRIOR, WRAPPER_WORDS = 100, 20
+#: The share of links from which text is a list of links; and of a page's words that its marked content has at least.
+LINKED, MARKED = 0.4, 0.25
 
 # HTML elements by role.
 RAW = "script style noscript iframe textarea title xmp noembed noframes".split()
@@ -50,6 +57,7 @@ PHRASING = "button select option datalist svg math template object canvas audio
 CONTENT = "article main".split()
 # Words in class, id or role that name what is never content; words that make a name a state.
 NAMED = "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login sidebar rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs header footer masthead copyright legal comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations trending pagination pager skip toolbar search complementary contentinfo".split()
+PLACES = "area bar block body bottom box col column container content fixed float global group head heading inline inner item items left link links list main outer page panel post posts primary right row secondary section site slot sticky stories story text title top unit wrap wrapper zone".split()
 STATES = "has no not with without is hide show".split()
 # Elements whose end tag may be missing, and the tags that end them.
 CLOSED_BY = {"p": "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split(), "li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr"], "td": ["td", "th", "tr"], "th": ["td", "th", "tr"], "option": ["option"]}
@@ -59,7 +67,7 @@ MARK = re.compile("[>\"']")
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_INLINE, _OUTSIDE, _AROUND, _CONTENT, _VOID, _NAMED, _STATES = map(frozenset, (INLINE, OUTSIDE, AROUND, CONTENT, VOID, NAMED, STATES))
+_INLINE, _OUTSIDE, _AROUND, _CONTENT, _VOID, _NAMED, _PLACES, _STATES = map(frozenset, (INLINE, OUTSIDE, AROUND, CONTENT, VOID, NAMED, PLACES, STATES))
 _UNBROKEN = _INLINE | frozenset(PHRASING)
 
 
@@ -124,10 +132,14 @@ def names(attributes: str) -> list[str]:
 
 
 @lru_cache(50_000)
-def _names_box(name: str) -> bool:
-    """Whether a name has a word that names boxes, and isn't one of a state (has-sidebar)."""
+def _names_box(name: str, inside: bool = False) -> int:
+    """0 for a name without a word that names boxes, or of a state (has-sidebar); 1 if other words
+    stand beside it, 2 if none do. Inside the content a header is the content's own."""
     words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
-    return words[0] not in _STATES and not _NAMED.isdisjoint(words)
+    told = [w for w in words if w in _NAMED and not (inside and w in ("header", "masthead"))]
+    if not told or words[0] in _STATES:
+        return 0
+    return 2 if all(w in _NAMED or w in _PLACES or not w for w in words) else 1
 
 
 class Page:
@@ -183,18 +195,38 @@ class Page:
                     contents.append(len(stack))
                 stack.append(me)
 
+    def sizes(self) -> tuple[list[int], list[int]]:
+        """For each element the words in it, and those of them in links."""
+        linked = [False]
+        for name, up in zip(self.names[1:], self.parents[1:], strict=True):
+            linked.append(name == "a" or linked[up])
+        size, links = list(self.words), [w if own else 0 for w, own in zip(self.words, linked, strict=True)]
+        for i in range(len(size) - 1, 0, -1):
+            size[self.parents[i]] += size[i]
+            links[self.parents[i]] += links[i]
+        return size, links
+
     def boxes(self, weights: dict) -> tuple[list[bool], list[bool]]:
         """For each element whether it is a box, and whether one that nothing could make a wrapper.
 
         A header inside the content is the content's own.
         """
-        box, hard = [False], [False]
-        for name, up, attributes in zip(self.names[1:], self.parents[1:], self.attributes[1:], strict=True):
+        box, hard, root = [False], [False], [0]
+        size, links = self.sizes()
+        for i, (name, up, attributes) in enumerate(zip(self.names[1:], self.parents[1:], self.attributes[1:], strict=True), 1):
+            root.append(root[up] or (i if name in _CONTENT else 0))  # the outermost content around it
+            inside = self.content[up]
             own = name in _OUTSIDE and not (name == "header" and self.content[up])
             hard.append(own and name not in _AROUND)
             if not own and attributes and name not in ("html", "body"):
                 if name not in _CONTENT:
-                    own = any(weights[k] < 0 if (k := ("name", n)) in weights else _names_box(n) for n in names(attributes))
+                    told = [(2 if weights[k] < 0 else 0) if (k := ("name", n)) in weights else _names_box(n, inside) for n in names(attributes)]
+                    kind = max(told, default=0)
+                    own = kind > 0
+                    if inside and kind == 1:
+                        own = links[i] >= LINKED * size[i]
+                    elif inside and kind == 2:
+                        own = 2 * size[i] <= size[root[up]]
                 own = own or bool(HIDDEN.search(attributes))
             box.append(own)
         return box, hard
@@ -242,6 +274,27 @@ class Page:
         return out
 
 
+    def left_out(self, weights: dict) -> list[int]:
+        """For each element a number other than 0 if its words are none of the text."""
+        inner = self.shunned(self.wrapped(*self.boxes(weights)))
+        free = [0 if i else w for w, i in zip(self.words, inner, strict=True)]
+        size = list(free)
+        for i in range(len(size) - 1, 0, -1):
+            size[self.parents[i]] += size[i]
+        marked = [i for i, n in enumerate(self.names) if n in _CONTENT and not inner[i]]
+        chosen = max(marked, key=lambda i: (size[i], -i), default=0)
+        # From the largest inward, as long as one element holds most of what is left.
+        for i in marked:
+            if chosen in self.around(i)[1:] and 2 * size[i] > size[chosen]:
+                chosen = i
+        if not chosen or size[chosen] < MARKED * size[0]:
+            return inner
+        within = [False] * len(inner)
+        for i in range(1, len(inner)):
+            within[i] = i == chosen or within[self.parents[i]]
+        return [x if own else x or -1 for x, own in zip(inner, within, strict=True)]
+
+
 def count(html: str, counts: dict) -> None:
     """Add a labelled page's words, tags and names, inside and outside of its content."""
     page = Page(html)
@@ -304,7 +357,7 @@ def extract(html: str | None, weights: dict) -> str:
     if not html:
         return ""
     page = Page(html)
-    inner = page.shunned(page.wrapped(*page.boxes(weights)))
+    inner = page.left_out(weights)
     tag, word = weights["tag", None], weights["word", None]
     scores = []
     for name, at, text in page.events:
