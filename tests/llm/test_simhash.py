@@ -236,6 +236,6 @@ def test_links_of_a_ball_are_in_proportion_to_its_members():
     centre = rng.integers(0, 2**63, dtype=np.uint64)
     flips = np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (3000, 5), dtype=np.uint64), axis=1)
     points = np.unique(np.concatenate([centre ^ flips, rng.integers(0, 2**63, 200, dtype=np.uint64)]))
-    a, b = simhash.candidate_links(points, 16, few=8)
-    assert len(points) - 200 - 10 < len(a) <= 8 * len(points)
+    a, b = simhash.candidate_links(points, 16)
+    assert len(points) - 200 - 10 < len(a) < len(points)
     assert (np.bitwise_count(a ^ b) <= 16).all()

@@ -20,8 +20,9 @@ components come from rounds of neighbour minimum and pointer jumping over staged
 have a Jaccard similarity of about 0.8 or more. Their fingerprints differ in up to 16 bits, for which
 no few masks are exact; so every text has a fingerprint of 1,024 bits as well. Texts meet in the
 balls of 48 of its stretches of 16 bits, where trees find those whose 64 bits are near enough, and
-the 1,024 bits decide. A fingerprint with many neighbours in a ball is linked to each and they leave the ball's
-tree, so links stay in proportion to members.
+the 1,024 bits decide. What is found leaves the ball's tree, so a ball has fewer links than members; a
+text that another one takes out of a ball meets the rest in other balls. Groups of near copies shrink
+first, by the links within 3 bits: of those only texts that are linked to no smaller one go on.
 
 Defined results: a null text has no words, as an empty one; texts without words have
 fingerprint zero, linked like any other. Repeated rows and equal texts share a fingerprint.
@@ -47,9 +48,9 @@ SEED = 42
 #: Fingerprints of a ball from which it is divided again; balls that agree in all bits but these aren't.
 MOST_IN_BALL, FREE_BITS = 4096, 11
 #: The rule of `one_of_similar`: words of a shingle, similarity; words of 64 bits of a wide fingerprint,
-#: its stretches of 16 bits that make balls, the radius in a ball, and neighbours from which pairs are a star.
+#: its stretches of 16 bits that make balls, and the radius in a ball.
 STAGE_SHINGLE, SIMILARITY = 5, 0.8
-WIDE_WORDS, STRETCHES, WIDE_RADIUS, FEW = 16, 48, 16, 32
+WIDE_WORDS, STRETCHES, WIDE_RADIUS = 16, 48, 16
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -336,19 +337,16 @@ def most_bits(similarity: float, bits: int) -> int:
     return int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
 
 
-def candidate_links(fps: np.ndarray, radius: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the radius in a ball; what has more than `few` neighbours takes them out with it."""
+def candidate_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a ball from the first of its fingerprints to those within the radius, which leave, and so on."""
     left, right = [], []
     tree = VantageTree(fps)
     for i in range(len(fps)):
         if tree.alive[i]:
             tree.remove([i])
-            near = tree.near(fps[i], radius)
-            if len(near):
-                left.append(np.repeat(fps[i], len(near)))
-                right.append(fps[near])
-                if len(near) > few:
-                    tree.remove(near)
+            near = tree.take(fps[i], radius)
+            left.append(np.repeat(fps[i], len(near)))
+            right.append(fps[near])
     return np.concatenate(left or [np.empty(0, np.uint64)]), np.concatenate(right or [np.empty(0, np.uint64)])
 
 
@@ -360,16 +358,9 @@ def _candidates(keys: list[np.ndarray], fps: np.ndarray, radius: int) -> tuple[n
     return np.concatenate([np.empty(0, np.uint64), *(a for a, _ in found)]), np.concatenate([np.empty(0, np.uint64), *(b for _, b in found)])
 
 
-def similar_links(unique: DataFrame, similarity: float = SIMILARITY, stretches: int = STRETCHES, radius: int = WIDE_RADIUS, words: int = WIDE_WORDS) -> DataFrame:
-    """Links (a, b) between fingerprints (fp, wide) whose wide ones differ in `most_bits` at most."""
-    each = F.array(*[F.xxhash64(F.lit(i), F.substring("wide", 2 * i + 1, 2)) for i in range(stretches)])
-    asked = unique.select("fp", F.explode(each).alias("ball"))
-    # In another order in each ball, so that the first of many neighbours isn't always the same.
-    dealt = asked.repartition("ball").sortWithinPartitions("ball", F.xxhash64("fp", "ball"), "fp")
-    met = dealt.mapInArrow(lambda batches: _in_balls(batches, ["ball"], lambda keys, fps: _candidates(keys, fps, radius)), "a long, b long")
-    met = staged(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-    most = most_bits(similarity, 64 * words)
-    pairs = met.join(unique.select(F.col("fp").alias("a"), F.col("wide").alias("wa")), "a").join(unique.select(F.col("fp").alias("b"), F.col("wide").alias("wb")), "b")
+def _alike(links: DataFrame, unique: DataFrame, most: int, words: int) -> DataFrame:
+    """The links whose wide fingerprints differ in `most` bits at most."""
+    pairs = links.join(unique.select(F.col("fp").alias("a"), F.col("wide").alias("wa")), "a").join(unique.select(F.col("fp").alias("b"), F.col("wide").alias("wb")), "b")
 
     def near(batches):
         for batch in batches:
@@ -379,6 +370,21 @@ def similar_links(unique: DataFrame, similarity: float = SIMILARITY, stretches:
     return pairs.mapInArrow(near, "a long, b long")
 
 
+def similar_links(unique: DataFrame, similarity: float = SIMILARITY, stretches: int = STRETCHES, radius: int = WIDE_RADIUS, words: int = WIDE_WORDS) -> DataFrame:
+    """Links (a, b) between fingerprints (fp, wide) whose wide ones differ in `most_bits` at most."""
+    most = most_bits(similarity, 64 * words)
+    ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    close = staged(_alike(staged(near_links(unique.select("fp")).select(*ends).distinct(), "close"), unique, most, words), "close")
+    # What is linked to a smaller one is in that one's group already.
+    firsts = unique.join(close.select(F.col("b").alias("fp")).distinct(), "fp", "left_anti")
+    each = F.array(*[F.xxhash64(F.lit(i), F.substring("wide", 2 * i + 1, 2)) for i in range(stretches)])
+    asked = firsts.select("fp", F.explode(each).alias("ball"))
+    dealt = asked.repartition("ball").sortWithinPartitions("ball", F.xxhash64("fp"), "fp")
+    met = dealt.mapInArrow(lambda batches: _in_balls(batches, ["ball"], lambda keys, fps: _candidates(keys, fps, radius)), "a long, b long")
+    met = staged(met.select(*ends).distinct(), "met")
+    return close.union(_alike(met, unique, most, words))
+
+
 def _similar_groups(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The rows of `docs` (doc_id, text, others) without texts, with fp and root, a group's own fingerprint."""
 
