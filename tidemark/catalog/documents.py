@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.catalog.base import query, table
 from tidemark.functions import text as tx
 from tidemark.functions import vector as vec
 from tidemark.operators import documents as docs_ops
+from tidemark.operators import embed
 from tidemark.operators import search as s
+from tidemark.operators.segments import SegmentedIndex
+from tidemark.plans.components import shared_folder
+from tidemark.plans.state import VersionedTable
 
 QUERY = "the hander, thing"
 DOCS = "docs AS (SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS doc_key, source AS channel, left(text, 40) AS title, lang AS description, text AS content FROM documents)"
@@ -53,6 +60,43 @@ def index_terms(spark, sf_dir):
     return _index(spark, sf_dir).groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n"))
 
 
+_FINAL = "texts AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lower(left(text, 200)) || ' hander hander' ELSE text END AS text FROM documents WHERE doc_id % 7 != 0)"
+
+
+@query(f"WITH {_FINAL}, {_BM25.replace('FROM documents', 'FROM texts')} SELECT CAST(doc_id AS VARCHAR) AS id, round(bm25, 6) AS score FROM sc ORDER BY bm25 DESC, CAST(doc_id AS VARCHAR) LIMIT 20")
+def segmented_search(spark, sf_dir):
+    """All documents go into an index, a third of them change, a seventh are deleted, a merge in between."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = SegmentedIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", parts=8, buckets=4, stem=False)
+    index.update(docs)
+    index.update(docs.where("id % 3 = 0").withColumn("text", F.expr("lower(left(text, 200)) || ' hander hander'")))
+    index.merge()
+    index.update(docs.where("id % 7 = 0").withColumn("text", F.lit(None).cast("string")))
+    return index.search("hander thing reedin elleque").select("id", F.round("bm25", 6).alias("score"))
+
+
+class LetterEmbedder:
+    """How a text's characters fall into eight classes: a model that needs none."""
+
+    model = "letters-8"
+
+    def embed(self, texts):
+        return [[sum(ord(c) % 8 == k for c in t) / len(t) for k in range(8)] for t in texts]
+
+
+@query("SELECT 'customer' AS target_type, CAST(c_custkey AS VARCHAR) AS target_id, sha256(t) AS hash, 8 AS dimension, CAST(round(1000000 * len(list_filter(string_split(t, ''), lambda c: ord(c) % 8 = 1)) / length(t)) AS BIGINT) AS second, CAST(0 AS BIGINT) AS left_over FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN upper(c_name) ELSE c_name END AS t FROM customer)")
+def embedded_texts(spark, sf_dir):
+    """Names of customers are embedded, a fourth of them change and are embedded again; nothing is left then."""
+    names = table(spark, sf_dir, "customer").selectExpr("'customer' AS target_type", "cast(c_custkey as string) AS target_id", "c_name AS text", "c_custkey % 4 = 0 AS changes")
+    kept = VersionedTable(spark, f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}", schemas.EMBEDDINGS, schemas.KEYS["embeddings"], buckets=4)
+    embed.embed_stale(names.drop("changes"), kept, LetterEmbedder(), batch_rows=32)
+    new = names.withColumn("text", F.when(F.col("changes"), F.upper("text")).otherwise(F.col("text"))).drop("changes")
+    embed.embed_stale(new, kept, LetterEmbedder(), batch_rows=32)
+    left = embed.stale(new, kept.read(), LetterEmbedder.model).agg(F.count("*").alias("left_over"))
+    out = kept.read().select("target_type", "target_id", F.col("source_text_hash").alias("hash"), "dimension", F.round(1000000 * F.col("embedding")[1]).cast("long").alias("second"))
+    return out.join(F.broadcast(left))  # one row
+
+
 VECTORS = "vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), q AS (SELECT e AS qe FROM vecs WHERE vec_id = 0)"
 
 

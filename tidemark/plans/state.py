@@ -86,6 +86,10 @@ def replace_for(state: DataFrame, delta: DataFrame, owner: list[str], scope: Col
 _DIGITS = 20
 
 
+#: A version's notes, from the last ones and the touched rows before and after.
+Notes = Callable[[dict, DataFrame, DataFrame], dict]
+
+
 class VersionedTable:
     """A table in `buckets` by `key` (one bucket without a key) with numbered versions.
 
@@ -115,7 +119,7 @@ class VersionedTable:
 
     def _manifest(self, version: int | None) -> dict:
         if version is None:
-            return {"buckets": {}, "batches": {}}
+            return {"buckets": {}, "batches": {}, "notes": {}}
         return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/versions/{version:0{_DIGITS}d}.json").collect()))
 
     def _publish(self, version: int, manifest: dict) -> bool:
@@ -163,6 +167,10 @@ class VersionedTable:
         """The rows of the newest version, or of an earlier one that is still kept."""
         return self._rows(self._manifest(self.version() if version is None else version))
 
+    def notes(self) -> dict:
+        """What the newest version says of itself."""
+        return self._manifest(self.version())["notes"]
+
     def _written(self, rows: DataFrame) -> tuple[str, list[int]]:
         """A fresh folder with the rows by bucket, and the buckets that have any."""
         folder = f"data/{int(time.time() * 1000):013d}-{uuid.uuid4().hex}"
@@ -171,10 +179,11 @@ class VersionedTable:
         found = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.path}/{folder}"))]
         return folder, sorted(int(n.removeprefix("bucket=")) for n in found if n.startswith("bucket="))
 
-    def _change(self, delta: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], batch: tuple[str, int] | None, whole: bool = False) -> int | None:
+    def _change(self, delta: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], batch: tuple[str, int] | None, whole: bool = False, notes: Notes | None = None) -> int | None:
         """Publishes `merge(old rows, delta)` for the buckets that delta touches (all, if `whole`).
 
         `batch` names a writer and its batch's number; a batch that a version already holds is left out.
+        `notes` gives the version's notes from the last ones and the touched rows before and after.
         """
         # One small number for each bucket at most.
         touched = None if whole else sorted(r[0] for r in delta.select(self._bucket().alias("b")).distinct().collect())
@@ -191,8 +200,11 @@ class VersionedTable:
                 folder, filled = self._written(merge(self._rows(old, touched), delta))
                 buckets |= {str(b): folder for b in filled}
             batches = old["batches"] | ({batch[0]: batch[1]} if batch else {})
+            said = old["notes"]
+            if notes and folder:
+                said = notes(said, self._rows(old, touched), self._rows({"buckets": {str(b): folder for b in filled}}))
             version = 0 if base is None else base + 1
-            if self._publish(version, {"buckets": buckets, "batches": batches}):
+            if self._publish(version, {"buckets": buckets, "batches": batches, "notes": said}):
                 return version
             if folder:
                 self._fs.delete(self._path(f"{self.path}/{folder}"), True)
@@ -201,9 +213,9 @@ class VersionedTable:
         """Replaces all rows."""
         return self._change(df, lambda old, new: new, None, whole=True)
 
-    def upsert(self, delta: DataFrame, rules: dict[str, str] | None = None, default: str = "new", when: Column | None = None, batch: tuple[str, int] | None = None) -> int | None:
+    def upsert(self, delta: DataFrame, rules: dict[str, str] | None = None, default: str = "new", when: Column | None = None, batch: tuple[str, int] | None = None, notes: Notes | None = None) -> int | None:
         """`merge_df` by the table's key; delta's keys must be unique."""
-        return self._change(delta, lambda old, new: merge_df(old, new, self.key, rules, default, when), batch)
+        return self._change(delta, lambda old, new: merge_df(old, new, self.key, rules, default, when), batch, notes=notes)
 
     def insert(self, delta: DataFrame, batch: tuple[str, int] | None = None) -> int | None:
         """`insert_new` by the table's key."""
