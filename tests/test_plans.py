@@ -227,3 +227,22 @@ def test_best_vectors_over_a_grid(spark, query_block, item_block):
         assert sorted(s for _, s in own) == scores and set(own) <= every
     plan = grid.cosine_pairs(q, i, 0.6, 5, query_block, item_block)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapCoGroupsInArrow") == 1 and "Union" not in plan
+
+
+def test_names_in_names_by_their_rarest_piece(spark):
+    rng = random.Random(3)
+    names = {"".join(rng.choices("ab", k=rng.randint(3, 14))) for _ in range(120)} | {"éé", "ééa", "ééab", "aéé", "漢字", "漢字a", "日本語", "日本語ab", "x漢字y"}
+    df = spark.createDataFrame([(n,) for n in sorted(names)] * 2, "name string")
+    size = lambda n: len(n.encode())
+    want = {(a, b) for a in names for b in names if a != b and a in b and size(a) >= 4 and size(a) / size(b) > 0.5}
+    got = [tuple(r) for r in ident.name_links(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # What the pairs of persons say is what the classes say, expanded.
+    persons = spark.createDataFrame([(f"p{i}", n, None if i % 3 else n + "a") for i, n in enumerate(sorted(names))] + [("q", "ab" * 3, None)], "person_id string, canonical_name string, display_name string")
+    pairs = {tuple(r) for r in ident.name_similarity(persons).select("p1", "p2").collect()}
+    classes = ident.name_classes(persons).collect()
+    by = {}
+    for r in classes:
+        by.setdefault(r.name, set()).add(r.person_id)
+    expanded = {tuple(sorted((a, b))) for m in by.values() for a in m for b in m if a < b} | {tuple(sorted((a, b))) for s, t in ((r.short, r.long) for r in ident.name_links(spark.createDataFrame([(n,) for n in by], "name string")).collect()) for a in by[s] for b in by[t] if a != b}
+    assert expanded == pairs and all(r.members == len(by[r.name]) for r in classes)

@@ -127,6 +127,21 @@ def name_similarity(spark, sf_dir):
     return ident.name_similarity(_named(spark, sf_dir))
 
 
+@query(f"WITH {_NAMES}, n AS (SELECT DISTINCT person_id, name FROM (SELECT person_id, {_FORM.format(c='canonical_name')} AS name FROM persons UNION ALL SELECT person_id, {_FORM.format(c='display_name')} FROM persons WHERE display_name IS NOT NULL) WHERE length(name) >= 3), d AS (SELECT name, COUNT(*) AS members FROM n GROUP BY name), l AS (SELECT a.name AS short, b.name AS long FROM d a JOIN d b ON a.name != b.name AND contains(b.name, a.name) AND length(a.name) >= 4 AND CAST(length(a.name) AS DOUBLE) / length(b.name) > 0.5), c AS (SELECT name, COUNT(*) AS links FROM (SELECT short AS name FROM l UNION ALL SELECT long FROM l) GROUP BY name) SELECT person_id, n.name, members, COALESCE(links, 0) AS links FROM n JOIN d ON d.name = n.name LEFT JOIN c ON c.name = n.name")
+def name_classes(spark, sf_dir):
+    return ident.name_classes(_named(spark, sf_dir))
+
+
+@query(f"WITH {FACTS}, d AS (SELECT DISTINCT person_id, split_part(lower(fact_value), '@', 2) AS domain FROM facts WHERE fact_type = 'email_personal'), n AS (SELECT domain, COUNT(*) AS members FROM d GROUP BY domain HAVING COUNT(*) > 1) SELECT person_id, domain, members FROM d JOIN n USING (domain)")
+def domain_members(spark, sf_dir):
+    return ident.domain_members(facts(spark, sf_dir).where("fact_type = 'email_personal'").selectExpr("person_id", "fact_value AS email"))
+
+
+@query(f"WITH {FACTS}, nb AS (SELECT DISTINCT n.person_id, 'name_birthdate' AS kind, n.fact_value || '|' || b.fact_value AS k FROM facts n JOIN facts b USING (person_id) WHERE n.fact_type = 'full_legal_name' AND b.fact_type = 'birthdate'), nec AS (SELECT DISTINCT n.person_id, 'name_employer_city' AS kind, n.fact_type || '|' || n.fact_value || '|' || e.fact_value || '|' || l.fact_value AS k FROM facts n JOIN facts e USING (person_id) JOIN facts l USING (person_id) WHERE n.fact_type IN ('full_legal_name', 'given_name') AND e.fact_type = 'employer_current' AND l.fact_type = 'location_current'), every AS (SELECT * FROM nb UNION ALL SELECT * FROM nec) SELECT DISTINCT person_id, kind AS compound_type, class_id, members FROM every JOIN (SELECT kind, k, MIN(person_id) AS class_id, COUNT(DISTINCT person_id) AS members FROM every GROUP BY kind, k HAVING COUNT(DISTINCT person_id) > 1) USING (kind, k)")
+def compound_members(spark, sf_dir):
+    return ident.compound_members(facts(spark, sf_dir))
+
+
 @query(f"WITH {FACTS}, d AS (SELECT DISTINCT person_id, split_part(lower(fact_value), '@', 2) AS domain FROM facts WHERE fact_type = 'email_personal') SELECT a.person_id AS p1, b.person_id AS p2, MIN(a.domain) AS domain, CAST(0.5 AS DOUBLE) AS confidence FROM d a JOIN d b ON a.domain = b.domain AND a.person_id < b.person_id GROUP BY a.person_id, b.person_id")
 def shared_domain(spark, sf_dir):
     emails = facts(spark, sf_dir).where("fact_type = 'email_personal'").selectExpr("person_id", "fact_value AS email")

@@ -395,22 +395,72 @@ def name_similarity(persons: DataFrame) -> DataFrame:
     """(p1, p2, match, confidence): equal names 0.8; one inside the other 0.6, if the shorter is
     over half of the longer and 4 bytes or more.
 
-    Containment is found without comparing all names: if a name holds another of over half its
-    length, the shorter's first four characters begin at one of the longer's positions up to
-    half of it; names join by four characters and the place is checked.
+    Containment comes from `name_links`, without comparing all names.
     """
-    names = _candidate_names(persons)
+    names = written(_candidate_names(persons))
     a, b = names.withColumnsRenamed({"person_id": "p1", "name": "n1"}), names.withColumnsRenamed({"person_id": "p2", "name": "n2"})
     equal = a.join(b, a.n1 == b.n2).where("p1 < p2").select("p1", "p2", F.lit("exact").alias("match"), F.lit(0.8).alias("confidence"))
-    long = names.where(F.length("name") >= 5).select(F.col("person_id").alias("pl"), F.col("name").alias("nl"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name") - 3))).alias("at"))
-    long = long.withColumn("gram", F.substring("nl", F.col("at"), F.lit(4))).select("pl", "nl", "gram").distinct()
-    short = names.where(F.octet_length("name") >= 4).select(F.col("person_id").alias("ps"), F.col("name").alias("ns"), F.substring("name", 1, 4).alias("gram"))
-    inside = long.join(short, "gram").where((F.col("pl") != F.col("ps")) & (F.col("nl") != F.col("ns")) & F.contains("nl", F.col("ns")) & (F.octet_length("ns") / F.octet_length("nl") > 0.5))
+    links = name_links(names)
+    inside = links.join(names.withColumnsRenamed({"person_id": "ps", "name": "short"}), "short").join(names.withColumnsRenamed({"person_id": "pl", "name": "long"}), "long").where("ps != pl")
     part = inside.select(F.least("pl", "ps").alias("p1"), F.greatest("pl", "ps").alias("p2"), F.lit("substring").alias("match"), F.lit(0.6).alias("confidence"))
     every = equal.unionByName(part)
     return every.groupBy("p1", "p2").agg(F.min("match").alias("match"), F.max("confidence").alias("confidence"))
 
 
+GRAM = 4
+
+
+def name_links(names: DataFrame) -> DataFrame:
+    """(short, long) of different names (name) of which one holds the other, as in `name_similarity`.
+
+    A name that holds another holds all of its four-letter pieces, so the shorter one looks under its
+    rarest piece only, by how many names have it: what is looked through are few names, however
+    often most pieces occur. A name stands for all persons that bear it, so rows grow with names.
+    """
+    names = names.select("name").distinct().where(F.octet_length("name") >= 4)
+    pieces = names.where(F.length("name") >= GRAM).select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - GRAM + 1), lambda i: F.substring("name", i, F.lit(GRAM))))).alias("gram"))
+    pieces = written(pieces)
+    often = pieces.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = pieces.join(often, "gram").groupBy("name").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    found = rarest.select(F.col("name").alias("short"), "gram").join(pieces.withColumnRenamed("name", "long"), "gram")
+    # Names of four bytes and fewer letters have no piece; one that holds them has at most twice their bytes.
+    tiny = names.where(F.length("name") < GRAM).select(F.col("name").alias("short"))
+    ends = names.where(F.octet_length("name") < 4 * GRAM).select(F.col("name").alias("long"), F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM - 1), F.length("name") - i + 1)), lambda n: F.substring("name", i, n))))).alias("short"))
+    every = found.select("short", "long").unionByName(ends.join(tiny, "short", "left_semi").select("short", "long").distinct())
+    return every.where((F.col("short") != F.col("long")) & F.contains("long", "short") & (F.octet_length("short") / F.octet_length("long") > 0.5)).distinct()
+
+
+def name_classes(persons: DataFrame) -> DataFrame:
+    """(person_id, name, members, links) of every comparable name of a person: how many persons bear
+    it, and how many other names hold it or are held by it. The names are the classes; `name_links` links them."""
+    names = written(_candidate_names(persons))
+    links = name_links(names)
+    counts = links.select(F.col("short").alias("name")).unionByName(links.select(F.col("long").alias("name"))).groupBy("name").agg(F.count("*").alias("links"))
+    sizes = names.groupBy("name").agg(F.count("*").alias("members")).join(counts, "name", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    return names.join(sizes, "name").select("person_id", "name", "members", "links")
+
+
+def domain_members(emails: DataFrame) -> DataFrame:
+    """(person_id, domain, members): `shared_domain` as groups, a row for each person of a private domain that two share."""
+    parts = F.split(F.lower("email"), "@")
+    own = emails.where(F.size(parts) == 2).select("person_id", parts[1].alias("domain")).where(~F.col("domain").isin(fid.PUBLIC_DOMAINS)).distinct()
+    return own.join(own.groupBy("domain").agg(F.count("*").alias("members")).where("members > 1"), "domain").select("person_id", "domain", "members")
+
+
+def compound_members(facts: DataFrame) -> DataFrame:
+    """(person_id, compound_type, class_id, members): `compound_matches` as groups of persons that share
+    a whole combination; class_id is the group's smallest person."""
+
+    def groups(combination: DataFrame, on: list[str], kind: str) -> DataFrame:
+        sizes = combination.groupBy(*on).agg(F.countDistinct("person_id").alias("members"), F.min("person_id").alias("class_id")).where("members > 1")
+        return combination.join(sizes, on).select("person_id", F.lit(kind).alias("compound_type"), "class_id", "members").distinct()
+
+    name, birth = _by_type(facts, ["full_legal_name"], "name"), _by_type(facts, ["birthdate"], "birthdate")
+    any_name = facts.where(F.col("fact_type").isin("full_legal_name", "given_name")).select("person_id", F.col("fact_type").alias("name_type"), F.col("fact_value").alias("name")).distinct()
+    work, place = _by_type(facts, ["employer_current"], "employer"), _by_type(facts, ["location_current"], "location")
+    return groups(name.join(birth, "person_id"), ["name", "birthdate"], "name_birthdate").unionByName(groups(any_name.join(work, "person_id").join(place, "person_id"), ["name_type", "name", "employer", "location"], "name_employer_city"))
+
+
 def shared_domain(emails: DataFrame) -> DataFrame:
     """(p1, p2, domain, confidence) of persons with addresses (person_id, email) at one private domain.
 
