@@ -8,7 +8,8 @@ from tidemark.catalog.base import ALIASES, EDGES, ENTITIES, FACTS, LEDGER, PEOPL
 from tidemark.catalog.people import ALL, _labels
 from tidemark.functions import identity as fid
 from tidemark.functions import vector as vec
-from tidemark.operators import encode, episodes, facets
+from tidemark.operators import documents as docs_ops
+from tidemark.operators import encode, episodes, facets, runs
 from tidemark.operators import events as ev
 from tidemark.operators import graph as g
 from tidemark.operators import identity as ident
@@ -209,10 +210,11 @@ def _facet_episodes(spark, sf_dir):
     return table(spark, sf_dir, "events").selectExpr("event_id AS episode_id", "'mail' AS channel")
 
 
-@query("SELECT 'u' || (event_id % 30) AS person_id, 'email_work' AS fact_type, 'w' || event_id AS fact_value, 'attributed' AS category FROM events WHERE event_id % 20 = 0")
+@query("SELECT 'u' || (event_id % 30) AS person_id, CASE event_id % 4 WHEN 0 THEN 'email_work' ELSE 'ssn' END AS fact_type, CASE event_id % 4 WHEN 0 THEN 'w' ELSE 's' END || event_id AS fact_value, 'attributed' AS category FROM events WHERE event_id % 5 = 0 AND event_id % 4 < 2")
 def attributed_facts(spark, sf_dir):
+    """All facts that no person had (of the rows made above every fifth) given to one."""
     _, free = facets.facts_from_facets(spark, _facets(spark, sf_dir), _facet_episodes(spark, sf_dir), 9)
-    own = facets.attribute(free, F.col("fact_type") == "email_work", "x")
+    own = facets.attribute(free, F.col("fact_type").isin("email_work", "ssn"), "x")
     return own.select(F.expr("'u' || (source_episode_id % 30)").alias("person_id"), "fact_type", "fact_value", "category")
 
 
@@ -434,3 +436,42 @@ def episode_definitions(spark, sf_dir):
 def newest_episodes(spark, sf_dir):
     rows = episodes.rows(episodes.by_thread(ledger(spark, sf_dir), definition="q"), "q")
     return episodes.newest(rows, 30).select("thread_id", "end_time", "event_count")
+
+
+# --- histories, jobs, orphans ---
+
+
+@query(f"WITH {ENTITIES} SELECT entity_id AS source_entity_id, merged_into AS target_entity_id, 'same name' AS merge_type, 't1' AS created_at FROM entities WHERE merged_into IS NOT NULL")
+def merge_history(spark, sf_dir):
+    """What was merged into what; pairs that the mapping doesn't join leave no trace."""
+    own = entities(spark, sf_dir)
+    pairs = own.selectExpr("entity_id AS entity_a_id", "coalesce(merged_into, entity_id || 'x') AS entity_b_id", "'same name' AS reason", "cast(null as string) AS matching_facts", "0.9 AS confidence")
+    mapping = own.where("merged_into IS NOT NULL").select("entity_id", F.col("merged_into").alias("into"))
+    return g.merge_history(g.merge_events(pairs, mapping, "me", "t1")).select("source_entity_id", "target_entity_id", "merge_type", "created_at")
+
+
+@query("SELECT 'c' || c_custkey AS person_id, c_name || CASE WHEN c_custkey = 9 THEN ' [MERGED→c2]' ELSE '' END AS canonical_name FROM customer")
+def manual_merge(spark, sf_dir):
+    persons = table(spark, sf_dir, "customer").selectExpr("'c' || c_custkey AS person_id", "c_name AS canonical_name", "c_custkey = 1 AS is_me")
+    mapping = ident.manual_merge(persons, "c2", "c9")
+    return ident.merge_persons(persons, _person_links(spark, sf_dir), _person_facts(spark, sf_dir), mapping)[0].select("person_id", "canonical_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_custkey NOT IN (SELECT user_id FROM events)")
+def orphaned_customers(spark, sf_dir):
+    own = docs_ops.orphans(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", (table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), "o_custkey"), (table(spark, sf_dir, "events"), "user_id"))
+    return own.select("c_custkey")
+
+
+@query("WITH jobs AS (SELECT 'j' || o_orderkey AS job_id, o_orderstatus AS adapter, o_custkey AS started_at, 'running' AS status FROM orders UNION ALL SELECT 'last', 'F', 9999999, 'done') SELECT job_id, started_at, status FROM jobs WHERE adapter = 'F' ORDER BY started_at DESC, job_id LIMIT 20")
+def newest_jobs(spark, sf_dir):
+    """A job is started and ends; the newest of its adapter."""
+    jobs = table(spark, sf_dir, "orders").selectExpr("'j' || o_orderkey AS job_id", "o_orderstatus AS adapter", "o_custkey AS started_at", "'running' AS status")
+    begun = runs.start_job(jobs, spark.createDataFrame([("last", "F", 9999999, "running")], jobs.schema))
+    return runs.list_jobs(runs.update_job(begun, "last", status="done"), "F").select("job_id", "started_at", "status")
+
+
+@query(f"WITH {LEDGER}, m AS (SELECT *, CASE channel WHEN 'error' THEN 'removed' ELSE 'added' END AS action, event_id % 2 = 0 AS is_self, COUNT(*) FILTER (WHERE direction = 'sent') OVER (PARTITION BY thread_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ledger) SELECT event_id, CASE WHEN action = 'removed' AND is_self AND before = 0 THEN 'added' ELSE action END AS action FROM m")
+def membership_flips(spark, sf_dir):
+    own = ledger(spark, sf_dir).selectExpr("*", "CASE channel WHEN 'error' THEN 'removed' ELSE 'added' END AS action", "event_id % 2 = 0 AS is_self")
+    return episodes.membership_flip(own).select("event_id", "action")
