@@ -42,3 +42,11 @@ def test_similar_names_are_not_grouped_by_pairs(spark):
             wanted.append((p, q, "substring", 0.6))
     assert rows(got.select("p1", "p2", "match", "confidence")) == wanted
     assert not moves(got, "p1", "p2")
+
+
+def test_persons_of_a_domain_are_not_grouped_by_pairs(spark):
+    emails = [("a", "x@one.example"), ("a", "x@Two.example"), ("b", "y@one.example"), ("b", "z@two.example"), ("c", "c@two.example"), ("d", "d@two.example"), ("e", "e@gmail.com"), ("f", "f@gmail.com"), ("g", "odd"), (None, "n@two.example")]
+    got = ident.shared_domain(spark.createDataFrame(emails, "person_id string, email string"))
+    both = [(p, q, "two.example", 0.5) for p, q in itertools.combinations("abcd", 2)]
+    assert rows(got.select("p1", "p2", "domain", "confidence")) == [("a", "b", "one.example", 0.5), *both[1:]]
+    assert not moves(got, "p1", "p2")
