@@ -3,6 +3,7 @@
 import itertools
 import re
 
+from tidemark.operators import graph
 from tidemark.operators import identity as ident
 from tidemark.plans.classes import expanded
 
@@ -50,3 +51,62 @@ def test_persons_of_a_domain_are_not_grouped_by_pairs(spark):
     both = [(p, q, "two.example", 0.5) for p, q in itertools.combinations("abcd", 2)]
     assert rows(got.select("p1", "p2", "domain", "confidence")) == [("a", "b", "one.example", 0.5), *both[1:]]
     assert not moves(got, "p1", "p2")
+
+
+def _graph(spark):
+    n = 40
+    ents = spark.createDataFrame([(f"e{i:02}", f"n{i}", None if i % 13 else "e01") for i in range(n)], "entity_id string, canonical_name string, merged_into string")
+    al = [(f"e{i:02}", f"m{i % 3}", "email", f"m{i % 3}", i == 5) for i in range(n) if i % 4] + [(f"e{i:02}", f"p{i % 7}", "phone", f"p{i % 7}", None) for i in range(n) if i % 3] + [(f"e{i:02}", f"q{i % 5}", "phone", f"q{i % 5}", False) for i in range(n) if i % 2] + [(f"e{i:02}", "x", "name", f"x{i % 2}", False) for i in range(n)]
+    rel = [(f"r{i}-{j}", f"e{i:02}", None, f"D{(i * j) % 4}", "BORN_ON", None, f"t{j}") for i in range(n) for j in (1, 3)] + [(f"w{i}", f"e{i:02}", f"s{i % 5}", None, "WORKS_AT", "gone" if i == 7 else None, "t") for i in range(n)]
+    return ents, spark.createDataFrame(al, "entity_id string, alias string, alias_type string, normalized string, is_shared boolean"), spark.createDataFrame(rel, "relationship_id string, source_entity_id string, target_entity_id string, target_literal string, relation_type string, invalid_at string, created_at string")
+
+
+def _brute(ents, al, rel):
+    alive = sorted(e.entity_id for e in ents.collect() if e.merged_into is None)
+    al, rel = al.collect(), rel.collect()
+    keys = {e: set() for e in alive}
+    for e in alive:
+        keys[e] |= {(0, f"{a.alias_type}:{a.normalized}") for a in al if a.entity_id == e and a.alias_type != "name" and not a.is_shared}
+        for kind, label, relation in ((1, "name_birthdate", "BORN_ON"), (2, "name_employer", "WORKS_AT")):
+            keys[e] |= {(kind, f"{label}:{a.normalized}/{r.target_entity_id or r.target_literal.lower()}") for a in al if a.entity_id == e and a.alias_type == "name" for r in rel if r.source_entity_id == e and r.relation_type == relation and r.invalid_at is None}
+    own = {e: {k: {a.normalized for a in al if a.entity_id == e and a.alias_type == k} for k in ("email", "phone")} for e in alive}
+    for e in alive:
+        born = [(r.created_at, r.relationship_id, r.target_literal) for r in rel if r.source_entity_id == e and r.relation_type == "BORN_ON"]
+        own[e]["birthdate"] = {max(born)[2]} if born else set()
+    out = []
+    for a, b in itertools.combinations(alive, 2):
+        both = keys[a] & keys[b]
+        if both:
+            kind = min(both)[0]
+            hard = sum(k == 0 for k, _ in both)
+            label = ((0.99, "multiple_hard_identifiers", None) if hard > 1 else (0.95, "hard_identifier", None)) if hard else ((0.90, "compound", "name_birthdate"), (0.85, "compound", "name_employer"))[kind - 1]
+            conflicts = [k for k in ("birthdate", "email", "phone") if own[a][k] and own[b][k] and not own[a][k] & own[b][k]]
+            out.append((a, b, *label, sorted(f for k, f in both if k == kind), hard, conflicts))
+    return out
+
+
+def test_entities_meet_once_under_their_first_shared_key(spark):
+    own = _graph(spark)
+    wanted = _brute(*own)
+    got = graph.entity_collisions(*own, conflicts=True)
+    assert sorted(map(tuple, got.select("entity_a_id", "entity_b_id", "confidence", "reason", "compound_type", "matching_facts", "hard_matches", "conflicts").collect()), key=lambda r: r[:2]) == wanted
+    assert not moves(got, "entity_a_id", "entity_b_id", "p1", "p2")
+    plain = graph.entity_collisions(*own)
+    assert rows(graph.merge_conflicts(plain, own[1], own[2]).select("entity_a_id", "entity_b_id", "conflicts")) == [(*w[:2], w[-1]) for w in wanted]
+    assert {r.entity_id for r in graph.colliding(*own).collect()} == {e for w in wanted for e in w[:2]}
+
+
+def test_collisions_of_one_entity_are_found_from_its_own_keys(spark):
+    own = _graph(spark)
+    every = _brute(*own)
+    for one in ("e01", "e30", "nobody"):
+        got = graph.collisions_of(*own, one)
+        assert rows(got.select("entity_a_id", "entity_b_id", "confidence", "matching_facts")) == [(*w[:3], w[5]) for w in every if one in w[:2]]
+        assert not moves(got, "entity_a_id", "entity_b_id", "p1", "p2")
+
+
+def test_candidates_are_settled_by_a_condition_without_a_join(spark):
+    own = spark.createDataFrame([("a", "b", "pending", None, None, None), ("a", "c", "pending", None, None, None)], "entity_a_id string, entity_b_id string, status string, resolved_at string, resolved_by string, resolution_reason string")
+    got = graph.settle(own, own["entity_b_id"] == "c", "deferred", "me", "later", "t")
+    assert rows(got.select("entity_b_id", "status", "resolved_at")) == [("b", "pending", None), ("c", "deferred", "t")]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
