@@ -206,7 +206,7 @@ def resolve(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def _decide(rows: list[tuple], resolved: set) -> tuple:
-    """(decision, entity_id, confidence, candidates) of one mention's (entity_id, base, alias, recent, neighbours)."""
+    """(decision, entity_id, confidence) of one mention's (entity_id, base, alias, recent, neighbours)."""
     scored = sorted((-(base + 0.2 * (0.3 * bool(resolved & near) + 0.2 * recent)), entity, alias) for entity, base, alias, recent, near in rows)
     total, entity, alias = -scored[0][0], scored[0][1], scored[0][2]
     clear = len(scored) == 1 or total + scored[1][0] >= CLEAR_GAP
@@ -216,27 +216,45 @@ def _decide(rows: list[tuple], resolved: set) -> tuple:
         decision = "exact_alias"
     else:
         decision = "clear_winner" if clear and total >= LEAST_MATCH else "ambiguous"
-    return decision, entity, total, len(scored)
+    return decision, entity, total
 
 
-def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships: DataFrame, recent: DataFrame) -> DataFrame:
+def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships: DataFrame, recent: DataFrame, by: str = "mention_id") -> DataFrame:
     """As `resolve`, but within an episode mention after mention in the order of `ref`: each sees as
     context the entities that those before it resolved to.
 
-    mentions (mention_id, episode_id, ref); recent (mention_id, entity_id). Edges between an episode's
-    candidates come together first; then a task walks the candidates in order and holds no more than
-    one mention's, and what its episode resolved to. New entities have no edges, so they are no context.
+    mentions (mention_id, episode_id, ref); recent (mention_id, entity_id). Candidates are those of a
+    mention or, with `by`, of all mentions that have the same value in that column. New entities have no
+    edges, so they are no context.
+
+    Only a candidate that is recent or has an edge to an entity resolved before gains by it, and the two
+    best come from these and the two that are best without context. So these two and the recent ones are
+    taken, then those with an edge to one taken for an earlier mention, until there are no more; a task
+    walks them in order and holds no more than one mention's, and what its episode resolved to.
     """
-    placed = mentions.select("mention_id", "episode_id", "ref")
+    placed = mentions.select("mention_id", "episode_id", "ref", F.col(by).alias("key"))
     base = F.coalesce("alias_score", F.lit(0.0)) * 0.5 + F.coalesce("embedding_score", F.lit(0.0)) * 0.3
-    own = candidates.join(placed, "mention_id").join(recent.select("mention_id", "entity_id").distinct().withColumn("recent", F.lit(True)), ["mention_id", "entity_id"], "left")
-    own = own.select("episode_id", "ref", "mention_id", "entity_id", base.alias("base"), F.coalesce("alias_score", F.lit(0.0)).alias("alias"), F.coalesce("recent", F.lit(False)).alias("recent"))
-    ends = relationships.where("target_entity_id IS NOT NULL").select(F.col("source_entity_id").alias("entity_id"), F.col("target_entity_id").alias("other"))
-    ends = ends.union(ends.select("other", "entity_id")).distinct()
-    present = own.select("episode_id", "entity_id").distinct()
-    near = present.join(ends, "entity_id").join(present.withColumnRenamed("entity_id", "other"), ["episode_id", "other"]).groupBy("episode_id", "entity_id").agg(F.collect_set("other").alias("near"))
+    own = written(candidates.select(F.col(by).alias("key"), "entity_id", base.alias("base"), F.coalesce("alias_score", F.lit(0.0)).alias("alias")))
+    counts = own.groupBy("key").agg(F.count("*").alias("n"))
+    top = own.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("base"), "entity_id"))).where("r <= 2").select("key", "entity_id")
+    lately = written(placed.join(recent.select("mention_id", "entity_id").distinct(), "mention_id").join(own.select("key", "entity_id"), ["key", "entity_id"], "left_semi").select(*placed.columns, "entity_id"))
+    ends = relationships.where("target_entity_id IS NOT NULL").select(F.col("source_entity_id").alias("other"), F.col("target_entity_id").alias("entity_id"))
+    # By the key of the far end, so that an entity with many edges meets only those that a mention may be.
+    ends = written(ends.union(ends.select("entity_id", "other")).distinct().join(own.select("key", "entity_id"), "entity_id").select("other", "key", "entity_id"))
+    seen = front = written(placed.join(top, "key").select(*placed.columns, "entity_id").union(lately).distinct())
+    links = front.select("mention_id", "entity_id", F.col("entity_id").alias("other")).limit(0)
+    while True:
+        before = front.groupBy("episode_id", F.col("entity_id").alias("other")).agg(F.min(F.struct("ref", "mention_id")).alias("at"))
+        met = written(placed.join(before, "episode_id").where(F.struct("ref", "mention_id") > F.col("at")).join(ends, ["other", "key"]).select(*placed.columns, "entity_id", "other"))
+        links = links.union(met.select("mention_id", "entity_id", "other"))
+        front = written(met.drop("other").distinct().join(seen.select("mention_id", "entity_id"), ["mention_id", "entity_id"], "left_anti").select(*seen.columns))
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+    near = links.groupBy("mention_id", "entity_id").agg(F.collect_set("other").alias("near"))
+    flagged = seen.join(lately.select("mention_id", "entity_id", F.lit(True).alias("recent")), ["mention_id", "entity_id"], "left").join(near, ["mention_id", "entity_id"], "left")
     # One row a candidate, an episode's together and in order, so a task walks them as they come.
-    rows = own.join(near, ["episode_id", "entity_id"], "left").select("episode_id", "ref", "mention_id", "entity_id", "base", "alias", "recent", "near")
+    rows = flagged.join(own, ["key", "entity_id"]).select("episode_id", "ref", "mention_id", "entity_id", "base", "alias", F.coalesce("recent", F.lit(False)).alias("recent"), "near")
     rows = rows.repartition("episode_id").sortWithinPartitions("episode_id", "ref", "mention_id")
     mention, kind = mentions.schema["mention_id"].dataType.simpleString(), candidates.schema["entity_id"].dataType.simpleString()
 
@@ -246,17 +264,17 @@ def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships:
 
         def close():
             if held:
-                decision, entity, total, n = _decide(held, resolved)
+                decision, entity, total = _decide(held, resolved)
                 if decision != "ambiguous":
                     resolved.add(entity)
-                out.append((at[2], decision, entity, total, n))
+                out.append((at[2], decision, entity, total))
 
         def flushed():
             cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["mention_id", "decision", "top", "confidence", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["mention_id", "decision", "top", "confidence"])
 
         for batch in batches:
-            types = [batch.schema.field("mention_id").type, pa.string(), batch.schema.field("entity_id").type, pa.float64(), pa.int64()]
+            types = [batch.schema.field("mention_id").type, pa.string(), batch.schema.field("entity_id").type, pa.float64()]
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != at:
                     close()
@@ -273,8 +291,8 @@ def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships:
         if out:
             yield flushed()
 
-    decided = rows.mapInArrow(in_order, f"mention_id {mention}, decision string, top {kind}, confidence double, n long")
-    found = placed.select("mention_id").join(decided, "mention_id", "left").withColumn("decision", F.coalesce("decision", F.lit("created_new")))
+    decided = rows.mapInArrow(in_order, f"mention_id {mention}, decision string, top {kind}, confidence double")
+    found = placed.join(decided, "mention_id", "left").join(counts, "key", "left").withColumn("decision", F.coalesce("decision", F.lit("created_new")))
     new = F.col("decision").isin("created_new", "ambiguous")
     return found.select("mention_id", "decision", F.when(~new, F.col("top")).alias("entity_id"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("n", F.lit(0)).alias("candidates_count"), new.alias("is_new"), F.when(F.col("decision") == "ambiguous", F.col("top")).alias("top_entity_id"))
 
