@@ -110,3 +110,14 @@ def test_candidates_are_settled_by_a_condition_without_a_join(spark):
     got = graph.settle(own, own["entity_b_id"] == "c", "deferred", "me", "later", "t")
     assert rows(got.select("entity_b_id", "status", "resolved_at")) == [("b", "pending", None), ("c", "deferred", "t")]
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_persons_of_an_event_are_added_up_where_they_meet(spark):
+    met = {(f"e{e}", f"p{p:03}") for e in range(12) for p in range(40) if (p * (e + 3)) % 11 < e} | {("full", f"p{p:03}") for p in range(40)}
+    wanted = sorted((p, q, n) for p, q in itertools.combinations(sorted({p for _, p in met}), 2) if (n := sum((e, p) in met and (e, q) in met for e, _ in {(e, 0) for e, _ in met})))
+    people = spark.createDataFrame([(e, f"c{p}") for e, p in sorted(met)] + [("e1", None), (None, "cp001")], "event_id string, contact_id string")
+    links = spark.createDataFrame([(f"cp{p:03}", f"p{p:03}") for p in range(40)] + [("cp001", "p001")], "contact_id string, person_id string")
+    for block, most in ((1000, 1000), (7, 1000), (7, 5)):
+        got = ident.co_occurrence(people, links, block, most)
+        assert rows(got.select("p1", "p2", "n")) == wanted
+    assert not moves(ident.co_occurrence(people, links), "p1", "p2")
