@@ -121,3 +121,17 @@ def test_persons_of_an_event_are_added_up_where_they_meet(spark):
         got = ident.co_occurrence(people, links, block, most)
         assert rows(got.select("p1", "p2", "n")) == wanted
     assert not moves(ident.co_occurrence(people, links), "p1", "p2")
+
+
+def test_compound_matches_are_not_grouped_by_pairs(spark):
+    facts = [(f"p{i:02}", "full_legal_name", f"N{n}") for i in range(24) for n in {i % 2, i % 3}] + [(f"p{i:02}", "birthdate", f"B{i % 4}") for i in range(24) if i % 5] + [(f"p{i:02}", t, "X") for i in range(24) for t in ("employer_current", "location_current") if i % 7]
+    own = {}
+    for p, t, v in facts:
+        own.setdefault(p, {}).setdefault(t, set()).add(v)
+    wanted = []
+    for p, q in itertools.combinations(sorted(own), 2):
+        both = {t: own[p].get(t, set()) & own[q].get(t, set()) for t in ("full_legal_name", "birthdate", "employer_current", "location_current")}
+        wanted += [(p, q, "name_birthdate", 0.90)] * bool(both["full_legal_name"] and both["birthdate"]) + [(p, q, "name_employer_city", 0.85)] * bool(both["full_legal_name"] and both["employer_current"] and both["location_current"])
+    got = ident.compound_matches(spark.createDataFrame(facts, "person_id string, fact_type string, fact_value string"))
+    assert rows(got.select("p1", "p2", "compound_type", "confidence")) == sorted(wanted)
+    assert not moves(got, "p1", "p2")
