@@ -3,6 +3,8 @@
 import itertools
 import re
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import graph
 from tidemark.operators import identity as ident
 from tidemark.plans.classes import expanded
@@ -135,3 +137,11 @@ def test_compound_matches_are_not_grouped_by_pairs(spark):
     got = ident.compound_matches(spark.createDataFrame(facts, "person_id string, fact_type string, fact_value string"))
     assert rows(got.select("p1", "p2", "compound_type", "confidence")) == sorted(wanted)
     assert not moves(got, "p1", "p2")
+
+
+def test_candidates_found_again_are_upserted_without_a_join(spark):
+    state = spark.createDataFrame([("a", "b", 0.9, None, "pending"), ("a", "c", 0.99, True, "pending"), ("b", "c", 0.9, False, "rejected"), ("b", "d", 0.9, False, "pending")], "entity_a_id string, entity_b_id string, confidence double, auto_eligible boolean, status string")
+    again = F.when(F.col("entity_b_id") != "d", F.lit(0.97))
+    got = graph.upsert_candidates(state, again)
+    by_rows = graph.upsert_candidates(state, state.where("entity_b_id != 'd'").withColumn("confidence", F.lit(0.97)).drop("auto_eligible", "status"))
+    assert rows(got) == rows(by_rows) and not moves(got, "entity_a_id", "entity_b_id")

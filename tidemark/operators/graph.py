@@ -484,8 +484,16 @@ def collisions_of(entities: DataFrame, aliases: DataFrame, relationships: DataFr
     return _collided(found.select(F.least("entity_id", one).alias("entity_a_id"), F.greatest("entity_id", one).alias("entity_b_id"), "shared", "facts1"), True)
 
 
-def upsert_candidates(state: DataFrame, found: DataFrame) -> DataFrame:
-    """A pending candidate keeps the greatest confidence; decided ones are left as they are."""
+def upsert_candidates(state: DataFrame, found: DataFrame | Column) -> DataFrame:
+    """A pending candidate keeps the greatest confidence; decided ones are left as they are.
+
+    `found` are candidates or, where all of them are in `state` already, the confidence with which each is found
+    again, null if it isn't: then no pair is moved to meet itself."""
+    if isinstance(found, Column):
+        again = (F.col("status") == "pending") & found.isNotNull()
+        best = F.when(again, F.greatest("confidence", found)).otherwise(F.col("confidence"))
+        eligible = F.coalesce("auto_eligible", F.lit(False)) | (found >= ONE_HARD)
+        return state.withColumns({"confidence": best, "auto_eligible": F.when(again, eligible).otherwise(F.col("auto_eligible"))}).select(*state.columns)
     new = found.withColumn("auto_eligible", F.col("confidence") >= ONE_HARD).withColumn("status", F.lit("pending"))
     return merge_df(state, new, ["entity_a_id", "entity_b_id"], {"confidence": "max", "auto_eligible": "or", "status": "old"}, when=F.col("old.status") == "pending")
 
