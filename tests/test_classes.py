@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import graph
 from tidemark.operators import identity as ident
-from tidemark.plans.classes import expanded
+from tidemark.plans.classes import crossed, expanded
 
 
 def moves(df, *columns):
@@ -145,3 +145,23 @@ def test_candidates_found_again_are_upserted_without_a_join(spark):
     got = graph.upsert_candidates(state, again)
     by_rows = graph.upsert_candidates(state, state.where("entity_b_id != 'd'").withColumn("confidence", F.lit(0.97)).drop("auto_eligible", "status"))
     assert rows(got) == rows(by_rows) and not moves(got, "entity_a_id", "entity_b_id")
+
+
+def test_mentions_meet_candidates_of_their_name_in_blocks(spark):
+    mentions = spark.createDataFrame([*((f"m{i}", f"n{i % 2}") for i in range(9)), ("m0", "N1 "), ("m9", None), ("m8", "x")], "mention_id string, name string")
+    ents = spark.createDataFrame([(f"e{i}", None if i else "e1") for i in range(12)], "entity_id string, merged_into string")
+    al = spark.createDataFrame([(f"e{i}", "N1 " if i % 4 == 0 else "a", "email" if i % 2 else "name", f"n{i % 3}", i == 7) for i in range(12)], "entity_id string, alias string, alias_type string, normalized string, is_shared boolean")
+    got = graph.alias_candidates(mentions, al, ents)
+    whole = graph._class_candidates(mentions, al, ents)
+    assert rows(got.select(*whole.columns)) == rows(whole) and len(rows(whole)) > 20
+    assert not moves(got, "mention_id")
+    left, right = mentions.selectExpr("name AS class", "mention_id AS l").where("class LIKE 'n%'"), spark.range(30).selectExpr("'n' || id % 3 AS class", "id AS r")
+    assert rows(crossed(left, right, 4)) == rows(left.join(right, "class").select("l", "r"))
+
+
+def test_entities_are_resolved_by_name_as_by_mention(spark):
+    mentions = spark.createDataFrame([(f"m{i}", f"n{i % 4}") for i in range(12)], "mention_id string, name string")
+    scores = [("n0", "a", 1.0, 0.3), ("n0", "b", 1.0, 0.3), ("n1", "a", 0.85, None), ("n2", "c", 0.95, 0.0), ("n2", "d", 0.5, 0.0), ("n2", "e", 0.7, 0.3)]
+    by_name = spark.createDataFrame([(n, e, a, None, c) for n, e, a, c in scores], "name string, entity_id string, alias_score double, embedding_score double, context_score double")
+    assert rows(graph.resolve(mentions, by_name, by="name")) == rows(graph.resolve(mentions, by_name.join(mentions, "name").drop("name")))
+    assert not any("Window" in line for line in graph.resolve(mentions, by_name, by="name")._jdf.queryExecution().executedPlan().toString().splitlines())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import identity as fid
 from tidemark.plans import grid
-from tidemark.plans.classes import expanded
+from tidemark.plans.classes import crossed, expanded
 from tidemark.plans.components import components, written
 from tidemark.plans.state import insert_new, merge_df
 
@@ -149,7 +149,19 @@ def valid_entities(extracted: DataFrame) -> DataFrame:
 
 
 def alias_candidates(mentions: DataFrame, aliases: DataFrame, entities: DataFrame) -> DataFrame:
-    """(mention_id, entity_id, alias_score, matched_alias, alias_type) for mentions (mention_id, name)."""
+    """(mention_id, entity_id, alias_score, matched_alias, alias_type) for mentions (mention_id, name).
+
+    Mentions with the same names are a class, which has its candidates once; mentions and candidates of a class
+    meet in blocks, so pairs of the two are neither moved nor grouped.
+    """
+    classes = written(mentions.groupBy("mention_id").agg(F.sort_array(F.collect_set("name")).alias("names")).withColumn("class", F.sha2(F.to_json("names"), 256)))
+    each = classes.groupBy("class").agg(F.first("names").alias("names")).select(F.col("class").alias("mention_id"), F.explode("names").alias("name"))
+    found = written(_class_candidates(each, aliases, entities).withColumnRenamed("mention_id", "class"))
+    return crossed(classes.where("mention_id IS NOT NULL").select("class", "mention_id"), found)
+
+
+def _class_candidates(mentions: DataFrame, aliases: DataFrame, entities: DataFrame) -> DataFrame:
+    """As `alias_candidates`, of mentions that are few."""
     own = aliases.join(_alive(entities).select("entity_id"), "entity_id", "left_semi").select("entity_id", "alias", "alias_type", "normalized", "is_shared")
     m = mentions.select("mention_id", "name", F.lower(F.trim("name")).alias("norm"))
     # Two equi-joins in place of an OR.
@@ -180,17 +192,20 @@ def context_scores(candidates: DataFrame, relationships: DataFrame, co_mentioned
     return out.withColumn("context_score", F.coalesce("__rel", F.lit(0.0)) + F.coalesce("__recent", F.lit(0.0))).drop("__rel", "__recent")
 
 
-def resolve(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
+def resolve(mentions: DataFrame, candidates: DataFrame, by: str = "mention_id") -> DataFrame:
     """A decision for every mention from its candidates' alias, embedding and context scores.
 
     (mention_id, decision, entity_id, confidence, candidates_count, is_new); entity_id is null
-    for a new entity. `top_entity_id` is whom an ambiguous one might be.
+    for a new entity. `top_entity_id` is whom an ambiguous one might be. Candidates are those of a mention or,
+    with `by`, of all mentions that have the same value in that column.
     """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     scored = candidates.withColumn("total", zero("alias_score") * 0.5 + zero("embedding_score") * 0.3 + zero("context_score") * 0.2)
-    w = Window.partitionBy("mention_id").orderBy(F.desc("total"), "entity_id")
-    every = Window.partitionBy("mention_id")
-    top = scored.withColumn("r", F.row_number().over(w)).withColumn("second", F.lead("total").over(w)).withColumn("n", F.count("*").over(every)).where("r = 1")
+    # The two best are kept as rows are added up, so no task orders all candidates of a name.
+    two = F.struct((-F.col("total")).alias("t"), "entity_id", *[c for c in scored.columns if c not in ("entity_id", by)])
+    first = scored.groupBy(by).agg(F.min(two).alias("top"), F.count("*").alias("n"))
+    rest = scored.join(first.select(by, F.col("top.entity_id").alias("__top")), by).where("entity_id != __top").groupBy(by).agg(F.max("total").alias("second"))
+    top = first.join(rest, by, "left").select(by, "top.*", "n", "second")
     gap = F.col("total") - F.col("second")
     decision = (
         F.when(F.col("n").isNull(), "created_new")
@@ -200,7 +215,7 @@ def resolve(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
         .when((F.col("n") >= 2) & (gap >= CLEAR_GAP) & (F.col("total") >= LEAST_MATCH), "clear_winner")
         .otherwise("ambiguous")
     )
-    out = mentions.select("mention_id").join(top, "mention_id", "left").withColumn("decision", decision)
+    out = mentions.select(*dict.fromkeys(("mention_id", by))).join(top, by, "left").withColumn("decision", decision)
     new = F.col("decision").isin("created_new", "ambiguous")
     return out.select("mention_id", "decision", F.when(~new, F.col("entity_id")).alias("entity_id"), F.when(F.col("decision") == "created_new", 1.0).otherwise(F.col("total")).alias("confidence"), F.coalesce("n", F.lit(0)).alias("candidates_count"), new.alias("is_new"), F.when(F.col("decision") == "ambiguous", F.col("entity_id")).alias("top_entity_id"))
 
