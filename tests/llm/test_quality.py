@@ -106,3 +106,20 @@ def test_letters_of_all_planes():
     letters = dict(zip(quality.FEATURES, quality.statistics("\U00010400\U00010428 \U00020000\U0001d400")[1], strict=True))
     assert letters["letters"] == 1 and letters["upper"] == 0.5
     assert dict(zip(quality.FEATURES, quality.statistics("\U0001f600\U0001f601")[1], strict=True))["letters"] == 0
+
+
+def test_all_labels_are_calibrated_on(spark):
+    """Over 8,192 of them: the limit is that of all scores at once."""
+    n = 9000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 50 + cast(id % 7 as int)), i -> concat('w', i * (id + 3), if(hash(id, i) % 9 = 0, 'X#', '')))) AS text")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 50 = 0, 0, 1) AS quality")
+    forest = quality.fit(docs, labels, fit_rows=200)
+    got = forest.limit
+    rows = [(r.doc_id % 50 > 0, r.anomaly) for r in quality.judge(docs, forest).where("NOT base_failed").collect()]
+    assert len(rows) == n
+    forest.scores = lambda x: x
+    forest.calibrate(np.array([s for g, s in rows if g]), np.array([s for g, s in rows if not g]))
+    assert got == forest.limit
+    scores = spark.createDataFrame([(s,) for _, s in rows] + [(0.5,)] * 300, "score double")
+    every = sorted(r.score for r in scores.collect())
+    assert all(quality._nth(scores, k, most=50) == every[k] for k in (0, 17, 4600, n + 299))
