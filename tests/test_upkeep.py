@@ -45,6 +45,24 @@ def test_search_after_changes_equals_a_rebuild(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*part#\d+", plan)
 
 
+def test_a_text_has_a_row_for_each_part(spark, tmp_path):
+    texts = {f"t{i}": " ".join(f"w{i * j % 97}" for j in range(200)) for i in range(1, 9)}
+    index = SegmentedIndex(spark, f"file://{tmp_path}/index", parts=4, buckets=2, stem=False)
+    index.update(spark.createDataFrame([*texts.items()], "id string, text string"))
+    for rows in (8, 9):
+        want = {(t, i, c.count(t), len(c)) for i, c in ((i, text.split()) for i, text in texts.items()) for t in c}
+        got = [tuple(r) for r in index.postings().collect()]
+        assert len(got) == len(want) and set(got) == want
+        # Not a row a term: what is moved and ordered grows with the texts' parts.
+        assert spark.read.parquet(f"{tmp_path}/index/segments").count() <= rows * 4
+        # Of rows that share an id the first by text counts.
+        texts["t1"] = "b c b"
+        index.update(spark.createDataFrame([("t1", "z"), ("t1", None), ("t1", "b c b")], "id string, text string"))
+    index.merge()
+    index.vacuum()
+    assert {tuple(r) for r in index.postings(["b"]).collect()} == {("b", "t1", 2, 3)}
+
+
 class Counting:
     """Lengths as vectors; every call and its texts go into a file."""
 

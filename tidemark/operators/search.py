@@ -85,6 +85,28 @@ def postings(events: DataFrame, id: str = "event_id", text: str = "content", ste
     return one.groupBy("term", id, "dl").agg(F.count("*").alias("tf")).select("term", id, "tf", "dl")
 
 
+def term_part(term: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+
+
+def term_lists(texts: DataFrame, id: str = "event_id", text: str = "content", stem: bool = True, parts: int = 64) -> DataFrame:
+    """(part, id, dl, terms, tfs): the postings of each text as lists, one for each `term_part` that it has terms of.
+
+    A text's words are put in order and counted within its row, so no row meets another one.
+    """
+    tokens = tx.index_tokens(F.col(text))
+    if stem:
+        tokens = tx.stemmed_tokens(tokens)
+    words = texts.select(id, F.sort_array(tokens).alias("w")).where(F.size("w") > 0).withColumn("dl", F.size("w"))
+    first = F.transform("w", lambda t, i: F.when((i == 0) | (t != F.get("w", i - 1)), F.struct(t.alias("term"), i.alias("at"))))
+    runs = words.select(id, "dl", F.filter(first, lambda x: x.isNotNull()).alias("r"))
+    counted = F.transform("r", lambda x, i: F.struct(term_part(x["term"], parts).alias("part"), x["term"].alias("term"), (F.coalesce(F.get("r", i + 1)["at"], "dl") - x["at"]).alias("tf")))
+    ordered = runs.select(id, "dl", F.sort_array(counted).alias("c"))
+    heads = F.filter(F.transform("c", lambda x, i: F.when((i == 0) | (x["part"] != F.get("c", i - 1)["part"]), i)), lambda i: i.isNotNull())
+    cut = ordered.select(id, "dl", "c", heads.alias("h")).select(id, "dl", F.explode(F.transform("h", lambda a, i: F.slice("c", a + 1, F.coalesce(F.get("h", i + 1), F.size("c")) - a))).alias("l"))
+    return cut.select(F.get("l", F.lit(0))["part"].alias("part"), id, F.col("dl").cast("long").alias("dl"), F.col("l.term").alias("terms"), F.col("l.tf").alias("tfs"))
+
+
 def corpus_stats(postings_: DataFrame, id: str = "event_id") -> DataFrame:
     """(n_docs, avgdl), one row. A text's length is the sum of its term counts."""
     lengths = postings_.groupBy(id).agg(F.first("dl").alias("dl"))
