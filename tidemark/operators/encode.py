@@ -77,9 +77,13 @@ def episode_texts(members: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def with_originals(events: DataFrame, ledger: DataFrame) -> DataFrame:
-    """`events` with `original`, the content of the event each replies to: a left self-join."""
+    """`events` with `original`, the content of the event each replies to: a left self-join.
+
+    Those that reply to nothing, mostly all, don't take part: they would come to one task.
+    """
     source = ledger.select(F.col("event_id").alias("__id"), F.col("content").alias("original"))
-    return events.join(source, F.col("reply_to") == F.col("__id"), "left").drop("__id")
+    replies = events.where("reply_to IS NOT NULL").join(source, F.col("reply_to") == F.col("__id"), "left").drop("__id")
+    return replies.unionByName(events.where("reply_to IS NULL").withColumn("original", F.lit(None).cast(source.schema["original"].dataType)))
 
 
 def turn_quality_lines(events: DataFrame) -> DataFrame:
