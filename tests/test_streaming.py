@@ -75,6 +75,11 @@ def test_any_order_within_the_delay_gives_the_batch_episodes(spark, rocks, tmp_p
     assert got == sorted((r.thread_id, r.first_event_id, r.start_time, r.end_time, r.event_count) for r in want)
 
 
+def test_live_episodes_need_no_store_of_their_own(spark, tmp_path):
+    batches = [[event(2, 50), event(1, 50), event(3, 150, "u"), (None, 40, "c", "t", "sent", "a", "0")], [event(4, 151), event(5, 150), event(6, None), event(7, 60, None)], [event(8, 9_000, "end")]]
+    assert closed_after(spark, tmp_path, batches, 100, "10 minutes") == [("t", None, 40, 151, 5), ("u", "e3", 150, 150, 1)]
+
+
 def test_stores_are_read_once_across_restarts(spark, tmp_path):
     (tmp_path / "stores").mkdir()
 

@@ -9,10 +9,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.plans.state import VersionedTable, latest
 from tidemark.schemas import EVENTS
@@ -53,76 +51,31 @@ def append_sink(table: VersionedTable, stream: str = "stream") -> Callable[[Data
     return write
 
 
-def session_windows(stream: DataFrame, gap_seconds: int, key: str = "thread_id", delay: str = "1 hour") -> DataFrame:
-    """Time-gap episodes as session windows: (key, start_time, end_time, event_count).
+def _session(gap_seconds: int):
+    """Windows that are parted by more than a gap. Times are whole seconds, so half a second more leaves no doubt of windows that touch."""
+    return F.session_window("event_time", f"{gap_seconds * 1000 + 500} milliseconds").alias("w")
 
-    A session window splits at its own gap, an episode strictly after it; times are whole
-    seconds, so a gap of one more second gives the rule.
-    """
+
+def session_windows(stream: DataFrame, gap_seconds: int, key: str = "thread_id", delay: str = "1 hour") -> DataFrame:
+    """Time-gap episodes as session windows: (key, start_time, end_time, event_count)."""
     timed = stream.where(F.col(key).isNotNull()).withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
-    grouped = timed.groupBy(key, F.session_window("event_time", f"{gap_seconds + 1} seconds").alias("w"))
+    grouped = timed.groupBy(key, _session(gap_seconds))
     return grouped.agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count("*").alias("event_count")).drop("w")
 
 
-_INTERVAL = "start_time long, first_event_id string, end_time long, event_count long"
-
-
-class _OpenEpisodes(StatefulProcessor):
-    """The open episodes of a thread: intervals that rows widen, join or begin, whenever they come.
-
-    One is closed when the watermark has passed its end by the gap, as no row still to come can
-    touch it then."""
-
-    def __init__(self, key: str, gap_seconds: int):
-        self.key, self.gap = key, gap_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.open = handle, handle.getListState("open", _INTERVAL)
-
-    def handleInputRows(self, key, rows, timerValues):
-        found = [tuple(x) for x in self.open.get()]
-        for frame in rows:
-            found += [(int(t), e, int(t), 1) for t, e in zip(frame["ts"], frame["event_id"], strict=True)]
-        found.sort(key=lambda x: (x[0], x[1] or ""))
-        merged = found[:1]
-        for start, first, end, n in found[1:]:
-            a, id, b, m = merged[-1]
-            if start - b <= self.gap:
-                merged[-1] = (a, id, max(b, end), m + n)
-            else:
-                merged.append((start, first, end, n))
-        yield self._closed(key, merged, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield self._closed(key, [tuple(x) for x in self.open.get()], timerValues)
-
-    def _closed(self, key, intervals: list[tuple], timerValues) -> pd.DataFrame:
-        now = timerValues.getCurrentWatermarkInMs()
-        due = lambda x: (x[2] + self.gap) * 1000
-        done, rest = [x for x in intervals if due(x) <= now], [x for x in intervals if due(x) > now]
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if rest:
-            self.open.put(rest)
-            self.handle.registerTimer(min(map(due, rest)))
-        else:
-            self.open.clear()
-        return pd.DataFrame([(key[0], first, start, end, n) for start, first, end, n in done], columns=[self.key, "first_event_id", "start_time", "end_time", "event_count"])
-
-    def close(self) -> None:
-        pass
-
-
 def live_episodes(stream: DataFrame, gap_seconds: int, key: str = "thread_id", delay: str = "1 hour") -> DataFrame:
     """Closed time-gap episodes: (key, first_event_id, start_time, end_time, event_count).
 
-    Rows may come in any order within the delay; later ones are dropped. State is one row for each open
-    episode. Needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`). Rows
-    without key or time are left out, rows that come twice count twice (see `deduplicated`).
+    Rows may come in any order within the delay; later ones are dropped. An episode is closed when
+    the watermark has passed its end by the gap, as no row still to come can touch it then. They are
+    session windows (see `session_windows`), so state is one row for each open episode, in any state
+    store, and no row leaves the JVM. Rows without key or time are left out, rows that come twice
+    count twice (see `deduplicated`).
     """
-    out = f"{key} string, first_event_id string, start_time long, end_time long, event_count long"
     source = stream.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(F.col(key).cast("string").alias(key), F.col("ts").cast("long").alias("ts"), F.col("event_id").cast("string").alias("event_id"), F.timestamp_seconds("ts").alias("event_time")).withWatermark("event_time", delay)
-    return source.groupBy(key).transformWithStateInPandas(_OpenEpisodes(key, gap_seconds), out, "append", "eventTime")
+    grouped = source.groupBy(key, _session(gap_seconds))
+    closed = grouped.agg(F.min(F.struct("ts", "event_id")).alias("first"), F.max("ts").alias("end_time"), F.count("*").alias("event_count"))
+    return closed.select(key, F.col("first.event_id").alias("first_event_id"), F.col("first.ts").alias("start_time"), "end_time", "event_count")
 
 
 def windowed_counts(stream: DataFrame, duration: str = "1 day", delay: str = "1 day") -> DataFrame:
