@@ -165,3 +165,13 @@ def test_entities_are_resolved_by_name_as_by_mention(spark):
     by_name = spark.createDataFrame([(n, e, a, None, c) for n, e, a, c in scores], "name string, entity_id string, alias_score double, embedding_score double, context_score double")
     assert rows(graph.resolve(mentions, by_name, by="name")) == rows(graph.resolve(mentions, by_name.join(mentions, "name").drop("name")))
     assert not any("Window" in line for line in graph.resolve(mentions, by_name, by="name")._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_pairs_of_two_blocks_are_made_as_they_are_taken(spark):
+    members = spark.range(3000).selectExpr("'a' AS class", "'x' || id AS id")
+    related = spark.createDataFrame([("a", "a")], "c1 string, c2 string")
+    got = expanded(related, members, "id", 2000)
+    assert got.count() == 3000 * 2999 // 2
+    # From the pairs down: two of pieces, a step of its own, two of blocks. In one step all pairs of two blocks would be held.
+    steps = [n for n in re.findall(r"\b(Generate|Coalesce|Exchange)\b", got._jdf.queryExecution().executedPlan().toString())]
+    assert steps[:5] == ["Generate", "Generate", "Coalesce", "Generate", "Generate"]
