@@ -3,8 +3,10 @@
 import itertools
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.operators import graph
 from tidemark.operators import identity as ident
 from tidemark.plans.classes import crossed, expanded
@@ -175,3 +177,26 @@ def test_pairs_of_two_blocks_are_made_as_they_are_taken(spark):
     # From the pairs down: two of pieces, a step of its own, two of blocks. In one step all pairs of two blocks would be held.
     steps = [n for n in re.findall(r"\b(Generate|Coalesce|Exchange)\b", got._jdf.queryExecution().executedPlan().toString())]
     assert steps[:5] == ["Generate", "Generate", "Coalesce", "Generate", "Generate"]
+
+
+def test_collisions_of_tables_that_are_not_broadcast(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS c_custkey", "'n' || id AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(200).selectExpr("id AS s_suppkey", "'n' || id AS s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(9000).selectExpr("id AS o_orderkey", "id * 7 % 3000 AS o_custkey", "CASE WHEN id % 2 = 0 THEN 'F' ELSE 'O' END AS o_orderstatus", "timestamp'1996-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 900 AS int)) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    names = ("entity_collisions", "auto_merge_rule")
+    pairs = {}
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "24"}
+    before = {c: spark.conf.get(c) for c in confs}
+    try:
+        for c, v in confs.items():
+            spark.conf.set(c, v)
+        for name in names:
+            pairs[name] = rows(catalog.QUERIES[name](spark, str(tmp_path)).select("entity_a_id", "entity_b_id"))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    db = duckdb.connect()
+    for t in ("customer", "supplier", "orders"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    wanted = sorted(db.execute(f"SELECT entity_a_id, entity_b_id FROM ({catalog.ORACLE_SQL['entity_collisions']})").fetchall())
+    assert len(wanted) > 5000 and all(p == wanted for p in pairs.values())
