@@ -41,3 +41,21 @@ def test_persons_with_large_keys_are_alive(spark, tmp_path):
     spark.createDataFrame([(1, 400_000), (2, 400_001), (7, 400_000), (5, 400_002)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = catalog.QUERIES["expired_suggestions"](spark, str(tmp_path))
     assert {r.merge_id: r.status for r in got.collect()} == {1: "pending", 2: "expired", 7: "expired", 5: "rejected"}
+
+
+def _rows_moved(spark):
+    sc = spark.sparkContext
+    none = spark._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_mentions_in_order_are_moved_a_few_times_each(spark):
+    mentions = spark.range(9000).selectExpr("'m' || id AS mention_id", "id div 3 AS episode_id", "id % 3 AS ref", "'n' || (id * 7 % 40) AS name")
+    found = spark.range(400).selectExpr("'n' || id % 40 AS name", "'e' || id AS entity_id", "1.0D AS alias_score", "cast(null as double) AS embedding_score")
+    edges = spark.range(40).selectExpr("'e' || id AS source_entity_id", "'e' || id * 9 AS target_entity_id")
+    before = _rows_moved(spark)
+    got = graph.resolve_in_order(mentions, found, edges, spark.createDataFrame([], "mention_id string, entity_id string"), by="name")
+    assert got.where("decision = 'exact_alias'").count() == 9000
+    # Each to its episode, with each earlier key to what edges lead to, and to the walk.
+    assert _rows_moved(spark) - before < 3 * 9000

@@ -236,7 +236,7 @@ def _decide(rows: list[tuple], resolved: set) -> tuple:
 
 def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships: DataFrame, recent: DataFrame, by: str = "mention_id") -> DataFrame:
     """As `resolve`, but within an episode mention after mention in the order of `ref`: each sees as
-    context the entities that those before it resolved to.
+    context the entities that those before it resolved to. With episode_id and ref.
 
     mentions (mention_id, episode_id, ref); recent (mention_id, entity_id). Candidates are those of a
     mention or, with `by`, of all mentions that have the same value in that column. New entities have no
@@ -246,59 +246,80 @@ def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships:
     best come from these and the two that are best without context. So these two and the recent ones are
     taken, then those with an edge to one taken for an earlier mention, until there are no more; a task
     walks them in order and holds no more than one mention's, and what its episode resolved to.
+
+    The two best are a key's, so what edges lead from them to is worked out for pairs of keys, and a mention meets
+    it by an earlier one's key. A mention is moved to the walk once, with what is known of its key, and once for each edge.
     """
     placed = mentions.select("mention_id", "episode_id", "ref", F.col(by).alias("key"))
+    at = F.struct("ref", "mention_id")
     base = F.coalesce("alias_score", F.lit(0.0)) * 0.5 + F.coalesce("embedding_score", F.lit(0.0)) * 0.3
     own = written(candidates.select(F.col(by).alias("key"), "entity_id", base.alias("base"), F.coalesce("alias_score", F.lit(0.0)).alias("alias")))
-    counts = own.groupBy("key").agg(F.count("*").alias("n"))
-    top = own.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("base"), "entity_id"))).where("r <= 2").select("key", "entity_id")
-    lately = written(placed.join(recent.select("mention_id", "entity_id").distinct(), "mention_id").join(own.select("key", "entity_id"), ["key", "entity_id"], "left_semi").select(*placed.columns, "entity_id"))
+    best = own.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("base"), "entity_id"))).where("r <= 2")
+    best = best.groupBy("key").agg(F.collect_list(F.struct("entity_id", "base", "alias")).alias("best"))
+    best = written(best.join(own.groupBy("key").agg(F.count("*").alias("n")), "key"))
+    top = best.select("key", F.explode("best.entity_id").alias("entity_id"))
+    lately = written(placed.join(recent.select("mention_id", "entity_id").distinct(), "mention_id").join(own, ["key", "entity_id"]).select(*placed.columns, "entity_id", "base", "alias"))
     ends = relationships.where("target_entity_id IS NOT NULL").select(F.col("source_entity_id").alias("other"), F.col("target_entity_id").alias("entity_id"))
     # By the key of the far end, so that an entity with many edges meets only those that a mention may be.
-    ends = written(ends.union(ends.select("entity_id", "other")).distinct().join(own.select("key", "entity_id"), "entity_id").select("other", "key", "entity_id"))
-    seen = front = written(placed.join(top, "key").select(*placed.columns, "entity_id").union(lately).distinct())
-    links = front.select("mention_id", "entity_id", F.col("entity_id").alias("other")).limit(0)
-    while True:
-        before = front.groupBy("episode_id", F.col("entity_id").alias("other")).agg(F.min(F.struct("ref", "mention_id")).alias("at"))
-        met = written(placed.join(before, "episode_id").where(F.struct("ref", "mention_id") > F.col("at")).join(ends, ["other", "key"]).select(*placed.columns, "entity_id", "other"))
-        links = links.union(met.select("mention_id", "entity_id", "other"))
-        front = written(met.drop("other").distinct().join(seen.select("mention_id", "entity_id"), ["mention_id", "entity_id"], "left_anti").select(*seen.columns))
-        if front.isEmpty():
-            break
+    ends = written(ends.union(ends.select("entity_id", "other")).distinct().join(own, "entity_id").select("other", "key", "entity_id", "base", "alias"))
+    from_top = top.select(F.col("key").alias("before"), F.col("entity_id").alias("other")).join(ends, "other")
+    from_top = written(from_top.join(top.withColumn("is_top", F.lit(True)), ["key", "entity_id"], "left"))
+    # Dealt out by episode once, for both sides.
+    dealt = placed.repartition("episode_id")
+    before = dealt.groupBy("episode_id", F.col("key").alias("before")).agg(F.min(at).alias("at"))
+    met = written(dealt.join(before, "episode_id").where(at > F.col("at")).join(from_top, ["before", "key"]).select(*placed.columns, "entity_id", "base", "alias", "other", "is_top"))
+    links = met.drop("is_top")
+    each = [*placed.columns, "entity_id"]
+    seen = front = written(met.where("is_top IS NULL").select(*each).union(lately.join(top, ["key", "entity_id"], "left_anti").select(*each)).distinct())
+    while not front.isEmpty():
+        before = front.groupBy("episode_id", F.col("entity_id").alias("other")).agg(F.min(at).alias("at"))
+        met = written(placed.join(before, "episode_id").where(at > F.col("at")).join(ends, ["other", "key"]).select(*links.columns))
+        links = links.union(met)
+        front = written(met.select(*each).distinct().join(top, ["key", "entity_id"], "left_anti").join(seen.select("mention_id", "entity_id"), ["mention_id", "entity_id"], "left_anti").select(*each))
         seen = seen.union(front)
-    near = links.groupBy("mention_id", "entity_id").agg(F.collect_set("other").alias("near"))
-    flagged = seen.join(lately.select("mention_id", "entity_id", F.lit(True).alias("recent")), ["mention_id", "entity_id"], "left").join(near, ["mention_id", "entity_id"], "left")
-    # One row a candidate, an episode's together and in order, so a task walks them as they come.
-    rows = flagged.join(own, ["key", "entity_id"]).select("episode_id", "ref", "mention_id", "entity_id", "base", "alias", F.coalesce("recent", F.lit(False)).alias("recent"), "near")
-    rows = rows.repartition("episode_id").sortWithinPartitions("episode_id", "ref", "mention_id")
-    mention, kind = mentions.schema["mention_id"].dataType.simpleString(), candidates.schema["entity_id"].dataType.simpleString()
+    place = ["episode_id", "ref", "mention_id"]
+    one = [F.array(c).alias(c) for c in ("entity_id", "base", "alias")]
+    none = F.lit(None).cast(links.schema["other"].dataType).alias("other")
+    rows = placed.join(best, "key", "left").select(*place, "best.entity_id", "best.base", "best.alias", "n", none, F.lit(False).alias("recent"))
+    rows = rows.union(links.select(*place, *one, F.lit(None).cast("long"), "other", F.lit(False))).union(lately.select(*place, *one, F.lit(None).cast("long"), none, F.lit(True)))
+    rows = rows.repartition("episode_id").sortWithinPartitions(*place)
+    kinds = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in place)
+    kind = candidates.schema["entity_id"].dataType.simpleString()
 
     def in_order(batches):
-        episode, resolved, at, held, out = None, set(), None, [], []
+        episode, resolved, at, n, held, out = None, set(), None, 0, {}, []
         types = None
 
         def close():
-            if held:
-                decision, entity, total = _decide(held, resolved)
-                if decision != "ambiguous":
-                    resolved.add(entity)
-                out.append((at[2], decision, entity, total))
+            if at is None:
+                return
+            if not held:
+                out.append((*at, "created_new", None, 1.0, 0))
+                return
+            decision, entity, total = _decide([(e, *h) for e, h in held.items()], resolved)
+            if decision != "ambiguous":
+                resolved.add(entity)
+            out.append((*at, decision, entity, total, n))
 
         def flushed():
             cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["mention_id", "decision", "top", "confidence"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*place, "decision", "top", "confidence", "n"])
 
         for batch in batches:
-            types = [batch.schema.field("mention_id").type, pa.string(), batch.schema.field("entity_id").type, pa.float64()]
+            types = [*(batch.schema.field(c).type for c in place), pa.string(), batch.schema.field("entity_id").type.value_type, pa.float64(), pa.int64()]
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != at:
                     close()
-                    held = []
                     if at is None or row[0] != episode:
                         episode, resolved = row[0], set()
-                    at = row[:3]
-                entity, base, alias, recent, neighbours = row[3:]
-                held.append((entity, base, alias, recent, set(neighbours or ())))
+                    at, n, held = row[:3], 0, {}
+                if row[6] is not None:
+                    n = row[6]
+                for entity, base, alias in zip(row[3] or (), row[4] or (), row[5] or (), strict=True):
+                    base, alias, recent, near = held.get(entity, (base, alias, False, set()))
+                    if row[7] is not None:
+                        near.add(row[7])
+                    held[entity] = (base, alias, recent or row[8], near)
             if out:
                 yield flushed()
                 out = []
@@ -306,10 +327,9 @@ def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships:
         if out:
             yield flushed()
 
-    decided = rows.mapInArrow(in_order, f"mention_id {mention}, decision string, top {kind}, confidence double")
-    found = placed.join(decided, "mention_id", "left").join(counts, "key", "left").withColumn("decision", F.coalesce("decision", F.lit("created_new")))
+    found = rows.mapInArrow(in_order, f"{kinds}, decision string, top {kind}, confidence double, n long")
     new = F.col("decision").isin("created_new", "ambiguous")
-    return found.select("mention_id", "decision", F.when(~new, F.col("top")).alias("entity_id"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("n", F.lit(0)).alias("candidates_count"), new.alias("is_new"), F.when(F.col("decision") == "ambiguous", F.col("top")).alias("top_entity_id"))
+    return found.select("mention_id", "episode_id", "ref", "decision", F.when(~new, F.col("top")).alias("entity_id"), "confidence", F.col("n").alias("candidates_count"), new.alias("is_new"), F.when(F.col("decision") == "ambiguous", F.col("top")).alias("top_entity_id"))
 
 
 def merge_scores(alias: DataFrame, embedding: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def process(state: dict[str, DataFrame], episodes: DataFrame, entities: DataFram
     said = graph.valid_entities(entities.join(new.select("episode_id"), "episode_id", "left_semi")).withColumn("mention_id", F.concat_ws("#", "episode_id", "ref"))
     found = graph.alias_candidates(said, state["aliases"], state["entities"]).withColumn("embedding_score", F.lit(None).cast("double"))
     lately = said.select("mention_id", "episode_id").join(recent, "episode_id").select("mention_id", "entity_id") if recent is not None else said.select("mention_id", F.lit(None).cast("string").alias("entity_id")).limit(0)
-    decided = graph.resolve_in_order(said, found, state["relationships"], lately).join(said, "mention_id")
+    decided = graph.resolve_in_order(said, found, state["relationships"], lately).drop("episode_id", "ref").join(said, "mention_id")
     # A new entity's id follows from its mention, so a batch that runs again makes the same ones.
     decided = written(decided.withColumn("entity_id", F.coalesce("entity_id", F.sha2(F.concat(F.lit("entity|"), "mention_id"), 256))))
 
