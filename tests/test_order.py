@@ -59,3 +59,16 @@ def test_mentions_in_order_are_moved_a_few_times_each(spark):
     assert got.where("decision = 'exact_alias'").count() == 9000
     # Each to its episode, with each earlier key to what edges lead to, and to the walk.
     assert _rows_moved(spark) - before < 3 * 9000
+
+
+def test_of_a_hubs_many_neighbours_the_best_are_moved(spark):
+    mentions = spark.range(900).selectExpr("'m' || id AS mention_id", "id div 3 AS episode_id", "id % 3 AS ref", "'n' || id % 3 AS name")
+    own = [("n0", "a"), ("n1", "b0"), ("n1", "b1"), ("n1", "hub"), *(("n2", f"c{i:03}") for i in range(500))]
+    found = spark.createDataFrame([(*c, 0.85, None) for c in own], "name string, entity_id string, alias_score double, embedding_score double")
+    edges = spark.createDataFrame([("a", "hub"), *(("hub", f"c{i:03}") for i in range(7, 500))], "source_entity_id string, target_entity_id string")
+    recent = spark.createDataFrame([("m2", "c400")], "mention_id string, entity_id string")
+    before = _rows_moved(spark)
+    got = {r.mention_id: (r.entity_id or r.top_entity_id, r.candidates_count) for r in graph.resolve_in_order(mentions, found, edges, recent, by="name").collect()}
+    # By an edge the hub wins against those before it, and by another what it leads to.
+    assert got["m0"] == ("a", 1) and got["m1"] == ("hub", 3)
+    assert _rows_moved(spark) - before < 10_000

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -234,6 +235,12 @@ def _decide(rows: list[tuple], resolved: set) -> tuple:
     return decision, entity, total
 
 
+def _lists(column: pa.Array) -> list[list]:
+    """The lists of a column, a null one empty; much faster than list after list."""
+    ends, values = column.offsets.to_pylist(), column.values.to_pylist()
+    return [values[a:b] for a, b in pairwise(ends)]
+
+
 def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships: DataFrame, recent: DataFrame, by: str = "mention_id") -> DataFrame:
     """As `resolve`, but within an episode mention after mention in the order of `ref`: each sees as
     context the entities that those before it resolved to. With episode_id and ref.
@@ -244,8 +251,8 @@ def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships:
 
     Only a candidate that is recent or has an edge to an entity resolved before gains by it, and the two
     best come from these and the two that are best without context. So these two and the recent ones are
-    taken, then those with an edge to one taken for an earlier mention, until there are no more; a task
-    walks them in order and holds no more than one mention's, and what its episode resolved to.
+    taken, then the two best and the recent ones of those with an edge to one taken for an earlier mention,
+    until there are no more; a task walks them in order and holds no more than one mention's, and what its episode resolved to.
 
     The two best are a key's, so what edges lead from them to is worked out for pairs of keys, and a mention meets
     it by an earlier one's key. A mention is moved to the walk once, with what is known of its key, and once for each edge.
@@ -261,7 +268,10 @@ def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships:
     lately = written(placed.join(recent.select("mention_id", "entity_id").distinct(), "mention_id").join(own, ["key", "entity_id"]).select(*placed.columns, "entity_id", "base", "alias"))
     ends = relationships.where("target_entity_id IS NOT NULL").select(F.col("source_entity_id").alias("other"), F.col("target_entity_id").alias("entity_id"))
     # By the key of the far end, so that an entity with many edges meets only those that a mention may be.
-    ends = written(ends.union(ends.select("entity_id", "other")).distinct().join(own, "entity_id").select("other", "key", "entity_id", "base", "alias"))
+    ends = ends.union(ends.select("entity_id", "other")).distinct().join(own, "entity_id").select("other", "key", "entity_id", "base", "alias")
+    # All that have an edge to one gain the same by it, so of these too only the two best and the recent ones can win.
+    ends = ends.withColumn("r", F.row_number().over(Window.partitionBy("other", "key").orderBy(F.desc("base"), "entity_id")))
+    ends = written(ends.join(lately.select("key", "entity_id", F.lit(True).alias("recent")).distinct(), ["key", "entity_id"], "left").where("r <= 2 OR recent").select("other", "key", "entity_id", "base", "alias"))
     from_top = top.select(F.col("key").alias("before"), F.col("entity_id").alias("other")).join(ends, "other")
     from_top = written(from_top.join(top.withColumn("is_top", F.lit(True)), ["key", "entity_id"], "left"))
     # Dealt out by episode once, for both sides.
@@ -307,7 +317,7 @@ def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships:
 
         for batch in batches:
             types = [*(batch.schema.field(c).type for c in place), pa.string(), batch.schema.field("entity_id").type.value_type, pa.float64(), pa.int64()]
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*(_lists(c) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != at:
                     close()
                     if at is None or row[0] != episode:
@@ -315,7 +325,7 @@ def resolve_in_order(mentions: DataFrame, candidates: DataFrame, relationships:
                     at, n, held = row[:3], 0, {}
                 if row[6] is not None:
                     n = row[6]
-                for entity, base, alias in zip(row[3] or (), row[4] or (), row[5] or (), strict=True):
+                for entity, base, alias in zip(*row[3:6], strict=True):
                     base, alias, recent, near = held.get(entity, (base, alias, False, set()))
                     if row[7] is not None:
                         near.add(row[7])
